@@ -45,8 +45,7 @@ def newest(df: DataFrame, k: int, *order: Column, ts: str = "timestamp") -> Data
         "newer", F.col("newer") + F.sum("n").over(Window.orderBy(F.desc("minute"))) - F.col("n")
     )
     cutoff = minutes.where(F.col("newer") < k).agg(F.min("minute").alias("cutoff"))
-    kept = df.join(F.broadcast(cutoff), F.col(ts) >= F.col("cutoff")).drop("cutoff")
-    return top_k(kept, k, *order)
+    return top_k(df.where(F.col(ts) >= cutoff.scalar()), k, *order)
 
 
 def latest_per_key(df: DataFrame, keys: list[str], *order: str, columns: list[str] | None = None) -> DataFrame:
