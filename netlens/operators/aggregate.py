@@ -23,8 +23,13 @@ GROUP_COLUMNS = {
 }
 PREFIXES = (8, 16, 22, 24)
 
-is_allowed = F.col("rule_action") == "allow"
-is_blocked = F.col("rule_action") == "block"
+
+def is_allowed() -> Column:
+    return F.col("rule_action") == "allow"
+
+
+def is_blocked() -> Column:
+    return F.col("rule_action") == "block"
 
 
 def _pair_rows(logs: DataFrame, flt: LogFilter, now: Now, cross: Column | None) -> DataFrame:
@@ -47,8 +52,8 @@ def ip_pairs(
     grouped = _pair_rows(logs, flt, now, cross).groupBy(*PAIR_KEYS).agg(
         F.max("service_name").alias("service_name"),
         F.count(F.lit(1)).alias("total_count"),
-        F.count_if(is_allowed).alias("allow_count"),
-        F.count_if(is_blocked).alias("block_count"),
+        F.count_if(is_allowed()).alias("allow_count"),
+        F.count_if(is_blocked()).alias("block_count"),
         F.max("threat_score").alias("max_threat_score"),
         F.max("asn_name").alias("asn_name"),
         F.max("direction").alias("direction"),
@@ -66,8 +71,8 @@ def ip_pairs_modal(
     service first keeps the state of a hot pair at one row per service."""
     per_service = _pair_rows(logs, flt, now, cross).groupBy(*PAIR_KEYS, "service_name").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(is_allowed).alias("a"),
-        F.count_if(is_blocked).alias("b"),
+        F.count_if(is_allowed()).alias("a"),
+        F.count_if(is_blocked()).alias("b"),
     )
     pairs = per_service.groupBy(*PAIR_KEYS).agg(
         pick_modal("service_name", "n").alias("service"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netlens.config import NetConfig
@@ -15,23 +15,26 @@ from netlens.functions.scalars import iface_label, iface_type, iface_vlan_id, ts
 from netlens.operators.topk import modal, pick_modal
 
 Now = str | datetime
-firewall = F.col("log_type") == "firewall"
 
 # Multicast and broadcast targets that are no gateway.
 NOT_A_GATEWAY = ("224.0.0.251", "255.255.255.255")
 PRIVATE_TARGETS = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "fc00::/7")
 
 
+def _firewall() -> Column:
+    return F.col("log_type") == "firewall"
+
+
 def wan_ip_by_iface(logs: DataFrame, ifaces: Iterable[str]) -> DataFrame:
     """Most frequent public target of each WAN interface."""
-    rows = logs.where(firewall & F.col("interface_in").isin(list(ifaces)) & is_wan_candidate_ip("dst_ip"))
+    rows = logs.where(_firewall() & F.col("interface_in").isin(list(ifaces)) & is_wan_candidate_ip("dst_ip"))
     return modal(rows.withColumnRenamed("interface_in", "iface"), ["iface"], "dst_ip", "wan_ip")
 
 
 def wan_candidates(logs: DataFrame) -> DataFrame:
     """Interfaces that may face the internet, with their likely own address."""
     iface = F.col("interface_in")
-    rows = logs.where(firewall & iface.isNotNull() & ~iface.startswith("br") & ~has_vpn_prefix(iface))
+    rows = logs.where(_firewall() & iface.isNotNull() & ~iface.startswith("br") & ~has_vpn_prefix(iface))
     target = F.when(is_wan_candidate_ip("dst_ip"), F.col("dst_ip"))
     counted = rows.groupBy(iface.alias("interface"), target.alias("target")).agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy("interface").agg(
@@ -45,7 +48,7 @@ def gateway_ips(logs: DataFrame) -> DataFrame:
     for cidr in PRIVATE_TARGETS:
         private = private | in_cidr("dst_ip", cidr)
     rows = logs.where(
-        firewall & F.col("rule_name").contains("_LOCAL") & private & ~F.col("dst_ip").isin(list(NOT_A_GATEWAY))
+        _firewall() & F.col("rule_name").contains("_LOCAL") & private & ~F.col("dst_ip").isin(list(NOT_A_GATEWAY))
     )
     return rows.select(F.col("dst_ip").alias("gateway_ip")).distinct()
 
@@ -60,7 +63,7 @@ def difference(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
 
 def segment_ips(logs: DataFrame) -> DataFrame:
     """Local addresses seen behind each interface, one row each (iface, ip)."""
-    rows = logs.where(firewall)
+    rows = logs.where(_firewall())
     sides = [
         rows.where(F.col(i).isNotNull() & F.col(ip).isNotNull() & ~is_public_ip_sql(ip)).select(
             F.col(i).alias("iface"), F.col(ip).alias("ip")
@@ -78,7 +81,7 @@ def segments(logs: DataFrame, wan_list: list[str] | None = None, limit: int = 30
     public address instead.
     """
     wan_list = wan_list or []
-    rows = logs.where(firewall)
+    rows = logs.where(_firewall())
     local = [
         rows.where(F.col(i).isNotNull() & ~is_public_ip_sql(ip)).select(F.col(i).alias("iface"), F.col(ip).alias("ip"))
         for i, ip in (("interface_in", "src_ip"), ("interface_out", "dst_ip"))
@@ -103,7 +106,7 @@ def segments(logs: DataFrame, wan_list: list[str] | None = None, limit: int = 30
 
 
 def recent_ifaces(logs: DataFrame, now: Now, hours: int = 36) -> DataFrame:
-    recent = logs.where(firewall & (F.col("timestamp") > ts_lit(now) - F.expr(f"INTERVAL {int(hours)} HOURS")))
+    recent = logs.where(_firewall() & (F.col("timestamp") > ts_lit(now) - F.expr(f"INTERVAL {int(hours)} HOURS")))
     names = recent.select(F.explode(F.array("interface_in", "interface_out")).alias("iface"))
     return names.where(F.col("iface").isNotNull() & (F.col("iface") != "")).distinct()
 

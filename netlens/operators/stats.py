@@ -23,17 +23,25 @@ Now = str | datetime
 TOP = 10
 HIGH_SCORE = 50  # a threat in the figures is a score above this
 
-blocked = F.col("rule_action") == "block"
-allowed = F.col("rule_action") == "allow"
-firewall = F.col("log_type") == "firewall"
+
+def blocked() -> Column:
+    return F.col("rule_action") == "block"
+
+
+def allowed() -> Column:
+    return F.col("rule_action") == "allow"
+
+
+def firewall() -> Column:
+    return F.col("log_type") == "firewall"
 
 
 def overview(logs: DataFrame, window: TimeWindow, now: Now) -> DataFrame:
     """Allowed counts firewall rows only, blocked counts every type."""
     return in_window(logs, window, now).agg(
         F.count(F.lit(1)).alias("total"),
-        F.count_if(firewall & allowed).alias("allowed"),
-        F.count_if(blocked).alias("blocked"),
+        F.count_if(firewall() & allowed()).alias("allowed"),
+        F.count_if(blocked()).alias("blocked"),
         F.count_if(F.col("threat_score") > HIGH_SCORE).alias("threats"),
     )
 
@@ -64,7 +72,7 @@ def top_countries_both(logs: DataFrame, window: TimeWindow, now: Now, k: int = T
     rows = (
         in_window(logs, window, now)
         .where(F.col("geo_country").isNotNull())
-        .where(blocked | (allowed & (F.col("direction") == "outbound")))
+        .where(blocked() | (allowed() & (F.col("direction") == "outbound")))
     )
     counted = rows.groupBy("rule_action", F.col("geo_country").alias("country")).agg(F.count(F.lit(1)).alias("count"))
     return rank_within(counted, ["rule_action"], [F.desc("count"), F.asc("country")], k)
@@ -76,7 +84,7 @@ def top_services(logs: DataFrame, window: TimeWindow, now: Now, action: str, k:
 
 
 def top_services_both(logs: DataFrame, window: TimeWindow, now: Now, k: int = TOP) -> DataFrame:
-    rows = in_window(logs, window, now).where(F.col("service_name").isNotNull() & (blocked | allowed))
+    rows = in_window(logs, window, now).where(F.col("service_name").isNotNull() & (blocked() | allowed()))
     counted = rows.groupBy("rule_action", "service_name").agg(F.count(F.lit(1)).alias("count"))
     return rank_within(counted, ["rule_action"], [F.desc("count"), F.asc("service_name")], k)
 
@@ -166,7 +174,7 @@ def over_time(logs: DataFrame, window: TimeWindow, now: Now) -> DataFrame:
 
 def action_over_time(logs: DataFrame, window: TimeWindow, now: Now) -> DataFrame:
     """Firewall rows per bucket and action, zero where an action is missing."""
-    rows = in_window(logs, window, now).where(firewall & F.col("rule_action").isNotNull())
+    rows = in_window(logs, window, now).where(firewall() & F.col("rule_action").isNotNull())
     return rows.groupBy(time_bucket("timestamp", window.normalise().preset).alias("period")).agg(
         *[F.count_if(F.col("rule_action") == a).alias(a) for a in ("allow", "block", "redirect")]
     )
@@ -185,22 +193,22 @@ def _sections(own: tuple[str, ...], gateways: tuple[str, ...], bucket: str) -> l
     everything = F.lit(True)
     return [
         ("total", everything, F.lit("all")),
-        ("allowed", firewall & allowed, F.lit("all")),
-        ("blocked", blocked, F.lit("all")),
+        ("allowed", firewall() & allowed(), F.lit("all")),
+        ("blocked", blocked(), F.lit("all")),
         ("threats", score, F.lit("all")),
         ("by_type", everything, F.col("log_type")),
         ("by_direction", everything, F.col("direction")),
         ("logs_over_time", everything, period),
-        ("traffic_by_action", firewall, F.concat_ws("|", period, F.when(firewall, F.col("rule_action")))),
-        ("top_blocked_countries", blocked, F.col("geo_country")),
-        ("top_allowed_countries", allowed & (F.col("direction") == "outbound"), F.col("geo_country")),
-        ("top_blocked_services", blocked, F.col("service_name")),
-        ("top_allowed_services", allowed, F.col("service_name")),
-        ("top_blocked_ips", blocked & public_src, F.col("src_ip")),
-        ("top_blocked_internal_ips", blocked & internal, F.col("src_ip")),
+        ("traffic_by_action", firewall() & F.col("rule_action").isNotNull(), F.concat_ws("|", period, "rule_action")),
+        ("top_blocked_countries", blocked(), F.col("geo_country")),
+        ("top_allowed_countries", allowed() & (F.col("direction") == "outbound"), F.col("geo_country")),
+        ("top_blocked_services", blocked(), F.col("service_name")),
+        ("top_allowed_services", allowed(), F.col("service_name")),
+        ("top_blocked_ips", blocked() & public_src, F.col("src_ip")),
+        ("top_blocked_internal_ips", blocked() & internal, F.col("src_ip")),
         ("top_threat_ips", score & not_own("src_ip", own), F.col("src_ip")),
-        ("top_allowed_destinations", allowed & public_dst, F.col("dst_ip")),
-        ("top_active_internal_ips", allowed & internal & not_own("src_ip", gateways), F.col("src_ip")),
+        ("top_allowed_destinations", allowed() & public_dst, F.col("dst_ip")),
+        ("top_active_internal_ips", allowed() & internal & not_own("src_ip", gateways), F.col("src_ip")),
         ("top_dns", F.col("log_type") == "dns", F.col("dns_query")),
     ]
 
