@@ -1,0 +1,15 @@
+"""Registered queries over the test tables and their SQL oracles."""
+
+from netlens.contract import (  # noqa: F401
+    aggregates,
+    filters,
+    flows,
+    joins,
+    jobs,
+    parsing,
+    scalars,
+    search,
+    stats,
+    threats,
+)
+from netlens.contract.registry import ORACLES, QUERIES  # noqa: F401

@@ -90,8 +90,8 @@ SELECT id, timestamp, log_type, direction, src_ip, src_port, dst_ip, dst_port, p
  CASE WHEN scored AND m % 6 = 1 THEN TIMESTAMP '2024-01-02 03:04:05' END AS abuse_last_reported,
  CASE WHEN scored AND m % 6 = 1 THEN m % 12 = 1 END AS abuse_is_whitelisted,
  CASE WHEN scored AND m % 6 = 1 THEN m % 18 = 1 END AS abuse_is_tor,
- CASE WHEN e % 50 = 7 AND lt = 'dhcp' THEN 'named-' || CAST(p AS STRING) END AS src_device_name,
- CASE WHEN e % 50 = 9 AND lt = 'firewall' THEN 'target-' || CAST(p AS STRING) END AS dst_device_name,
+ CASE WHEN e % 50 = 7 AND log_type = 'dhcp' THEN 'named-' || CAST(p AS STRING) END AS src_device_name,
+ CASE WHEN e % 50 = 9 AND log_type = 'firewall' THEN 'target-' || CAST(p AS STRING) END AS dst_device_name,
  'Jan ' || lpad(CAST(day(timestamp) AS STRING), 2, ' ') || ' ' || lpad(CAST(hour(timestamp) AS STRING), 2, '0') || ':' ||
  lpad(CAST(minute(timestamp) AS STRING), 2, '0') || ':' || lpad(CAST(second(timestamp) AS STRING), 2, '0') || ' GW ' ||
  CASE log_type
@@ -275,7 +275,10 @@ def with_views(views: list[str], query: str) -> str:
     if not ordered:
         return query
     clauses = ",\n".join(f"{name} AS ({_same_names(VIEWS[name]).strip()})" for name in ordered)
-    return f"WITH {clauses}\n{query.strip()}"
+    query = query.strip()
+    if query.upper().startswith("WITH "):
+        return f"WITH {clauses},\n{query[5:]}"
+    return f"WITH {clauses}\n{query}"
 
 
 class Tables:

@@ -8,6 +8,7 @@ families.
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,9 +19,13 @@ ColumnLike = Column | str
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 V4_PATTERN = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 _GROUPS = r"[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
-# Groups, at most one "::", nothing else; the number of groups is checked apart.
-_V6_SHAPE = rf"^(?:{_GROUPS})?(?:::(?:{_GROUPS})?)?$"
-_V4_TAIL = r"^(.*:)([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$"
+# Groups with at most one "::", which must stand for one group at least. That a
+# text without "::" has eight groups shows once it is expanded.
+_V6_SHAPE = (
+    r"^(?=[^:]*(?::[^:]*){2,7}$|::[^:]+(?::[^:]+){6}$|(?:[^:]+:){6}[^:]+::$)"
+    rf"(?:{_GROUPS})?(?:::(?:{_GROUPS})?)?$"
+)
+_V4_TAIL = r":([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$"
 _V4_KEY_PREFIX = "0" * 20 + "FFFF"
 
 
@@ -28,8 +33,10 @@ def as_col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _any(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once. Column expressions are trees:
+    naming a long expression twice would copy it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def is_v4(ip: ColumnLike) -> Column:
@@ -55,57 +62,51 @@ def v4_text(number: ColumnLike) -> Column:
     )
 
 
+def _plain_v6_hex(text: Column) -> Column:
+    """32 hex digits of an IPv6 text without an IPv4 tail."""
+
+    def expanded(t: Column) -> Column:
+        colons = F.length(t) - F.length(F.replace(t, F.lit(":"), F.lit("")))
+        zeros = F.repeat(F.lit("0:"), F.lit(8) - colons)
+        return F.replace(t, F.lit("::"), F.concat(F.lit(":"), zeros))
+
+    with_ends = F.regexp_replace(F.regexp_replace(text, "^::", "0::"), "::$", "::0")
+    groups = F.concat(let(with_ends, expanded), F.lit(":"))
+    padded = F.regexp_replace(F.regexp_replace(groups, "([0-9a-f]+)", "000$1"), "[0-9a-f]*([0-9a-f]{4}):", "$1")
+    return F.when(text.rlike(_V6_SHAPE), F.nullif(F.regexp_extract(padded, "^[0-9a-f]{32}$", 0), F.lit("")))
+
+
 def _v6_hex(ip: Column) -> Column:
     """32 hex digits of an IPv6 text, NULL when it is not one."""
-    text = F.lower(ip)
-    tail = v4_long(F.regexp_extract(text, _V4_TAIL, 2))
-    text = F.when(
-        tail.isNotNull(),
-        F.concat(
-            F.regexp_extract(text, _V4_TAIL, 1),
-            F.lower(F.hex(F.shiftright(tail, 16))), F.lit(":"),
-            F.lower(F.hex(tail.bitwiseAND(F.lit(65535)))),
-        ),
-    ).otherwise(text)
-    halves = F.split(text, "::", -1)
-
-    def groups(half: Column) -> Column:
-        empty = F.array().cast("array<string>")
-        return F.when(half.isNull() | (half == ""), empty).otherwise(F.split(half, ":", -1))
-
-    left = groups(F.get(halves, F.lit(0)))
-    right = groups(F.get(halves, F.lit(1)))
-    compressed = F.size(halves) == 2
-    missing = F.lit(8) - F.size(left) - F.size(right)
-    full = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
-    valid = text.rlike(_V6_SHAPE) & F.when(compressed, missing >= 1).otherwise(missing == 0)
-    digits = F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), "")
-    return F.when(F.coalesce(valid, F.lit(False)), digits)
+    head = let(F.regexp_replace(F.lower(ip), _V4_TAIL, ":0:0"), _plain_v6_hex)
+    tail = F.lpad(F.hex(v4_long(F.regexp_extract(ip, _V4_TAIL, 1))), 8, "0")
+    return F.when(ip.contains("."), F.concat(F.substring(head, 1, 24), F.lower(tail))).otherwise(head)
 
 
 def _v6_text(digits: Column) -> Column:
-    """Shortest text of 32 hex digits: longest run of zero groups becomes "::"."""
-    groups = F.regexp_replace(digits, r"(.{4})(?=.)", "$1:")
-    plain = F.regexp_replace(groups, r"\b0{1,3}(?=[0-9a-f])", "")
-    text = plain
-    # Built from the shortest run outwards, so the longest run is tested first.
-    for run in range(2, 9):
-        pattern = rf"^(.*?)(?:^|:)0(?::0){{{run - 1}}}(?::|$)(.*)$"
-        text = F.when(plain.rlike(pattern), F.regexp_replace(plain, pattern, "$1::$2")).otherwise(text)
-    low = F.conv(F.substring(digits, 25, 8), 16, 10).try_cast("bigint")
-    mapped = digits.startswith("0" * 20 + "ffff")
-    compatible = digits.startswith("0" * 24) & (F.substring(digits, 25, 4) != "0000")
-    return (
-        F.when(mapped, F.concat(F.lit("::ffff:"), v4_text(low)))
-        .when(compatible, F.concat(F.lit("::"), v4_text(low)))
-        .otherwise(text)
-    )
+    """Shortest text of 32 hex digits: the first longest run of zero groups
+    becomes "::", and an embedded IPv4 address is written as such."""
+
+    def written(d: Column) -> Column:
+        groups = F.regexp_replace(d, r"(.{4})(?=.)", "$1:")
+        text = F.regexp_replace(groups, r"\b0{1,3}(?=[0-9a-f])", "")
+        for run in range(8, 1, -1):  # once a run is written as "::" no other is
+            text = F.regexp_replace(text, rf"^(?!.*::)(.*?)(?:^|:)0(?::0){{{run - 1}}}(?::|$)(.*)$", "$1::$2")
+        low = v4_text(F.conv(F.substring(d, 25, 8), 16, 10).try_cast("bigint"))
+        return (
+            F.when(d.startswith("0" * 20 + "ffff"), F.concat(F.lit("::ffff:"), low))
+            .when(d.rlike("^0{24}(?!0000)"), F.concat(F.lit("::"), low))
+            .otherwise(text)
+        )
+
+    return let(digits, written)
 
 
 def ip_text(ip: ColumnLike) -> Column:
     """Canonical host text; NULL when the input is not an address."""
     ip = as_col(ip)
-    return F.when(is_v4(ip), ip).when(ip.contains(":"), _v6_text(_v6_hex(ip)))
+    v6 = let(ip, lambda t: _v6_text(_v6_hex(t)))
+    return F.when(is_v4(ip), ip).when(ip.contains(":"), v6)
 
 
 def valid_ip(ip: ColumnLike) -> Column:
@@ -116,7 +117,7 @@ def ip_key(ip: ColumnLike) -> Column:
     """16-byte ordering key."""
     ip = as_col(ip)
     v4 = F.concat(F.lit(_V4_KEY_PREFIX), F.lpad(F.hex(v4_long(ip)), 8, "0"))
-    return F.when(is_v4(ip), F.unhex(v4)).when(ip.contains(":"), F.unhex(_v6_hex(ip)))
+    return F.when(is_v4(ip), F.unhex(v4)).when(ip.contains(":"), F.unhex(let(ip, _v6_hex)))
 
 
 def key_of(address: str) -> bytes:
@@ -151,104 +152,72 @@ def in_cidr(ip: ColumnLike, cidr: str) -> Column:
 
 
 # ---- address classes: three definitions that differ on purpose -------------
+#
+# All of them expect canonical text, on which a prefix test is exact, cheap and
+# part of the generated code.
 
-# On canonical text a prefix test is exact and stays inside code generation.
-def _rfc1918(ip: Column) -> Column:
-    return (
-        ip.startswith("10.")
-        | ip.startswith("192.168.")
-        | ip.rlike(r"^172\.(?:1[6-9]|2[0-9]|3[01])\.")
-    )
-
-
-def _ula(ip: Column) -> Column:
-    return ip.rlike("^f[cd][0-9a-f]{2}:")
-
-
-def _link_local6(ip: Column) -> Column:
-    return ip.rlike("^fe[89ab][0-9a-f]:")
+# Private ranges 10/8, 172.16/12, 192.168/16, fc00::/7, fe80::/10.
+_PRIVATE = r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:)"
+_PRIVATE_NETWORK = r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|f[cd][0-9a-f]{2}:)"
 
 
 def is_public_ip_sql(ip: ColumnLike) -> Column:
     """Outside the private ranges. Loopback, 169.254/16 and multicast count as
     public here; NULL is not public."""
-    ip = as_col(ip)
-    private = _rfc1918(ip) | (ip.contains(":") & (_ula(ip) | _link_local6(ip)))
-    return F.coalesce(~private, F.lit(False))
+    return F.coalesce(~as_col(ip).rlike(_PRIVATE), F.lit(False))
+
+
+def is_private_network(ip: ColumnLike) -> Column:
+    """In a private range other than link-local; NULL is not."""
+    return F.coalesce(as_col(ip).rlike(_PRIVATE_NETWORK), F.lit(False))
 
 
 def is_wan_candidate_ip(ip: ColumnLike) -> Column:
     """Public in the sense above and not loopback or broadcast."""
     ip = as_col(ip)
-    return is_public_ip_sql(ip) & ~(
-        ip.startswith("127.") | ip.isin("::1", "255.255.255.255")
-    )
+    return is_public_ip_sql(ip) & ~ip.startswith("127.") & ~ip.isin("::1", "255.255.255.255")
 
 
-# Special-purpose address registries.
+# Special-purpose address registries, as prefixes of the text.
+# IPv4: 0/8 10/8 127/8 169.254/16 172.16/12 192.0.0/24 (but .9 and .10) 192.0.2/24
+# 192.168/16 198.18/15 198.51.100/24 203.0.113/24 240/4, alone or IPv4-mapped.
 _V4_RESERVED = (
-    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12",
-    "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15",
-    "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
+    r"^(?:::ffff:)?(?:(?:0|10|127)\.|169\.254\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|192\.0\.0\.(?!(?:9|10)$)"
+    r"|192\.0\.2\.|192\.168\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|2(?:4[0-9]|5[0-5])\.)"
 )
-_V4_RESERVED_BUT_GLOBAL = ("192.0.0.9/32", "192.0.0.10/32")
-_V4_SHARED = "100.64.0.0/10"
-_V4_MULTICAST = "224.0.0.0/4"
-_V6_RESERVED = (
-    "::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "2001::/23",
-    "2001:db8::/32", "2002::/16", "3fff::/20", "fc00::/7", "fe80::/10",
+# 100.64/10 is shared, neither reserved nor global; 224/4 is multicast.
+_V4_NOT_GLOBAL = (
+    r"^(?:::ffff:)?(?:100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|2(?:2[4-9]|3[0-9])\.)"
 )
-_V6_RESERVED_BUT_GLOBAL = (
-    "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48",
-    "2001:20::/28", "2001:30::/28",
+# IPv6: ::/128 ::1/128 64:ff9b:1::/48 100::/64 2001::/23 2001:db8::/32 2002::/16
+# fc00::/7 fe80::/10, but for the global parts of 2001::/23.
+_V6_RESERVED = (
+    r"^(?:::1?$|64:ff9b:1:|100::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,3})?$|2001:(?::|[0-9a-f]{1,2}:|1[0-9a-f]{2}:)"
+    r"|2001:db8:|2002:|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:)"
 )
-_V6_MULTICAST = "ff00::/8"
-_MAPPED = "::ffff:0:0/96"
-
-
-def _reserved4(n: Column) -> Column:
-    return _any([_in_v4(n, c) for c in _V4_RESERVED]) & ~_any(
-        [_in_v4(n, c) for c in _V4_RESERVED_BUT_GLOBAL]
-    )
+_V6_RESERVED_BUT_GLOBAL = r"^2001:(?:1::[12]$|3:|4:112:|[23][0-9a-f]:)"
+_V6_MULTICAST = "^ff[0-9a-f]{2}:"
 
 
-def _reserved6(key: Column) -> Column:
-    return _any([_in_key(key, c) for c in _V6_RESERVED]) & ~_any(
-        [_in_key(key, c) for c in _V6_RESERVED_BUT_GLOBAL]
-    )
-
-
-def _mapped_v4(ip: Column) -> Column:
-    """IPv4 number of an IPv4 address or of an IPv4-mapped IPv6 address."""
-    return F.coalesce(v4_long(ip), v4_long(F.regexp_extract(ip, r"^::ffff:([0-9.]+)$", 1)))
+def _reserved(ip: Column) -> Column:
+    return ip.rlike(_V4_RESERVED) | (ip.rlike(_V6_RESERVED) & ~ip.rlike(_V6_RESERVED_BUT_GLOBAL))
 
 
 def is_global_ip(ip: ColumnLike) -> Column:
-    """Globally routable and not multicast (expects canonical text)."""
+    """Globally routable and not multicast."""
     ip = as_col(ip)
-    n, key = _mapped_v4(ip), ip_key(ip)
-    v4 = ~(_reserved4(n) | _in_v4(n, _V4_SHARED) | _in_v4(n, _V4_MULTICAST))
-    v6 = ~(_reserved6(key) | _in_key(key, _V6_MULTICAST))
-    return F.coalesce(F.when(n.isNotNull(), v4).when(ip.contains(":"), v6), F.lit(False))
+    special = _reserved(ip) | ip.rlike(_V4_NOT_GLOBAL) | ip.rlike(_V6_MULTICAST)
+    return F.coalesce((ip.contains(":") | is_v4(ip)) & ~special, F.lit(False))
 
 
 def is_reserved_ip(ip: ColumnLike) -> Column:
-    """Reserved, or not an address at all."""
-    ip = as_col(ip)
-    n, key = _mapped_v4(ip), ip_key(ip)
-    return F.coalesce(
-        F.when(n.isNotNull(), _reserved4(n)).when(ip.contains(":"), _reserved6(key)), F.lit(True)
-    )
+    """Reserved, or not an address at all (any spelling is accepted)."""
+    return let(ip_text(ip), lambda text: F.coalesce(_reserved(text), F.lit(True)))
 
 
 def is_bcast_or_mcast(ip: ColumnLike) -> Column:
     ip = as_col(ip)
-    test = (
-        (ip == "255.255.255.255")
-        | ip.rlike(r"^(?:22[4-9]|23[0-9])\.")
-        | ip.rlike("^ff[0-9a-f]{2}:")
-    )
-    return F.coalesce(test, F.lit(False))
+    return F.coalesce(ip.rlike(r"^(?:255\.255\.255\.255$|22[4-9]\.|23[0-9]\.|ff[0-9a-f]{2}:)"), F.lit(False))
 
 
 def one_of(value: ColumnLike, values) -> Column:
@@ -270,17 +239,25 @@ def not_own(ip: ColumnLike, own_ips) -> Column:
 
 
 def cidr_of(ip: ColumnLike, prefix: int) -> Column:
-    """Text of the network with this prefix length that holds the address."""
+    """Text of the network with this prefix length (a multiple of 8, or 22) that
+    holds the address."""
     ip = as_col(ip)
-    shift = 32 - prefix
-    v4 = v4_text(F.shiftleft(F.shiftright(v4_long(ip), shift), shift))
-    digits = _v6_hex(ip)
-    kept, bits = divmod(prefix, 4)
-    head = F.substring(digits, 1, kept)
+    whole, bits = divmod(prefix, 8)
+    parts = [F.substring_index(ip, ".", whole)] if whole else []
     if bits:
-        mask = (0xF << (4 - bits)) & 0xF
-        digit = F.conv(F.substring(digits, kept + 1, 1), 16, 10).try_cast("int")
-        head = F.concat(head, F.lower(F.hex(digit.bitwiseAND(F.lit(mask)))))
-    v6 = _v6_text(F.rpad(head, 32, "0"))
-    network = F.when(is_v4(ip), v4).when(ip.contains(":"), v6)
+        octet = F.substring_index(F.substring_index(ip, ".", whole + 1), ".", -1).try_cast("int")
+        parts.append(octet.bitwiseAND(F.lit((0xFF << (8 - bits)) & 0xFF)).cast("string"))
+    rest = 4 - whole - (1 if bits else 0)
+    v4 = F.concat_ws(".", *parts, *[F.lit("0")] * rest)
+
+    def v6(text: Column) -> Column:
+        digits = _v6_hex(text)
+        kept, tail = divmod(prefix, 4)
+        head = F.substring(digits, 1, kept)
+        if tail:
+            digit = F.conv(F.substring(digits, kept + 1, 1), 16, 10).try_cast("int")
+            head = F.concat(head, F.lower(F.hex(digit.bitwiseAND(F.lit((0xF << (4 - tail)) & 0xF)))))
+        return _v6_text(F.rpad(head, 32, "0"))
+
+    network = F.when(is_v4(ip), v4).when(ip.contains(":"), let(ip, v6))
     return F.concat(network, F.lit(f"/{prefix}"))

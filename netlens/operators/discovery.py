@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netlens.config import NetConfig
-from netlens.functions.ip import in_cidr, is_public_ip_sql, is_wan_candidate_ip
+from netlens.functions.ip import is_private_network, is_public_ip_sql, is_wan_candidate_ip
 from netlens.functions.rules import has_vpn_prefix
 from netlens.functions.scalars import iface_label, iface_type, iface_vlan_id, ts_lit, vpn_badge, vpn_description
 from netlens.operators.topk import modal, pick_modal
@@ -18,7 +18,6 @@ Now = str | datetime
 
 # Multicast and broadcast targets that are no gateway.
 NOT_A_GATEWAY = ("224.0.0.251", "255.255.255.255")
-PRIVATE_TARGETS = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "fc00::/7")
 
 
 def _firewall() -> Column:
@@ -44,11 +43,9 @@ def wan_candidates(logs: DataFrame) -> DataFrame:
 
 def gateway_ips(logs: DataFrame) -> DataFrame:
     """Private targets of rules that guard the gateway itself."""
-    private = F.lit(False)
-    for cidr in PRIVATE_TARGETS:
-        private = private | in_cidr("dst_ip", cidr)
     rows = logs.where(
-        _firewall() & F.col("rule_name").contains("_LOCAL") & private & ~F.col("dst_ip").isin(list(NOT_A_GATEWAY))
+        _firewall() & F.col("rule_name").contains("_LOCAL") & is_private_network("dst_ip")
+        & ~F.col("dst_ip").isin(list(NOT_A_GATEWAY))
     )
     return rows.select(F.col("dst_ip").alias("gateway_ip")).distinct()
 

@@ -100,7 +100,7 @@ def adaptive_top_n(groups: DataFrame, n: int, max_links: int = MAX_LINKS) -> Dat
     tried = _relabel(ranked.withColumn("n", F.explode(F.sequence(F.lit(floor), F.lit(n)))), F.col("n"))
     links = (
         tried.select("n", F.explode(F.array(F.struct(F.lit(1).alias("layer"), F.col("a").alias("s"), F.col("b").alias("t")),
-                                            F.struct(F.lit(2), F.col("b"), F.col("c")))).alias("l"))
+                                            F.struct(F.lit(2).alias("layer"), F.col("b").alias("s"), F.col("c").alias("t")))).alias("l"))
         .groupBy("n")
         .agg(F.count_distinct("l").alias("links"))
     )
@@ -131,7 +131,8 @@ def sankey_links(rows: DataFrame, dims: tuple[str, str, str] = DEFAULT_DIMS) ->
         return F.concat(F.lit(dims[position] + ":"), F.col("abc"[position]))
 
     pairs = F.array(
-        F.struct(end(0).alias("source"), end(1).alias("target")), F.struct(end(1), end(2))
+        F.struct(end(0).alias("source"), end(1).alias("target")),
+        F.struct(end(1).alias("source"), end(2).alias("target")),
     )
     return (
         rows.select("value", F.explode(pairs).alias("l"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from netlens.functions.scalars import service_display
+from netlens.operators.dims import join_service
 
 # Columns of the registry file that are used, and its transports.
 REGISTRY_COLUMNS = ("Service Name", "Port Number", "Transport Protocol", "Description", "Reference")
@@ -52,10 +54,5 @@ def load_service_dim(spark: SparkSession, path: str) -> DataFrame:
 
 
 def service_name(df: DataFrame, services: DataFrame, port: str = "dst_port", protocol: str = "protocol") -> DataFrame:
-    from netlens.functions.scalars import service_display
-    from netlens.operators.dims import join_service
-
+    """Adds the registered service under its display name, and its description."""
     return join_service(df, services, port, protocol).withColumn("iana_service", service_display("iana_service"))
-
-
-SERVICE_SCHEMA = T.StructType.fromDDL("port int, protocol string, service_name string, description string")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netlens.functions.scalars import csv_safe
-from netlens.schema import LOG_SCHEMA, conform
+from netlens.schema import LOG_COLUMNS, conform, ddl
 
 PARTITIONS = ("log_date", "log_type")
 ROWS_PER_FILE = 2_000_000
@@ -21,7 +21,7 @@ def laid_out(logs: DataFrame) -> DataFrame:
     busy day and type) over many tasks at run time, and merges small ones. Rows
     are sorted by time, so file statistics prune within a day.
     """
-    rows = conform(logs, LOG_SCHEMA).withColumn("log_date", F.to_date("timestamp"))
+    rows = conform(logs).withColumn("log_date", F.to_date("timestamp"))
     return rows.hint("rebalance", *PARTITIONS).sortWithinPartitions(*PARTITIONS, "timestamp")
 
 
@@ -36,8 +36,8 @@ def write_logs(logs: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType([*[f for f in LOG_SCHEMA if f.name != "log_type"], T.StructField("log_date", T.DateType()),
-                           T.StructField("log_type", T.StringType())])
+    stored = {c: kind for c, kind in LOG_COLUMNS.items() if c not in PARTITIONS}
+    schema = ddl(stored | {"log_date": "date", "log_type": "string"})
     return spark.read.schema(schema).parquet(path)
 
 

@@ -59,7 +59,7 @@ def main(sf: str, parts: list[str]) -> int:
             df = run(spark, sf_dir)
             got = rows(df.columns, df.collect())
         except Exception as exc:  # report and go on
-            print(f"{name:34} SPARK ERROR {str(exc)[:1500]}")
+            print(f"{name:34} SPARK ERROR {str(exc)[:400]}")
             bad += 1
             continue
         took = time.time() - start
@@ -71,7 +71,7 @@ def main(sf: str, parts: list[str]) -> int:
             cols = [d[0] for d in res.description]
             want = rows(cols, res.fetchall())
         except Exception as exc:
-            print(f"{name:34} DUCKDB ERROR {str(exc)[:1500]}")
+            print(f"{name:34} DUCKDB ERROR {str(exc)[:400]}")
             bad += 1
             continue
         ok = sorted(cols) == sorted(df.columns) and got == want
