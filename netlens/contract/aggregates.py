@@ -14,7 +14,7 @@ from netlens.functions.scalars import with_share
 PAIRS = """src_ip IS NOT NULL AND dst_ip IS NOT NULL AND dst_port IS NOT NULL AND protocol IS NOT NULL"""
 # Identity of an address without a known name: gateway, WAN name, then VPN.
 WHO = """CASE WHEN {ip} IN ('192.168.10.2', '192.168.99.2', '192.168.20.7') THEN 'Gateway'
- WHEN {ip} = '45.1.1.5' THEN 'WAN uplink' WHEN {ip} = '45.2.0.3' THEN 'WAN backup'
+ WHEN {ip} = '45.1.0.2' THEN 'WAN uplink' WHEN {ip} = '45.2.0.103' THEN 'WAN backup'
  WHEN {num} BETWEEN 3232260864 AND 3232260879 THEN CASE WHEN {ip} = '192.168.99.1' THEN 'Gateway' ELSE 'WireGuard Server' END
  WHEN {num} BETWEEN 3232260864 AND 3232261119 THEN 'OpenVPN / Tunnel 1' END"""
 VLAN = "CASE {ip} WHEN '192.168.10.2' THEN 10 WHEN '192.168.99.2' THEN 99 END"

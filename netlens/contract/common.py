@@ -15,14 +15,14 @@ ALL = LogFilter(time=MONTH)
 FIREWALL = LogFilter(time=MONTH, log_type="firewall")
 SINCE_WEEK = "timestamp >= TIMESTAMP '2024-01-24 00:00:00'"
 SINCE_MONTH = "timestamp >= TIMESTAMP '2024-01-01 00:00:00'"
-OWN = ("0.0.0.0", "45.1.1.5", "45.2.0.3", "45.0.0.1")
-OWN_SQL = "('0.0.0.0', '45.1.1.5', '45.2.0.3', '45.0.0.1')"
+OWN = ("0.0.0.0", "45.1.0.2", "45.2.0.103", "45.3.1.11")
+OWN_SQL = "('0.0.0.0', '45.1.0.2', '45.2.0.103', '45.3.1.11')"
 
 CFG = NetConfig(
     wan_interfaces=("ppp0",),
-    wan_ips=("45.1.1.5", "45.2.0.3", "45.0.0.1"),
+    wan_ips=("45.1.0.2", "45.2.0.103", "45.3.1.11"),
     gateway_vlans={"192.168.10.2": 10, "192.168.99.2": 99, "192.168.20.7": None},
-    wan_ip_names={"45.1.1.5": "WAN uplink", "45.2.0.3": "WAN backup"},
+    wan_ip_names={"45.1.0.2": "WAN uplink", "45.2.0.103": "WAN backup"},
     vpn_networks={"wgsrv1": ("192.168.99.0/28", "WGD SRV"), "tun7": ("192.168.99.0/24", "OVPN TUN")},
     interface_labels={"ppp0": "Internet", "br10": "Home", "wgsrv1": "Road warriors"},
 )

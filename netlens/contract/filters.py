@@ -139,7 +139,7 @@ def _c22(t):
 @query(
     "c23_remote_party", "logs",
     f"{DIGEST_SQL} WHERE src_ip IS NOT NULL AND NOT {_reserved('src_ip')}"
-    " AND src_ip NOT IN ('45.1.1.5', '45.2.0.3', '45.0.0.1') GROUP BY log_type",
+    " AND src_ip NOT IN ('45.1.0.2', '45.2.0.103', '45.3.1.11') GROUP BY log_type",
 )
 def _c23(t):
     return digest(t.logs.where(is_remote("src_ip", CFG.own_ips)))

@@ -51,7 +51,7 @@ def latest_device(t):
     return dims.join_latest_device(rows, t.devices, "dst_ip", "device").groupBy("dst_ip", "device").agg(F.count(F.lit(1)).alias("n"))
 
 
-_OWN = "('45.1.1.5', '45.2.0.3', '45.0.0.1')"
+_OWN = "('45.1.0.2', '45.2.0.103', '45.3.1.11')"
 
 
 def _side(column: str, empty_is_null: bool = False) -> str:

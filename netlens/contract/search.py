@@ -75,7 +75,7 @@ def pages(t):
 
 
 IDS = [3, 4, 9, 24, 64, 129, 333, 514, 700, 999]
-_OWN = "('45.1.1.5', '45.2.0.3', '45.0.0.1')"
+_OWN = "('45.1.0.2', '45.2.0.103', '45.3.1.11')"
 
 
 @query(

@@ -10,6 +10,10 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from netlens.plans.staging import computed
+from netlens.schema import with_category_array
 
 NOW = "2024-01-31 00:00:00"
 
@@ -247,6 +251,7 @@ VIEWS = {
     "rdns_cache": _RDNS_CACHE, "queue": _QUEUE, "audit": _AUDIT, "tokens": _TOKENS,
     "dns_flat": _DNS_FLAT, "dns_answers": _DNS_ANSWERS, "services": _SERVICES,
 }
+_KIND_COLUMNS = ("q", "lt", "act", "k", "pub", "prv", "br", "mac")
 BASE_TABLES = ("events", "customer", "supplier", "region", "nation", "orders", "part")
 
 _NEEDS = {
@@ -293,7 +298,9 @@ class Tables:
 
     def _view(self, name: str) -> DataFrame:
         needs = {n: self._view(n) if n in VIEWS else self.base(n) for n in _NEEDS[name]}
-        return self.spark.sql(VIEWS[name], **needs)
+        df = self.spark.sql(VIEWS[name], **needs)
+        # The building blocks of a log row are used many times: compute them once.
+        return computed(df, {c: F.col(c) for c in _KIND_COLUMNS}) if name == "logs_kind" else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
@@ -302,12 +309,14 @@ class Tables:
 
     @cached_property
     def logs(self) -> DataFrame:
-        from netlens.schema import with_category_array
-
         return with_category_array(self._view("logs"))
 
     @cached_property
-    def threats(self) -> DataFrame:
-        from netlens.schema import with_category_array
+    def lines(self) -> DataFrame:
+        """Raw lines as a source delivers them: plain values, not expressions."""
+        rows = self._view("logs").select("id", "raw_log").where(F.col("raw_log").isNotNull())
+        return computed(rows, {"raw_log": F.col("raw_log")})
 
+    @cached_property
+    def threats(self) -> DataFrame:
         return with_category_array(self._view("threats"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netlens.config import VPN_PREFIXES, NetConfig
-from netlens.functions.ip import ColumnLike, as_col, in_cidr, one_of
+from netlens.functions.ip import ColumnLike, as_col, in_cidr, let, one_of
 
 NAMED = "struct<badge:string,name:string>"
 IDENTITY = "struct<name:string,vlan:int,vpn_badge:string>"
@@ -25,18 +25,25 @@ def _type_name(interface: str, badge: str) -> str:
 def vpn_match(ip: ColumnLike, cfg: NetConfig, exclude: tuple[str, ...] = ()) -> Column:
     """struct(badge, name) of the first VPN network that holds the address; the
     network's first address is its gateway."""
+
+    def first_network(address: Column) -> Column:
+        found = F.lit(None).cast(NAMED)
+        for interface, (cidr, badge) in reversed(list(cfg.vpn_networks.items())):
+            try:
+                network = ipaddress.ip_network(cidr, strict=False)
+            except ValueError:
+                continue
+            gateway = address == str(network.network_address + 1)
+            name = F.when(gateway, "Gateway").otherwise(_type_name(interface, badge))
+            peer = F.struct(F.lit(badge).alias("badge"), name.alias("name"))
+            if cidr and badge:
+                found = F.when(in_cidr(address, str(network)), peer).otherwise(found)
+        return found
+
     ip = as_col(ip)
-    found = F.lit(None).cast(NAMED)
-    for interface, (cidr, badge) in reversed(list(cfg.vpn_networks.items())):
-        if not cidr or not badge:
-            continue
-        try:
-            network = ipaddress.ip_network(cidr, strict=False)
-        except ValueError:
-            continue
-        name = F.when(ip == str(network.network_address + 1), "Gateway").otherwise(_type_name(interface, badge))
-        found = F.when(in_cidr(ip, str(network)), F.struct(F.lit(badge).alias("badge"), name.alias("name"))).otherwise(found)
-    return F.when(ip.isNotNull() & ~one_of(ip, exclude), found).cast(NAMED)
+    if not cfg.vpn_networks:
+        return F.lit(None).cast(NAMED)
+    return F.when(ip.isNotNull() & ~one_of(ip, exclude), let(ip, first_network)).cast(NAMED)
 
 
 def _lookup(ip: Column, entries: dict) -> Column:

@@ -13,6 +13,7 @@ from netlens.functions.ip import ColumnLike, as_col, is_global_ip, one_of, valid
 from netlens.functions.rules import action_of, direction_of
 from netlens.functions.scalars import service_display, ts_lit
 from netlens.operators.dims import join_service
+from netlens.plans.staging import computed
 from netlens.schema import MAX_LENGTHS
 
 # The formats of the log lines. (?U) makes \w, \s and \d Unicode.
@@ -215,34 +216,34 @@ def parse_lines(df: DataFrame, cfg: NetConfig, now: str | datetime | Column, raw
     patterns of one type.
     """
     now = now if isinstance(now, Column) else ts_lit(now)
-    staged = df.withColumn("_h", split_header(raw)).withColumn("log_type", log_type_of("_h.body"))
+    header = computed(df, {"_h": split_header(raw)})
     body = F.col("_h.body")
+    typed = computed(header, {"log_type": log_type_of(body)})
     made = {
         "firewall": firewall_fields(body), "dns": dns_fields(body),
         "dhcp": dhcp_fields(body), "wifi": wifi_fields(body),
     }
-    for kind, fields in made.items():
-        staged = staged.withColumn(f"_{kind}", F.when(F.col("log_type") == kind, fields))
-    columns = {}
-    for name in PARSED:
-        sources = [F.col(f"_{kind}.{name}") for kind, names in PARTS.items() if name in names]
-        columns[name] = F.coalesce(*sources)
-    parsed = staged.withColumns(columns)
-    # 'redirect' and friends need the rule, directions need valid addresses.
-    parsed = parsed.withColumns(
+    split = computed(typed, {f"_{k}": F.when(F.col("log_type") == k, fields) for k, fields in made.items()})
+    columns = {
+        name: F.coalesce(*[F.col(f"_{kind}.{name}") for kind, names in PARTS.items() if name in names])
+        for name in PARSED
+    }
+    parsed = split.select(*df.columns, "_h", "log_type", *[value.alias(name) for name, value in columns.items()])
+    checked = computed(
+        parsed,
         {
             "timestamp": syslog_ts("_h.month", "_h.day", "_h.time", cfg.timezone, now),
             "src_ip": valid_ip("src_ip"),
             "dst_ip": valid_ip("dst_ip"),
             "mac_address": valid_mac("mac_address"),
-        }
+        },
     )
     error = (
         F.when(F.col("_h").isNull(), "header")
         .when(F.col("timestamp").isNull(), "timestamp")
         .when(_length_problem(), "size")
     )
-    return parsed.withColumn("parse_error", error).drop("_h", *[f"_{k}" for k in made])
+    return checked.withColumn("parse_error", error).drop("_h")
 
 
 def derive(parsed: DataFrame, cfg: NetConfig, src_is_own_wan: Column | None = None) -> DataFrame:
