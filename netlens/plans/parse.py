@@ -9,15 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netlens.config import NetConfig
-from netlens.functions.ip import ColumnLike, as_col, is_global_ip, one_of, valid_ip
+from netlens.functions.ip import ColumnLike, as_col, is_global_ip, let, one_of, valid_ip
 from netlens.functions.rules import action_of, direction_of
 from netlens.functions.scalars import service_display, ts_lit
 from netlens.operators.dims import join_service
 from netlens.plans.staging import computed
 from netlens.schema import MAX_LENGTHS
 
-# The formats of the log lines. (?U) makes \w, \s and \d Unicode.
-HEADER = r"(?U)^\w+\s+\d+\s+\d+:\d+:\d+\s+\S+\s+.+$"
+# The formats of the log lines. (?U) makes \w, \s and \d Unicode,
+# (?d) makes "." stop at a line feed only.
+HEADER = r"(?dU)^\w+\s+\d+\s+\d+:\d+:\d+\s+\S+\s+.+$"
+# The same for a header in plain ASCII, which is many times faster to test.
+ASCII_HEADER = r"(?d)^[A-Za-z0-9_]+[ \t]+[0-9]+[ \t]+[0-9]+:[0-9]+:[0-9]+[ \t]+[!-~]+[ \t]+[!-~].*$"
 PRIORITY = r"^<[0-9]+>"
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 MAC = r"[0-9a-fA-F]{2}(?::[0-9a-fA-F]{2}){5}"
@@ -32,11 +35,11 @@ FIREWALL = {
     "dst_port": r"DPT=([0-9]+)",
     "mac_address": r"MAC=([0-9a-f:]+)",
 }
-DESCRIPTION = r'DESCR="([^"]*)"'
+DESCRIPTION = r'DESCR="[^"]*"'
 DNS_QUERY = r"query\[([A-Z]+)\]\s+(\S+)\s+from\s+([0-9a-fA-F:.]+)"
-DNS_REPLY = r"reply\s+(\S+)\s+is\s+(.+)"
+DNS_REPLY = r"(?d)reply\s+(\S+)\s+is\s+(.+)"
 DNS_FORWARD = r"forwarded\s+(\S+)\s+to\s+([0-9a-fA-F:.]+)"
-DNS_CACHED = r"cached\s+(\S+)\s+is\s+(.+)"
+DNS_CACHED = r"(?d)cached\s+(\S+)\s+is\s+(.+)"
 DHCP_ACK = rf"DHCPACK\((\S+)\)\s+([0-9a-fA-F:.]+)\s+({MAC})\s*(\S*)"
 DHCP_REQUEST = rf"DHCPREQUEST\((\S+)\)\s+([0-9a-fA-F:.]+)\s+({MAC})"
 DHCP_OFFER = rf"DHCPOFFER\((\S+)\)\s+([0-9a-fA-F:.]+)\s+({MAC})"
@@ -58,13 +61,15 @@ def split_header(line: ColumnLike) -> Column:
     """struct(month, day, time, host, body), NULL for a line without a header.
     A line that does not match is tried again without its <priority>."""
     line = as_col(line)
-    text = F.when(line.rlike(HEADER), line).otherwise(F.regexp_replace(line, PRIORITY, ""))
-    # One split instead of five group extractions: the fields hold no blanks.
-    parts = F.split(text, r"(?U)\s+", 5)
+    # A header starts with a word, so only a line starting with "<" needs the retry.
+    text = F.when(line.startswith("<"), F.regexp_replace(line, PRIORITY, "")).otherwise(line)
     names = ("month", "day", "time", "host", "body")
-    return F.when(
-        text.rlike(HEADER), F.struct(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)])
-    )
+
+    def fields(blanks: str) -> Column:
+        # One split instead of five group extractions: the fields hold no blanks.
+        return let(F.split(text, blanks, 5), lambda p: F.struct(*[p[i].alias(n) for i, n in enumerate(names)]))
+
+    return F.when(text.rlike(ASCII_HEADER), fields(r"[ \t]+")).when(text.rlike(HEADER), fields(r"(?U)\s+"))
 
 
 def syslog_ts(month: ColumnLike, day: ColumnLike, time: ColumnLike, tz: str, now: ColumnLike) -> Column:
@@ -113,14 +118,22 @@ def source_mac(mac_field: ColumnLike) -> Column:
 
 def firewall_fields(body: ColumnLike) -> Column:
     body = as_col(body)
-    found = {name: _group(body, pattern) for name, pattern in FIREWALL.items()}
-    found["protocol"] = F.lower(found["protocol"])
-    found["mac_address"] = source_mac(found["mac_address"])
-    for port in ("src_port", "dst_port"):
-        found[port] = found[port].try_cast("bigint")
-    # An empty description is a value, a missing one is NULL.
-    found["rule_desc"] = F.when(body.rlike(DESCRIPTION), F.regexp_extract(body, DESCRIPTION, 1))
-    return _fields(**found)
+    # Each pattern runs once: the matches are taken first and cleaned afterwards.
+    matches = {name: F.regexp_extract(body, pattern, 1) for name, pattern in FIREWALL.items()}
+    matches["rule_desc"] = F.regexp_extract(body, DESCRIPTION, 0)
+
+    def cleaned(m: Column) -> Column:
+        found = {name: F.nullif(m[name], F.lit("")) for name in matches}
+        found["protocol"] = F.lower(found["protocol"])
+        found["mac_address"] = source_mac(found["mac_address"])
+        for port in ("src_port", "dst_port"):
+            found[port] = found[port].try_cast("bigint")
+        # An empty description is a value, a missing one is NULL.
+        text = found["rule_desc"]
+        found["rule_desc"] = F.substr(text, F.lit(len('DESCR="') + 1), F.length(text) - len('DESCR=""'))
+        return _fields(**found)
+
+    return let(_fields(**matches), cleaned)
 
 
 def dns_fields(body: ColumnLike) -> Column:
