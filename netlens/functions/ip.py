@@ -157,14 +157,15 @@ def in_cidr(ip: ColumnLike, cidr: str) -> Column:
 # part of the generated code.
 
 # Private ranges 10/8, 172.16/12, 192.168/16, fc00::/7, fe80::/10.
-_PRIVATE = r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:)"
+PRIVATE = r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:)"
+BROADCAST_OR_MULTICAST = r"^(?:255\.255\.255\.255$|22[4-9]\.|23[0-9]\.|ff[0-9a-f]{2}:)"
 _PRIVATE_NETWORK = r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|f[cd][0-9a-f]{2}:)"
 
 
 def is_public_ip_sql(ip: ColumnLike) -> Column:
     """Outside the private ranges. Loopback, 169.254/16 and multicast count as
     public here; NULL is not public."""
-    return F.coalesce(~as_col(ip).rlike(_PRIVATE), F.lit(False))
+    return F.coalesce(~as_col(ip).rlike(PRIVATE), F.lit(False))
 
 
 def is_private_network(ip: ColumnLike) -> Column:
@@ -217,7 +218,7 @@ def is_reserved_ip(ip: ColumnLike) -> Column:
 
 def is_bcast_or_mcast(ip: ColumnLike) -> Column:
     ip = as_col(ip)
-    return F.coalesce(ip.rlike(r"^(?:255\.255\.255\.255$|22[4-9]\.|23[0-9]\.|ff[0-9a-f]{2}:)"), F.lit(False))
+    return F.coalesce(ip.rlike(BROADCAST_OR_MULTICAST), F.lit(False))
 
 
 def one_of(value: ColumnLike, values) -> Column:

@@ -51,7 +51,7 @@ def read_snapshot(spark: SparkSession, path: str, schema: T.StructType | str, be
     """The latest version (below ``before``), or an empty table."""
     empty = spark.createDataFrame([], schema)
     try:
-        versions = spark.read.schema(empty.schema.add("version", T.LongType())).parquet(path)
+        versions = spark.read.schema(T.StructType([*empty.schema, T.StructField("version", T.LongType())])).parquet(path)
     except AnalysisException:
         return empty
     usable = versions if before is None else versions.where(F.col("version") < before)

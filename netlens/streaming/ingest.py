@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,7 +29,7 @@ def row_id(logs: DataFrame, *extra: str) -> DataFrame:
     return logs.withColumn("id", F.abs(F.xxhash64("raw_log", *extra)))
 
 
-def with_ingest_metrics(parsed: DataFrame, off: Iterable[str] = (), name: str = "ingest") -> DataFrame:
+def with_ingest_metrics(parsed: DataFrame, off: Iterable[str] = (), name: str | Observation = "ingest") -> DataFrame:
     """Counters observed while the rows pass: received, parsed, filtered, failed
     (no header) and dropped (not storable)."""
     off = list(off) or [""]
