@@ -54,10 +54,11 @@ def main() -> None:
     logs = scaled(t.logs, factor)
     if factor > 1 and t.base("events").rdd.getNumPartitions() < int(cpus):
         logs = scaled(t.logs.repartition(int(cpus)), factor)
-    lines = logs.select("id", "raw_log").where(F.col("raw_log").isNotNull())
+    # The test table is one file with one row group; lines come from many files.
+    lines = logs.select("id", "raw_log").repartition(int(cpus))
     groups = flows.flow_groups(logs, FIREWALL, NOW)
     tables = EnrichmentTables(asn_blocks=keyed_blocks(t.asn_blocks), rdns_cache=t.rdns_cache, threats=t.threats)
-    bare = logs.drop("geo_country", "asn_name", "rdns", "threat_score", "threat_categories", "remote_ip")
+    bare = logs.drop("geo_country", "asn_name", "rdns", "threat_score", "threat_categories", "remote_ip").repartition(int(cpus))
     queries = {
         "f1_overview": lambda: stats.overview(logs, WEEK, NOW),
         "f17_action_over_time": lambda: stats.action_over_time(logs, MONTH, NOW),

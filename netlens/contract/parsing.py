@@ -42,7 +42,6 @@ def log_type(t):
     return h.select("id", parse.log_type_of("h.body").alias("log_type"))
 
 
-# A rule without a name leaves the raw text NULL: those lines are never parsed.
 _FIREWALL = "log_type = 'firewall' AND raw_log IS NOT NULL"
 
 

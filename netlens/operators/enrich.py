@@ -14,6 +14,7 @@ from netlens.operators.dims import resolve_names
 from netlens.operators.policy import resolve_action
 from netlens.operators.rangejoin import range_join
 from netlens.operators.threats import fresh_rdns, fresh_threats
+from netlens.plans.staging import computed
 
 Now = str | datetime
 GEO = ("geo_country", "geo_city", "geo_lat", "geo_lon")
@@ -92,7 +93,7 @@ def enrich(logs: DataFrame, tables: EnrichmentTables, cfg: NetConfig, now: Now)
             )
             .drop("resolved_action", "action_source")
         )
-    rows = logs.withColumn("remote_ip", remote_side(cfg))
+    rows = computed(logs, {"remote_ip": remote_side(cfg)})
     found = remote_attributes(rows.select(F.col("remote_ip").alias("ip")), tables, now)
     found = found.select(*[F.col(c).alias("_key" if c == "ip" else f"_{c}") for c in found.columns])
     joined = rows.withColumn("_join", spread_null(F.col("remote_ip"), F.col("raw_log"))).join(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Above this many rows the newest rows are found by day counts first.
+# Above this many rows the cut-off time is found by counting.
 LARGE_LIMIT = 1_000
 
 
@@ -24,12 +24,15 @@ def newest(df: DataFrame, k: int, *order: Column, ts: str = "timestamp") -> Data
     """The ``k`` newest rows in the given order, whose first column must be
     descending ``ts``.
 
-    For a large ``k`` a plain limit would send k rows of every task to one task.
-    Counting rows per minute first (a narrow scan) tells from which minute on the
-    newest k rows lie, so only those reach the sort.
+    Rows are wide and only k of them are wanted, so a first scan of ``ts`` and the
+    filter columns finds the cut-off time, and only files and row groups beyond it
+    are read in full. For a small ``k`` the cut-off is the k-th newest time. For a
+    large one that would send k times of every task to one task; counting rows per
+    day and then per minute gives the minute the k-th row is in.
     """
     if k <= LARGE_LIMIT:
-        return top_k(df, k, *order)
+        cutoff = top_k(df.select(ts), k, F.desc(ts)).agg(F.min(ts).alias("cutoff"))
+        return top_k(df.where(F.col(ts) >= cutoff.scalar()), k, *order)
     minute = F.date_trunc("minute", F.col(ts))
     per_day = df.groupBy(F.date_trunc("day", F.col(ts)).alias("day")).agg(F.count(F.lit(1)).alias("n"))
     # One row per day / per minute of one day: small enough for one window.

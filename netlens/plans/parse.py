@@ -139,37 +139,50 @@ def firewall_fields(body: ColumnLike) -> Column:
 def dns_fields(body: ColumnLike) -> Column:
     """Query, reply, forwarded or cached: the first that matches."""
     body = as_col(body)
-    query, reply = body.rlike(DNS_QUERY), body.rlike(DNS_REPLY)
-    forward, cached = body.rlike(DNS_FORWARD), body.rlike(DNS_CACHED)
+    kinds = (("query", DNS_QUERY), ("reply", DNS_REPLY), ("forward", DNS_FORWARD), ("cached", DNS_CACHED))
+    kind = F.lit(None).cast("string")
+    for name, pattern in reversed(kinds):
+        kind = F.when(body.rlike(pattern), name).otherwise(kind)
     g = F.regexp_extract
-    return _fields(
-        dns_type=F.when(query, g(body, DNS_QUERY, 1)),
-        dns_query=F.when(query, g(body, DNS_QUERY, 2)).when(reply, g(body, DNS_REPLY, 1))
-        .when(forward, g(body, DNS_FORWARD, 1)).when(cached, g(body, DNS_CACHED, 1)),
-        dns_answer=F.when(query, None).when(reply, g(body, DNS_REPLY, 2))
-        .when(forward, None).when(cached, g(body, DNS_CACHED, 2)),
-        src_ip=F.when(query, g(body, DNS_QUERY, 3)),
-        dst_ip=F.when(query | reply, None).when(forward, g(body, DNS_FORWARD, 2)),
-    )
+
+    def fields(k: Column) -> Column:
+        names = F.when(k == "query", g(body, DNS_QUERY, 2))
+        for name, pattern in kinds[1:]:
+            names = names.when(k == name, g(body, pattern, 1))
+        return _fields(
+            dns_type=F.when(k == "query", g(body, DNS_QUERY, 1)),
+            dns_query=names,
+            dns_answer=F.when(k == "reply", g(body, DNS_REPLY, 2)).when(k == "cached", g(body, DNS_CACHED, 2)),
+            src_ip=F.when(k == "query", g(body, DNS_QUERY, 3)),
+            dst_ip=F.when(k == "forward", g(body, DNS_FORWARD, 2)),
+        )
+
+    return let(kind, fields)
 
 
 def dhcp_fields(body: ColumnLike) -> Column:
+    """Acknowledge, request, offer or discover, in this order. The four share one
+    form, so the matched text is taken first and split into its words."""
     body = as_col(body)
-    kinds = (
-        ("DHCPACK", DHCP_ACK), ("DHCPREQUEST", DHCP_REQUEST), ("DHCPOFFER", DHCP_OFFER), ("DHCPDISCOVER", DHCP_DISCOVER)
-    )
-    out = {}
-    for i, name in enumerate(("interface_in", "src_ip", "mac_address"), 1):
-        value = F.lit(None).cast("string")
-        for _, pattern in reversed(kinds):
-            value = F.when(body.rlike(pattern), _group(body, pattern, i)).otherwise(value)
-        out[name] = value
-    event = F.lit(None).cast("string")
-    for kind, pattern in reversed(kinds):
-        event = F.when(body.rlike(pattern), kind).otherwise(event)
-    out["hostname"] = _group(body, DHCP_ACK, 4)
-    out["dhcp_event"] = event
-    return _fields(**out)
+    matched = F.coalesce(*[_group(body, p, 0) for p in (DHCP_ACK, DHCP_REQUEST, DHCP_OFFER, DHCP_DISCOVER)])
+
+    def fields(text: Column) -> Column:
+        words = F.split(text, r"\s+")
+        head = words[0]
+        bare = F.size(words) == 2  # a discover without an address
+        mac_word = F.when(bare, words[1]).otherwise(F.get(words, F.lit(2)))
+        glued = F.nullif(F.substr(mac_word, F.lit(18)), F.lit(""))
+        event = F.substring_index(head, "(", 1)
+        host = F.coalesce(glued, F.nullif(F.get(words, F.lit(3)), F.lit("")))
+        return _fields(
+            interface_in=F.regexp_extract(head, r"\((\S+)\)$", 1),
+            src_ip=F.when(~bare, words[1]),
+            mac_address=F.substring(mac_word, 1, 17),
+            hostname=F.when(event == "DHCPACK", host),
+            dhcp_event=event,
+        )
+
+    return let(matched, lambda text: F.when(text.isNotNull(), fields(text)))
 
 
 def wifi_fields(body: ColumnLike) -> Column:
