@@ -12,7 +12,7 @@ from netlens.config import ABUSE_DETAILS, NetConfig
 from netlens.functions.ip import is_remote
 from netlens.operators.dims import resolve_names
 from netlens.operators.policy import resolve_action
-from netlens.operators.rangejoin import range_join
+from netlens.operators.rangejoin import attach_block
 from netlens.operators.threats import fresh_rdns, fresh_threats
 from netlens.plans.staging import computed
 
@@ -57,8 +57,7 @@ def remote_attributes(ips: DataFrame, tables: EnrichmentTables, now: Now) -> Dat
     for blocks, columns in ((tables.city_blocks, GEO), (tables.asn_blocks, ASN)):
         if blocks is not None:
             present = [c for c in columns if c in blocks.columns]
-            found = range_join(attributes, blocks.select("start_key", "end_key", "prefix_len", *present))
-            attributes = attributes.join(found, "ip", "left")
+            attributes = attach_block(attributes, blocks.select("start_key", "end_key", "prefix_len", *present))
     if tables.rdns_cache is not None:
         attributes = attributes.join(fresh_rdns(tables.rdns_cache, now).select("ip", "rdns"), "ip", "left")
     if tables.threats is not None:

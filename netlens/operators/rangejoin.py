@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netlens.functions.ip import ip_key, v4_text
+from netlens.plans.staging import computed
 
 MAX_FINE_BUCKETS = 256
 
@@ -78,30 +79,38 @@ def _coarse(key: Column) -> Column:
     )
 
 
-def range_join(ips: DataFrame, blocks: DataFrame, ip_col: str = "ip") -> DataFrame:
-    """Distinct addresses of ``ips`` with the columns of the narrowest block that
-    holds them, NULL where none does. ``blocks`` has start_key, end_key and
-    prefix_len."""
+def attach_block(keys: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``keys`` (one row per ``ip``) with the columns of the narrowest block that
+    holds the address, NULL where none does. ``blocks`` has start_key, end_key and
+    prefix_len. One pass: ``keys`` is read once."""
+    carried = [c for c in keys.columns if c != "ip"]
     attributes = [c for c in blocks.columns if c not in ("start_key", "end_key", "prefix_len")]
-    wanted = ips.select(F.col(ip_col).alias("ip")).where(F.col("ip").isNotNull()).distinct()
-    keyed = wanted.withColumn("_key", ip_key("ip"))
-    probes = keyed.where(F.col("_key").isNotNull()).withColumn(
-        "_bucket", F.explode(F.array(_fine(F.col("_key")), _coarse(F.col("_key"))))
+    # Computed apart, so that no test of the key moves below the caller's distinct.
+    keyed = computed(keys, {"_key": ip_key("ip")})
+    key = F.col("_key")
+    nowhere = F.array(F.lit(None).cast("bigint"))
+    probes = keyed.withColumn(
+        "_bucket", F.explode(F.when(key.isNotNull(), F.array(_fine(key), _coarse(key))).otherwise(nowhere))
     )
     start, end = F.col("start_key"), F.col("end_key")
     # An IPv6 block that contains the mapped range starts and ends outside it.
     narrow = (_is_mapped(start) == _is_mapped(end)) & (_fine(end) - _fine(start) < MAX_FINE_BUCKETS)
     listed = blocks.withColumn(
-        "_bucket",
+        "_block_bucket",
         F.explode(
             F.when(narrow, F.sequence(_fine(start), _fine(end))).otherwise(F.sequence(_coarse(start), _coarse(end)))
         ),
     )
-    inside = (F.col("_key") >= start) & (F.col("_key") <= end)
-    hits = probes.join(listed, "_bucket").where(inside)
-    best = hits.groupBy("ip").agg(
-        F.max_by(F.struct(*attributes), F.struct("prefix_len", *attributes)).alias("_block")
-    )
-    return wanted.join(best, "ip", "left").select(
-        F.col("ip").alias(ip_col), *[F.col(f"_block.{c}").alias(c) for c in attributes]
+    inside = (F.col("_bucket") == F.col("_block_bucket")) & (key >= start) & (key <= end)
+    found = F.when(F.col("prefix_len").isNotNull(), F.struct("prefix_len", *[F.col(f"_a_{c}") for c in attributes]))
+    named = listed.select(
+        "start_key", "end_key", "prefix_len", "_block_bucket", *[F.col(c).alias(f"_a_{c}") for c in attributes]
     )
+    best = probes.join(named, inside, "left").groupBy("ip", *carried).agg(F.max(found).alias("_block"))
+    return best.select("ip", *carried, *[F.col(f"_block._a_{c}").alias(c) for c in attributes])
+
+
+def range_join(ips: DataFrame, blocks: DataFrame, ip_col: str = "ip") -> DataFrame:
+    """Distinct addresses of ``ips`` with the columns of their block."""
+    wanted = ips.select(F.col(ip_col).alias("ip")).where(F.col("ip").isNotNull()).distinct()
+    return attach_block(wanted, blocks).withColumnRenamed("ip", ip_col)
