@@ -98,8 +98,10 @@ def adaptive_top_n(groups: DataFrame, n: int, max_links: int = MAX_LINKS) -> Dat
     ranked = ranked_groups(groups, n)
     floor = min(n, ALWAYS_FITS)
     tried = _relabel(ranked.withColumn("n", F.explode(F.sequence(F.lit(floor), F.lit(n)))), F.col("n"))
+    # Every group has a value; naming it keeps both uses of the groups alike, so that
+    # Spark computes them once and reads the log once.
     links = (
-        tried.select("n", F.explode(F.array(F.struct(F.lit(1).alias("layer"), F.col("a").alias("s"), F.col("b").alias("t")),
+        tried.where(F.col("value") > 0).select("n", F.explode(F.array(F.struct(F.lit(1).alias("layer"), F.col("a").alias("s"), F.col("b").alias("t")),
                                             F.struct(F.lit(2).alias("layer"), F.col("b").alias("s"), F.col("c").alias("t")))).alias("l"))
         .groupBy("n")
         .agg(F.count_distinct("l").alias("links"))

@@ -4,7 +4,6 @@ import ipaddress
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from netlens.functions import ip as ipf
 
