@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from netlens.llm.chat_format import chat_digest
 from netlens.llm.line_dedup import line_digest
+from netlens.llm.mixing import mixing_digest
+from netlens.llm.packing import packing_digest
 from netlens.llm.quality_rules import quality_digest
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file() -> str:
+    """Public vocabulary that the packing query's contract names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def query(name: str, sql: str | None = None):
     def add(run):
         LLM_QUERIES[name] = run
@@ -69,3 +78,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op8_mixing")
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_digest(table(spark, sf_dir, "documents"), tokenizer_file())
