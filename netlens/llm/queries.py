@@ -11,6 +11,7 @@ from netlens.llm.line_dedup import line_digest
 from netlens.llm.mixing import mixing_digest
 from netlens.llm.packing import packing_digest
 from netlens.llm.quality_rules import quality_digest
+from netlens.llm.topk_search import search_digest
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -88,3 +89,20 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_packing")
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+@query(
+    "op4_topk_search",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) r WHERE rank <= 10
+    """,
+)
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_digest(table(spark, sf_dir, "embeddings"))
