@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from netlens.llm.chat_format import chat_digest
+from netlens.llm.language_id import language_digest
 from netlens.llm.line_dedup import line_digest
 from netlens.llm.mixing import mixing_digest
+from netlens.llm.ngram_join import join_digest
 from netlens.llm.packing import packing_digest
 from netlens.llm.quality_rules import quality_digest
 from netlens.llm.topk_search import search_digest
@@ -106,3 +108,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_digest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_ngram_jaccard_join")
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_digest(table(spark, sf_dir, "documents"))
