@@ -249,3 +249,30 @@ def classes(documents: DataFrame) -> DataFrame:
 
 def join_digest(documents: DataFrame) -> DataFrame:
     return classes(documents.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def one_per_class(documents: DataFrame) -> DataFrame:
+    """``documents`` with its own columns, one row of each component: the one with the
+    smallest id (null last), then the smallest hash of the text. Documents without a
+    shingle all stay. Of rows equal in id and text one stays."""
+    known = saved(classes(documents.select("doc_id", "text")).select("doc_id", "text_hash", "n_shingles", "component_id", "key"))
+    some = known.where("n_shingles > 0")
+    # Components without an id are told apart by their sets.
+    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("key")).alias("unnamed")]
+    row = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
+    best = some.select(*group, row.alias("row")).groupBy("component_id", "unnamed").agg(F.min("row").alias("best"))
+    best = best.select(F.col("best.doc_id").alias("i"), F.col("best.text_hash").alias("h"))
+    gone = some.select("doc_id", "text_hash").distinct().join(best, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")), "left_anti")
+    twice = some.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    text = F.xxhash64(F.col("text").cast("string"))
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text.alias("th"))
+
+    def without(rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
+        others = others.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
+        return join_checked(rows, others, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")), how)
+
+    rows = without(rows, saved(gone), "left_anti")
+    twice = saved(twice)
+    if not twice.isEmpty():
+        rows = without(rows, twice, "left_anti").unionByName(without(rows, twice, "left_semi").dropDuplicates(["id", "th"]))
+    return rows.select("row.*")
