@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netlens.llm.common import import_in_workers
 from netlens.llm.sampling import per_class, remainder
 from netlens.llm.wordhash import LOWER, NO_LETTER, SpanHashes, chunks, spans
 
@@ -175,6 +176,7 @@ def label(documents: DataFrame, model: Model | None) -> DataFrame:
     are ``und`` with score 0 and no spans. Ties go to the first language in order. Ids
     may be null or repeated; other columns are ignored.
     """
+    import_in_workers(documents.sparkSession)
     text = F.col("text").cast("string")
     rows = documents.select("doc_id", F.when(text.rlike(r"\p{L}"), text).alias("text"))
     if model is None:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import discard, join_checked, saved
+from netlens.llm.common import discard, import_in_workers, join_checked, saved
 from netlens.llm.components import components
 from netlens.llm.wordhash import set_key, shingle_sets
 
@@ -221,6 +221,7 @@ def classes(documents: DataFrame) -> DataFrame:
     there is no other. Repeated rows are copies. Two different sets get the same 64-bit
     key with a probability of sets^2 / 2^65 for the whole corpus.
     """
+    import_in_workers(documents.sparkSession)
     rows = _rows(documents)
     sets = saved(prefix_sets(rows))
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")).alias("rep")

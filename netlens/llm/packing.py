@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import saved
+from netlens.llm.common import import_in_workers, saved
 
 CAPACITY = 4096
 OPEN_WINDOWS = 16
@@ -242,6 +242,7 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, windows
     ignored; an empty table gives no rows. Pieces are written before they are merged, so
     numbers stay the same when a task is run again.
     """
+    import_in_workers(documents.sparkSession)
     pieces = saved(pack_partitions(documents, tokenizer, capacity, windows))
     group = F.floor(F.col("partition") / MERGED_PARTITIONS)
     merged = pieces.where("open").groupBy(group).applyInPandas(lambda left: merge_windows(left, capacity), f"{PIECE}, {WINDOW}")

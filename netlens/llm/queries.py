@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from netlens.llm.chat_format import chat_digest
 from netlens.llm.language_id import language_digest
+from netlens.llm.licenses import licence_digest
 from netlens.llm.line_dedup import line_digest
 from netlens.llm.mixing import mixing_digest
 from netlens.llm.ngram_join import join_digest
@@ -124,3 +125,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_license_scan")
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_digest(table(spark, sf_dir, "documents"))

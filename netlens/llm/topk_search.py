@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netlens.llm.common import saved
+from netlens.llm.common import import_in_workers, saved
 
 K = 10
 SCALE = 1024
@@ -111,6 +111,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, chunk_rows: int
     equal vectors spread; one task searches one block in one chunk, and the k best of
     each meet per query. Different vectors under one id are queries of their own.
     """
+    import_in_workers(candidates.sparkSession)
     size = F.size("v").alias("n")
     chunks = max(1, math.ceil(candidates.count() / chunk_rows))
     blocks = max(1, math.ceil(queries.count() / block_rows))

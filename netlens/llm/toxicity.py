@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import BROADCAST_ROWS, small
+from netlens.llm.common import BROADCAST_ROWS, import_in_workers, small
 from netlens.llm.sampling import per_class, remainder
 from netlens.llm.wordhash import LOWER, NO_LETTER, SpanHashes, chunks, spans
 
@@ -157,6 +157,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     """From a bounded sample of the labelled documents that are not held out: about
     ``SAMPLE_DOCS`` per label, of at most ``SAMPLE_CHARS`` characters each. A document
     with several labels is toxic if one says so; other labels than 0 and 1 are left out."""
+    import_in_workers(documents.sparkSession)
     marks = labels.where(F.col("toxic").isin(0, 1)).where(remainder(F.col("doc_id"), 3) != 1)
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("text", F.lit(""))
     marks = per_class(marks, "toxic", SAMPLE_DOCS, 2, SEED).drop("text")
@@ -185,6 +186,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score): probability that a text is toxic, from whole texts. Null and
     empty texts get that of a text without any feature. Ids may be null or repeated;
     other columns are ignored."""
+    import_in_workers(documents.sparkSession)
     given = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
