@@ -22,8 +22,10 @@ COUNTED = 1_000_000
 SEEN_IN_TASK = 8
 SEEN = 32
 ORDERED = 1_000_000
-# Rounds in which each group meets one other, before all that is left is compared.
-STAR_ROUNDS = 4
+# Rounds in which each set meets one other, before all that is left is compared: one at
+# least, and more while buckets hold more open pairs than this per row of the index.
+STAR_ROUNDS = 6
+PAIRS_PER_ROW = 8
 
 SETS = "doc_id long, text_hash long, n long, key long, gid long, prefix array<long>"
 
@@ -149,13 +151,20 @@ def _labelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(roots, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "key")).drop("node", "root")
 
 
+def _open_pairs(places: DataFrame) -> int:
+    """Pairs of rows of one bucket that are in different components."""
+    parts = places.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
+    sums = parts.groupBy("bucket").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    return sums.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
+
+
 def set_links(rows: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
     """Links (a, b) between different sets, enough of them to connect what is connected.
 
     Copies are one set, sets with one prefix and size one group. The index has a row per
     group and shingle of its prefix; only shingles of two groups are buckets, and a
     group of several sets is a bucket, too. First each set meets the least of its
-    buckets, round by round, as long as buckets hold several components. What links
+    buckets, round by round, as long as buckets hold many pairs of components. What links
     joins one component; then all pairs of a bucket that are in different components
     still are compared. So the copies of one text cost a pair each, not all pairs, and
     no link between components is lost. All comparisons are exact.
@@ -181,19 +190,22 @@ def set_links(rows: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame
         tested = pairs if tested is None else saved(tested.unionByName(pairs))
         roots = components(links)
 
+    rows_placed = place.count()
     for turn in range(STAR_ROUNDS):
         now = _labelled(place, roots)
-        # The least set of a bucket, by another order in each round, meets the rest.
+        if turn and _open_pairs(now) <= PAIRS_PER_ROW * rows_placed:
+            break
+        # The least set of a bucket, by another order in each round, meets the rest. A
+        # set meets the one it shares most buckets with.
         order = F.struct(F.xxhash64("key", F.lit(turn)).alias("o"), F.col("key").alias("k"), F.col("n").alias("m"), F.col("comp").alias("c"))
         mixed = now.groupBy("bucket").agg(F.min(order).alias("s"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket", "s")
         meet = now.join(mixed, "bucket").where((F.col("comp") != F.col("s.c")) & _sizes_fit(F.col("n"), F.col("s.m")))
-        pairs = meet.groupBy("key").agg(F.min("s").alias("s")).select(F.least("key", F.col("s.k")).alias("a"), F.greatest("key", F.col("s.k")).alias("b")).distinct()
+        meet = meet.groupBy("key", F.col("s.k").alias("k")).agg(F.count(F.lit(1)).alias("c"))
+        meet = meet.groupBy("key").agg(F.max(F.struct("c", "k")).alias("s"))
+        pairs = meet.select(F.least("key", F.col("s.k")).alias("a"), F.greatest("key", F.col("s.k")).alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        before = 0 if links is None else links.count()
         grow(pairs)
-        if links.count() == before:
-            break
     rest = saved(_labelled(place, roots))
     parts = rest.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
