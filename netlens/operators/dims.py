@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from netlens.functions.ip import ip_text
 from netlens.functions.scalars import ts_lit
 from netlens.operators.topk import latest_per_key
+from netlens.plans.staging import spread_null
 
 CLIENT_NAME = ("device_name", "hostname", "oui")
 DEVICE_NAME = ("device_name", "model")
@@ -109,15 +110,17 @@ def resolve_names(
 ) -> DataFrame:
     """Device names of the private sides: source by MAC then address, target by
     address; a name found replaces the stored one."""
+    by = F.xxhash64(*[F.col(c) for c in ("raw_log", "src_ip", "dst_ip") if c in logs.columns])
     by_mac = mac_map.select(F.lower("mac").alias("_mac"), F.col("name").alias("_mac_name"))
     by_src = ip_map.select(F.col("ip").alias("_sip"), F.col("name").alias("_src_name"))
     by_dst = ip_map.select(F.col("ip").alias("_dip"), F.col("name").alias("_dst_name"))
     return (
         logs.withColumn("_sp", src_private & F.col("src_ip").isNotNull())
         .withColumn("_dp", dst_private & F.col("dst_ip").isNotNull())
-        .join(by_mac, F.lower("mac_address") == F.col("_mac"), "left")
-        .join(by_src, F.col("src_ip") == F.col("_sip"), "left")
-        .join(by_dst, F.col("dst_ip") == F.col("_dip"), "left")
+        # Most rows have no MAC: they must not meet in one task.
+        .join(by_mac, spread_null(F.lower("mac_address"), by) == F.col("_mac"), "left")
+        .join(by_src, spread_null(F.col("src_ip"), by) == F.col("_sip"), "left")
+        .join(by_dst, spread_null(F.col("dst_ip"), by) == F.col("_dip"), "left")
         .withColumn(
             "src_device_name",
             F.coalesce(F.when(F.col("_sp"), F.coalesce("_mac_name", "_src_name")), F.col("src_device_name")),

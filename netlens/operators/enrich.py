@@ -14,12 +14,11 @@ from netlens.operators.dims import resolve_names
 from netlens.operators.policy import resolve_action
 from netlens.operators.rangejoin import attach_block
 from netlens.operators.threats import fresh_rdns, fresh_threats
-from netlens.plans.staging import computed
+from netlens.plans.staging import computed, spread_null
 
 Now = str | datetime
 GEO = ("geo_country", "geo_city", "geo_lat", "geo_lon")
 ASN = ("asn_number", "asn_name")
-SPREAD = 4096
 
 
 @dataclass(frozen=True)
@@ -43,13 +42,6 @@ def remote_side(cfg: NetConfig) -> Column:
     return F.when(is_remote("src_ip", own), F.col("src_ip")).when(is_remote("dst_ip", own), F.col("dst_ip"))
 
 
-def spread_null(key: Column, by: Column) -> Column:
-    """Join key in which a NULL becomes one of many texts that match nothing, so
-    that rows without a key do not meet in one task."""
-    filler = F.concat(F.lit("none-"), F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("string"))
-    return F.coalesce(key, filler)
-
-
 def remote_attributes(ips: DataFrame, tables: EnrichmentTables, now: Now) -> DataFrame:
     """One row per distinct remote address with everything the tables know of it:
     the lookups cost per address, not per log row."""

@@ -1,10 +1,12 @@
 """Repair and upkeep jobs: table in, corrected table out.
 
-Spark tables have no row updates. Each job returns the complete new table (or
-keyed snapshot), which ``sources.sinks`` writes next to the old one.
+Spark tables have no row updates. A job on a keyed snapshot returns the complete new
+table, which ``sources.sinks`` writes next to the old one.
 
 Patches split the logs by the patch condition first. Only the few candidate rows
-meet the reputation table; all others pass through without a shuffle.
+meet the reputation table; all others pass through without a shuffle. Given the
+stored log table, a patch returns the partitions that hold candidates, complete, and
+no others; the sink replaces just these.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from netlens.operators.filters import normalised_exclusions
 from netlens.operators.policy import resolve_action
 from netlens.operators.threats import orphans
 from netlens.operators.topk import latest_per_key, top_k
+from netlens.plans.staging import spread_null
+from netlens.sources.sinks import PARTITIONS
 
 Now = str | datetime
 Rule = Callable[[Column, Column], Column]
@@ -45,7 +49,9 @@ def larger(old: Column, new: Column) -> Column:
 
 def upsert(old: DataFrame, new: DataFrame, key: str, rules: dict[str, Rule]) -> DataFrame:
     """Rows of both tables by key. Where both have one, each column follows its
-    rule (columns without a rule keep the old value)."""
+    rule (columns without a rule keep the old value). New rows without a key are left
+    out; of several with one key the greatest by all columns counts."""
+    new = latest_per_key(new.where(F.col(key).isNotNull()), [key])
     o = old.select(F.col(key).alias("_ok"), F.struct(*old.columns).alias("_o"))
     n = new.select(F.col(key).alias("_nk"), F.struct(*new.columns).alias("_n"))
     joined = o.join(n, F.col("_ok") == F.col("_nk"), "full_outer")
@@ -61,10 +67,15 @@ def upsert(old: DataFrame, new: DataFrame, key: str, rules: dict[str, Rule]) ->
 # ---- reputation table -------------------------------------------------------
 
 
+def _spelled(rows: DataFrame) -> DataFrame:
+    """Addresses in the one spelling the tables use."""
+    return rows.withColumn("ip", F.coalesce(ip_text("ip"), F.col("ip")))
+
+
 def upsert_threats(threats: DataFrame, results: DataFrame, now: Now, own: Iterable[str] = ()) -> DataFrame:
     """Store lookup results. Details a result lacks keep their old value; own
     addresses are never stored."""
-    fresh = results.withColumn("ip", F.coalesce(ip_text("ip"), F.col("ip")))
+    fresh = _spelled(results)
     excluded = normalised_exclusions(own)
     if excluded:
         fresh = fresh.where(~F.col("ip").isin(excluded))
@@ -83,7 +94,7 @@ def upsert_threats(threats: DataFrame, results: DataFrame, now: Now, own: Iterab
 def upsert_feed(threats: DataFrame, feed: DataFrame, now: Now) -> DataFrame:
     """Store a block-list feed: the higher score, and several known categories
     outweigh the feed's single one."""
-    fresh = feed.withColumns({"looked_up_at": ts_lit(now), "last_seen_at": ts_lit(now)})
+    fresh = _spelled(feed).withColumns({"looked_up_at": ts_lit(now), "last_seen_at": ts_lit(now)})
     rules: dict[str, Rule] = {
         "threat_score": larger,
         "threat_categories": lambda old, new: F.when(F.size(old) > 1, old).otherwise(new),
@@ -177,7 +188,7 @@ def queue_cycle(
     the budget stays queued. Returns the new threats, queue and logs.
     """
     own = tuple(own)
-    tried = due(queue, now, min(budget, QUEUE_BATCH)).select("ip")
+    tried = due(queue, now, budget).select("ip")
     looked = tried.join(results, "ip", "left")
     good = looked.where(F.col("threat_score").isNotNull())
     bad = looked.where(F.col("threat_score").isNull()).select("ip")
@@ -211,8 +222,17 @@ def _blocked_firewall() -> Column:
 
 
 def _split(logs: DataFrame, candidate: Column) -> tuple[DataFrame, DataFrame]:
+    """(candidates, rows that stay as they are). Of the stored table only partitions
+    that hold a candidate are given on, so that a repair of few rows rewrites few files."""
     test = F.coalesce(candidate, F.lit(False))
-    return logs.where(test), logs.where(~test)
+    rows, rest = logs.where(test), logs.where(~test)
+    if set(PARTITIONS) <= set(logs.columns):
+        touched = rows.select(*[F.col(c).alias(f"_{c}") for c in PARTITIONS]).distinct()
+        same = F.lit(True)
+        for c in PARTITIONS:
+            same = same & (F.col(c) == F.col(f"_{c}"))
+        rest = rest.join(touched, same, "left_semi")
+    return rows, rest
 
 
 def _with_reputation(rows: DataFrame, threats: DataFrame, ips: DataFrame | None, own: tuple[str, ...]) -> DataFrame:
@@ -222,7 +242,8 @@ def _with_reputation(rows: DataFrame, threats: DataFrame, ips: DataFrame | None,
     details = F.struct("threat_score", "threat_categories", *ABUSE_DETAILS)
     for name, side in (("_src", "src_ip"), ("_dst", "dst_ip")):
         rows = rows.join(
-            dim.select(F.col("ip").alias(f"{name}_ip"), details.alias(name)), F.col(side) == F.col(f"{name}_ip"), "left"
+            dim.select(F.col("ip").alias(f"{name}_ip"), details.alias(name)),
+            spread_null(F.col(side), F.col("id")) == F.col(f"{name}_ip"), "left",
         ).drop(f"{name}_ip")
     return rows
 
@@ -372,17 +393,23 @@ def backfill_names(logs: DataFrame, clients: DataFrame, since: Now) -> DataFrame
     """Fill missing device names of rows since a date: source by MAC, target by
     address within the time bound. Adds the flags ``_src_patched`` and
     ``_dst_patched`` for counting."""
-    recent = F.col("timestamp") >= ts_lit(since)
+    src, dst = F.col("src_device_name"), F.col("dst_device_name")
+    open_src = src.isNull() & F.col("mac_address").isNotNull()
+    open_dst = dst.isNull() & F.col("dst_ip").isNotNull()
+    rows, rest = _split(logs, (F.col("timestamp") >= ts_lit(since)) & (open_src | open_dst))
     by_mac = clients.select(
         F.col("mac").alias("_mac"), F.coalesce(*[F.col(c) for c in CLIENT_NAME]).alias("_src_name")
     ).where(F.col("_src_name").isNotNull())
-    joined = join_name_timebound(logs, clients).join(by_mac, F.col("mac_address") == F.col("_mac"), "left")
-    fills = {}
-    for side in ("src", "dst"):
-        stored, found = F.col(f"{side}_device_name"), F.col(f"_{side}_name")
-        fills[f"_{side}_patched"] = recent & stored.isNull() & found.isNotNull()
-        fills[f"{side}_device_name"] = F.when(recent, F.coalesce(stored, found)).otherwise(stored)
-    return joined.withColumns(fills).select(*logs.columns, "_src_patched", "_dst_patched")
+    key = spread_null(F.col("mac_address"), F.col("id"))
+    joined = join_name_timebound(rows, clients).join(by_mac, key == F.col("_mac"), "left")
+    fills, none = {}, {}
+    for side, stored in (("src", src), ("dst", dst)):
+        found = F.col(f"_{side}_name")
+        fills[f"_{side}_patched"] = stored.isNull() & found.isNotNull()
+        fills[f"{side}_device_name"] = F.coalesce(stored, found)
+        none[f"_{side}_patched"] = F.lit(False)
+    fixed = joined.withColumns(fills).select(*logs.columns, "_src_patched", "_dst_patched")
+    return rest.withColumns(none).unionByName(fixed)
 
 
 def patch_counts(patched: DataFrame) -> DataFrame:
@@ -404,22 +431,26 @@ def repair_protocol(logs: DataFrame) -> DataFrame:
 # ---- inventory and reverse names --------------------------------------------
 
 
+def _by_mac(batch: DataFrame) -> DataFrame:
+    return batch.withColumn("mac", F.nullif(F.lower(F.trim("mac")), F.lit("")))
+
+
 def upsert_clients(clients: DataFrame, batch: DataFrame, now: Now) -> DataFrame:
     keep = ("device_name", "hostname", "oui", "network", "essid", "vlan", "is_fixed_ip", "is_wired")
     rules: dict[str, Rule] = {c: kept_if_null for c in keep}
     rules |= {"ip": replaced, "last_seen": larger, "updated_at": replaced}
-    return upsert(clients, batch.withColumn("updated_at", ts_lit(now)), "mac", rules)
+    return upsert(clients, _by_mac(batch).withColumn("updated_at", ts_lit(now)), "mac", rules)
 
 
 def upsert_devices(devices: DataFrame, batch: DataFrame, now: Now) -> DataFrame:
     keep = ("device_name", "model", "shortname", "device_type", "firmware", "serial")
     rules: dict[str, Rule] = {c: kept_if_null for c in keep}
     rules |= {c: replaced for c in ("ip", "state", "uptime", "updated_at")}
-    return upsert(devices, batch.withColumn("updated_at", ts_lit(now)), "mac", rules)
+    return upsert(devices, _by_mac(batch).withColumn("updated_at", ts_lit(now)), "mac", rules)
 
 
 def upsert_rdns(cache: DataFrame, batch: DataFrame, now: Now) -> DataFrame:
-    fresh = batch.withColumn("looked_up_at", ts_lit(now))
+    fresh = _spelled(batch).withColumn("looked_up_at", ts_lit(now))
     return upsert(cache, fresh, "ip", {c: replaced for c in ("hostname", "status", "looked_up_at")})
 
 

@@ -13,7 +13,7 @@ from netlens.functions.ip import ColumnLike, as_col, is_global_ip, let, one_of,
 from netlens.functions.rules import action_of, direction_of
 from netlens.functions.scalars import service_display, ts_lit
 from netlens.operators.dims import join_service
-from netlens.plans.staging import computed
+from netlens.plans.staging import computed, spread_null
 from netlens.schema import MAX_LENGTHS
 
 # The formats of the log lines. (?U) makes \w, \s and \d Unicode,
@@ -330,6 +330,7 @@ def derive_learning(parsed: DataFrame, cfg: NetConfig) -> DataFrame:
     here it holds for the whole batch, which needs no order and is repeatable.
     """
     learned = learn_wan_ips(parsed, cfg.wan_interfaces).select(F.col("wan_ip").alias("_wan"))
-    joined = parsed.join(learned, F.col("src_ip") == F.col("_wan"), "left")
+    key = spread_null(F.col("src_ip"), F.col("raw_log"))
+    joined = parsed.join(learned, key == F.col("_wan"), "left")
     own = F.col("_wan").isNotNull() | one_of("src_ip", cfg.wan_ips)
     return derive(joined, cfg, own).drop("_wan")

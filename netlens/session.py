@@ -1,10 +1,8 @@
-"""Session settings the jobs are written for, and where checkpoints go."""
+"""Session settings the jobs are written for."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SETTINGS = {
     # All timestamps are stored and compared in UTC.
@@ -24,18 +22,3 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in
-    ``spark.checkpoint.dir``; only a session without one (tests) gets its own."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            named = tempfile.mkdtemp(prefix="netlens-checkpoint-")
-        context.setCheckpointDir(named)
-    return df.checkpoint()

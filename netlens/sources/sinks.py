@@ -10,7 +10,10 @@ from pyspark.sql import types as T
 from netlens.functions.scalars import csv_safe
 from netlens.schema import LOG_COLUMNS, conform, ddl
 
-PARTITIONS = ("log_date", "log_type")
+# One table for lines, resolver records and repairs. The batch comes last: reports
+# prune by date and type, and a batch that runs again replaces only its own files.
+PARTITIONS = ("log_date", "log_type", "batch")
+STORED = LOG_COLUMNS | {"record_id": "bigint", "batch": "bigint"}
 ROWS_PER_FILE = 2_000_000
 
 
@@ -21,7 +24,9 @@ def laid_out(logs: DataFrame) -> DataFrame:
     busy day and type) over many tasks at run time, and merges small ones. Rows
     are sorted by time, so file statistics prune within a day.
     """
-    rows = conform(logs).withColumn("log_date", F.to_date("timestamp"))
+    rows = conform(logs, STORED).withColumns(
+        {"log_date": F.to_date("timestamp"), "batch": F.coalesce("batch", F.lit(0).cast("bigint"))}
+    )
     return rows.hint("rebalance", *PARTITIONS).sortWithinPartitions(*PARTITIONS, "timestamp")
 
 
@@ -35,10 +40,21 @@ def write_logs(logs: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
+def write_batch(logs: DataFrame, path: str, batch: int) -> None:
+    """Store the rows of one ingest batch. The same batch again replaces its rows."""
+    write_logs(logs.withColumn("batch", F.lit(batch).cast("bigint")), path, mode="overwrite")
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    stored = {c: kind for c, kind in LOG_COLUMNS.items() if c not in PARTITIONS}
-    schema = ddl(stored | {"log_date": "date", "log_type": "string"})
-    return spark.read.schema(schema).parquet(path)
+    """The stored table; empty if nothing was stored yet."""
+    stored = {c: kind for c, kind in STORED.items() if c not in PARTITIONS}
+    schema = ddl(stored | {"log_date": "date", "log_type": "string", "batch": "bigint"})
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def write_snapshot(df: DataFrame, path: str, version: int) -> None:

@@ -8,32 +8,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from netlens.schema import conform
+from netlens.config import NetConfig
+from netlens.operators.enrich import EnrichmentTables, enrich
 from netlens.sources.dns_queries import map_dns_query, read_dns_records
+from netlens.sources.sinks import read_logs, write_batch
+from netlens.streaming.ingest import FLUSH, RECORDS, numbered, table_batch, write_quarantine
 
-# Must exceed the time by which two polls of the resolver overlap.
-DEDUPE_HORIZON = "1 hour"
 
+def once_each(records: DataFrame) -> DataFrame:
+    """Each record id once: of several rows the first by position."""
+    rest = [c for c in records.columns if c != "record_id"]
+    first = F.min_by(F.struct(*rest), F.col("id")).alias("_r")
+    return records.groupBy("record_id").agg(first).select("record_id", "_r.*")
 
-def deduplicated(records: DataFrame, horizon: str = DEDUPE_HORIZON) -> DataFrame:
-    """Each record id once within the horizon; state older than it is dropped."""
-    timed = records.withColumn("seen_at", F.timestamp_seconds(F.col("time")))
-    return timed.withWatermark("seen_at", horizon).dropDuplicatesWithinWatermark(["id"]).drop("seen_at")
+
+def unseen(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows whose record is not stored yet. Polls overlap and a resolver may deliver
+    late: records of any age count, and only the dates of the batch are looked through,
+    two narrow columns of them."""
+    dates = rows.agg(F.to_date(F.min("timestamp")).alias("a"), F.to_date(F.max("timestamp")).alias("b")).first()
+    known = stored.where((F.col("log_type") == "dns") & F.col("log_date").between(dates["a"], dates["b"]))
+    return rows.join(known.where(F.col("record_id").isNotNull()).select("record_id").distinct(), "record_id", "left_anti")
+
+
+def store_records(
+    records: DataFrame, batch: int, out: str, answers: DataFrame, now: str | datetime,
+    cfg: NetConfig = NetConfig(), tables: EnrichmentTables | None = None,
+) -> None:
+    """Store one batch of records in the log table: new ids only, enriched as the site
+    wants it. Text that is no record goes to the quarantine."""
+    own = table_batch(batch, RECORDS)
+    given = numbered(records.withColumnRenamed("id", "record_id"), own).persist()
+    try:
+        known = once_each(given.where(F.col("record_id").isNotNull()))
+        mapped = map_dns_query(known.withColumnsRenamed({"id": "_row", "record_id": "id"}), answers, now)
+        ids = known.select(F.col("record_id").alias("_record"), F.col("id").alias("_row"))
+        rows = mapped.withColumnRenamed("id", "record_id").join(ids, F.col("record_id") == F.col("_record")).drop("_record")
+        rows = rows.withColumnRenamed("_row", "id").persist()
+        try:
+            # What this batch wrote itself does not count, should it run again.
+            stored = read_logs(records.sparkSession, f"{out}/logs").where(F.col("batch") != own)
+            fresh = unseen(rows, stored)
+            write_batch(enrich(fresh, tables, cfg, now) if tables is not None else fresh, f"{out}/logs", own)
+        finally:
+            rows.unpersist()
+        write_quarantine(given.where(F.col("record_id").isNull()).select("raw_log", F.lit("json").alias("reason")), out, own)
+    finally:
+        given.unpersist()
 
 
 def run_dns_ingest(
     spark: SparkSession, src: str, out: str, checkpoint: str, answers: DataFrame, now: str | datetime,
-    once: bool = True, horizon: str = DEDUPE_HORIZON,
+    once: bool = True, cfg: NetConfig = NetConfig(), tables: EnrichmentTables | None = None,
 ) -> StreamingQuery:
-    """Records -> log rows. The checkpoint holds the position and the file sink
-    commits each batch whole, so rows and position never part."""
-    records = deduplicated(read_dns_records(spark, src, stream=True), horizon)
-    rows = conform(map_dns_query(records, answers, now)).withColumn("log_date", F.to_date("timestamp"))
-    writer = (
-        rows.writeStream.format("parquet").outputMode("append").partitionBy("log_date")
-        .option("path", out).option("checkpointLocation", checkpoint)
-    )
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()
+    """Records -> log rows. The checkpoint holds the position, and a batch that runs
+    again replaces its own rows, so rows and position never part."""
+
+    def store(records: DataFrame, batch: int) -> None:
+        store_records(records, batch, out, answers, now, cfg, tables)
+
+    writer = read_dns_records(spark, src, stream=True).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=FLUSH)).start()
 
 
 start_dns_ingest = run_dns_ingest

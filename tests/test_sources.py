@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from netlens.config import NetConfig
 from netlens.operators.filters import LogFilter, TimeWindow
 from netlens.schema import conform
-from netlens.session import cut_lineage
 from netlens.sources import dns_queries, inventory, services, sinks, syslog
 
 
@@ -96,7 +95,7 @@ def test_log_table_prunes_partitions(spark, tmp_path):
     assert recent.count() == 6
     # A repair rewrites the partitions it touches and no others.
     day = conform(logs.where("log_date = '2024-01-02' AND log_type = 'dns'").withColumn("raw_log", F.lit("fixed")))
-    sinks.write_logs(cut_lineage(day), path, mode="overwrite")
+    sinks.write_logs(day, path, mode="overwrite")
     again = sinks.read_logs(spark, path)
     assert again.count() == 1000 and again.where("raw_log = 'fixed'").count() == 6
 

@@ -9,7 +9,9 @@ from netlens.operators.enrich import EnrichmentTables
 from netlens.operators.rangejoin import cidr_blocks
 from netlens.plans.parse import parse_lines
 from netlens.schema import THREAT_COLUMNS, ddl
-from netlens.sources.sinks import read_snapshot
+from netlens.plans.maintenance import patch_scores
+from netlens.plans.retention import purge, purge_snapshot
+from netlens.sources.sinks import read_logs, read_snapshot, write_logs
 from netlens.streaming import dns, ingest, state
 
 NOW = "2024-02-10 12:00:00"
@@ -75,6 +77,52 @@ def test_batch_repeated_gives_the_same(spark, tmp_path):
     assert read_snapshot(spark, str(tmp_path / "q"), ingest.QUEUE_SCHEMA).count() == 1
 
 
+def test_one_table_through_ingest_repair_purge_and_replay(spark, tmp_path):
+    tables, services = _tables(spark)
+    out = str(tmp_path)
+    same = LINES[4]
+    first = spark.createDataFrame([(t,) for t in (same, same, LINES[1])], "raw_log string").coalesce(1)
+    second = spark.createDataFrame([(t,) for t in (same, LINES[0])], "raw_log string").coalesce(1)
+
+    def store(lines, batch):
+        return ingest.store_batch(lines, batch, out, NetConfig(), NOW, tables, services)
+
+    def logs():
+        return read_logs(spark, f"{out}/logs")
+
+    assert store(first, 0) == {"received": 3, "parsed": 3, "filtered": 0, "failed": 0, "dropped": 0}
+    ids = [r.id for r in logs().collect()]
+    assert len(set(ids)) == 3
+    snapshot = purge_snapshot(logs(), "system").first()
+    store(second, 1)
+    store(first, 0)  # a replay
+    again = logs().orderBy("id").collect()
+    assert [r.id for r in again][:3] == sorted(ids) and len(again) == 5 and len({r.id for r in again}) == 5
+    kept = purge(logs(), "system", snapshot.max_id)
+    assert sorted((r.log_type, r.batch // 2) for r in kept.collect()) == [("firewall", 0), ("firewall", 1), ("system", 1)]
+    # A repair gives back the partitions that hold a candidate and the sink replaces just them.
+    files = {f for f in (tmp_path / "logs").rglob("*.parquet")}
+    threats = tables.threats.withColumn("ip", F.lit("45.9.0.5"))
+    fixed = patch_scores(logs(), threats)
+    assert {(r.log_type, r.batch) for r in fixed.select("log_type", "batch").distinct().collect()} == {("firewall", 0)}
+    write_logs(fixed, f"{out}/logs", mode="overwrite")
+    assert logs().count() == 5 and logs().where("threat_score = 80").count() == 2
+    left = {f for f in (tmp_path / "logs").rglob("*.parquet")}
+    assert {f for f in files if "log_type=firewall/batch=0" not in str(f)} <= left
+
+
+def test_own_addresses_are_learned_while_none_is_configured(spark, tmp_path):
+    shows = HEAD.format(9) + "[WAN_LOCAL-B-1]IN=ppp0 OUT= SRC=45.9.0.7 DST=45.8.8.8 PROTO=TCP SPT=5 DPT=22"
+    uses = HEAD.format(10) + "[LAN_WAN-A-1]IN=br0 OUT=br7 SRC=45.8.8.8 DST=45.9.0.7 PROTO=TCP SPT=5 DPT=22"
+    found = {}
+    for name, cfg in (("learned", NetConfig()), ("configured", NetConfig(wan_ips=("45.1.1.1",)))):
+        lines = spark.createDataFrame([(shows,), (uses,)], "raw_log string")
+        ingest.store_batch(lines, 0, str(tmp_path / name), cfg, NOW, EnrichmentTables())
+        rows = read_logs(spark, str(tmp_path / name / "logs")).where("src_ip = '45.8.8.8'")
+        found[name] = rows.first().direction
+    assert found["learned"] != found["configured"]
+
+
 def test_ingest_metrics(spark):
     lines = spark.createDataFrame([(t,) for t in LINES if t], "raw_log string")
     from pyspark.sql import Observation
@@ -96,19 +144,26 @@ def _records(path, name, rows):
 def test_dns_ingest(spark, tmp_path):
     src, out = tmp_path / "src", str(tmp_path / "out")
     src.mkdir()
-    answers = spark.createDataFrame([("h2.org", "A", "9.9.9.9")], "domain string, qtype string, answer string")
+    answers = spark.createDataFrame([("h2.org", "A", "45.0.0.5")], "domain string, qtype string, answer string")
 
     def run():
-        dns.run_dns_ingest(spark, str(src), out, str(tmp_path / "cp"), answers, NOW).awaitTermination()
+        dns.run_dns_ingest(spark, str(src), out, str(tmp_path / "cp"), answers, NOW, tables=_tables(spark)[0]).awaitTermination()
 
     _records(src, "1.json", [(1, 1707560000.0), (2, 1707560001.0), (2, 1707560001.0)])
     run()
     _records(src, "2.json", [(2, 1707560001.0), (3, 1707560002.0)])  # overlapping poll
     run()
-    rows = spark.read.parquet(out).orderBy("id").collect()
-    assert [(r.id, r.dns_query, r.dst_ip, r.rule_action) for r in rows] == [
-        (1, "h1.org", None, "allow"), (2, "h2.org", "9.9.9.9", "allow"), (3, "h3.org", None, "allow"),
+    # A record two hours late, after an outage, and text that is no record.
+    _records(src, "3.json", [(4, 1707552800.0)])
+    (src / "4.json").write_text("no json\n")
+    run()
+    rows = read_logs(spark, f"{out}/logs").orderBy("record_id").collect()
+    assert [(r.record_id, r.dns_query, r.dst_ip, r.rule_action, r.asn_name) for r in rows] == [
+        (1, "h1.org", None, "allow", None), (2, "h2.org", "45.0.0.5", "allow", "small"), (3, "h3.org", None, "allow", None),
+        (4, "h4.org", None, "allow", None),
     ]
+    assert len({r.id for r in rows}) == 4
+    assert [(r.raw_log, r.reason) for r in spark.read.parquet(f"{out}/quarantine").collect()] == [("no json", "json")]
 
 
 def _stream(spark, tmp_path, rows):
