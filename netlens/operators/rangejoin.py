@@ -1,15 +1,11 @@
 """Address -> address-block join (city, AS and the like).
 
 Spark has no interval join and a nested loop over all blocks is out of the
-question, so addresses and blocks meet in buckets of the address space:
-
-* a block that spans few fine buckets is listed under each of them;
-* a wider block is listed under coarse buckets instead, 65 536 at most;
-* an address is listed under its one fine and its one coarse bucket.
-
-The equi-join on the bucket leaves few candidates per address, the range test
-picks the right ones and the longest prefix wins. The join runs on distinct
-addresses, so a hot address costs one row.
+question. But blocks are networks, and there are few prefix lengths: an address is
+listed once per length that occurs in the table, under its first bits, and meets
+the block with just these bits in an equi-join. Every pair that meets is a hit; the
+longest prefix wins. The join runs on distinct addresses, so a hot address costs
+one row per length.
 """
 
 from __future__ import annotations
@@ -20,13 +16,15 @@ from pyspark.sql import functions as F
 from netlens.functions.ip import ip_key, v4_text
 from netlens.plans.staging import computed
 
-MAX_FINE_BUCKETS = 256
-
-
 def keyed_blocks(blocks: DataFrame) -> DataFrame:
-    """Blocks given as IPv4 numbers (start_num, end_num) with binary keys."""
+    """Blocks given as IPv4 numbers (start_num, end_num, prefix_len) with binary keys.
+    A range that is not the network of its prefix length is an error."""
+    size = F.pow(F.lit(2), 32 - F.col("prefix_len")).cast("bigint")
+    network = (F.col("start_num") % size == 0) & (F.col("end_num") - F.col("start_num") + 1 == size)
+    wrong = F.raise_error(F.concat(F.lit("not a network: "), F.col("start_num").cast("string")))
+    start = F.when(network, F.col("start_num")).otherwise(wrong.cast("bigint"))
     return (
-        blocks.withColumn("start_key", ip_key(v4_text("start_num")))
+        blocks.withColumn("start_key", ip_key(v4_text(start)))
         .withColumn("end_key", ip_key(v4_text("end_num")))
         .drop("start_num", "end_num")
     )
@@ -59,24 +57,22 @@ def cidr_blocks(blocks: DataFrame, cidr: str = "network") -> DataFrame:
     )
 
 
-# A bucket is a number: IPv4 is cut at /16 (fine) and /8 (coarse), IPv6 at /32
-# and /16. IPv4-mapped keys get numbers beyond the IPv6 ones.
-def _number(key: Column, start: int, length: int) -> Column:
-    return F.conv(F.hex(F.substring(key, start, length)), 16, 10).cast("bigint")
+MAPPED = "0" * 20 + "FFFF"  # IPv4 addresses are keys with these first digits
 
 
-def _is_mapped(key: Column) -> Column:
-    return F.hex(F.substring(key, 1, 12)) == "0" * 20 + "FFFF"
+def _first_bits(key: Column, bits: Column) -> Column:
+    """The first ``bits`` bits of a key as text: whole hexadecimal digits, then what
+    the last digit holds of them."""
+    digits, whole, partial = F.hex(key), F.floor(bits / 4).cast("int"), (bits % 4).cast("int")
+    digit = F.conv(F.substr(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    rest = F.when(partial > 0, F.floor(digit / F.pow(F.lit(2), 4 - partial)).cast("string"))
+    return F.concat_ws(":", bits.cast("string"), F.substr(digits, F.lit(1), whole), rest)
 
 
-def _fine(key: Column) -> Column:
-    return F.when(_is_mapped(key), _number(key, 13, 2) + F.lit(1 << 33)).otherwise(_number(key, 1, 4))
-
-
-def _coarse(key: Column) -> Column:
-    return F.when(_is_mapped(key), _number(key, 13, 1) + F.lit(1 << 34)).otherwise(
-        _number(key, 1, 2) + F.lit(1 << 35)
-    )
+def _bits(blocks: DataFrame) -> Column:
+    """Prefix length within the 128 bits of a key."""
+    mapped = F.hex("start_key").startswith(MAPPED) & F.hex("end_key").startswith(MAPPED)
+    return F.when(mapped, F.col("prefix_len") + 96).otherwise(F.col("prefix_len")).cast("int")
 
 
 def attach_block(keys: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -87,26 +83,18 @@ def attach_block(keys: DataFrame, blocks: DataFrame) -> DataFrame:
     attributes = [c for c in blocks.columns if c not in ("start_key", "end_key", "prefix_len")]
     # Computed apart, so that no test of the key moves below the caller's distinct.
     keyed = computed(keys, {"_key": ip_key("ip")})
-    key = F.col("_key")
-    nowhere = F.array(F.lit(None).cast("bigint"))
-    probes = keyed.withColumn(
-        "_bucket", F.explode(F.when(key.isNotNull(), F.array(_fine(key), _coarse(key))).otherwise(nowhere))
-    )
-    start, end = F.col("start_key"), F.col("end_key")
-    # An IPv6 block that contains the mapped range starts and ends outside it.
-    narrow = (_is_mapped(start) == _is_mapped(end)) & (_fine(end) - _fine(start) < MAX_FINE_BUCKETS)
-    listed = blocks.withColumn(
-        "_block_bucket",
-        F.explode(
-            F.when(narrow, F.sequence(_fine(start), _fine(end))).otherwise(F.sequence(_coarse(start), _coarse(end)))
-        ),
-    )
-    inside = (F.col("_bucket") == F.col("_block_bucket")) & (key >= start) & (key <= end)
+    networks = blocks.withColumn("_bits", _bits(blocks))
+    # At most 129 lengths, whatever the table holds.
+    lengths = networks.agg(F.sort_array(F.collect_set("_bits")).alias("l")).scalar()
+    nowhere = F.array(F.lit(None).cast("int"))
+    usable = F.when(F.col("_key").isNotNull() & (F.size(lengths) > 0), lengths).otherwise(nowhere)
+    probes = keyed.withColumn("_length", F.explode(usable))
+    probes = probes.withColumn("_prefix", _first_bits(F.col("_key"), F.col("_length"))).drop("_length")
     found = F.when(F.col("prefix_len").isNotNull(), F.struct("prefix_len", *[F.col(f"_a_{c}") for c in attributes]))
-    named = listed.select(
-        "start_key", "end_key", "prefix_len", "_block_bucket", *[F.col(c).alias(f"_a_{c}") for c in attributes]
+    named = networks.select(
+        "prefix_len", _first_bits(F.col("start_key"), F.col("_bits")).alias("_network"), *[F.col(c).alias(f"_a_{c}") for c in attributes]
     )
-    best = probes.join(named, inside, "left").groupBy("ip", *carried).agg(F.max(found).alias("_block"))
+    best = probes.join(named, F.col("_prefix") == F.col("_network"), "left").groupBy("ip", *carried).agg(F.max(found).alias("_block"))
     return best.select("ip", *carried, *[F.col(f"_block._a_{c}").alias(c) for c in attributes])
 
 
