@@ -4,9 +4,10 @@ from netlens.contract import (  # noqa: F401
     aggregates,
     filters,
     flows,
-    joins,
     jobs,
+    joins,
     parsing,
+    policies,
     scalars,
     search,
     stats,
