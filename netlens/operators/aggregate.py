@@ -61,7 +61,7 @@ def ip_pairs(
     top = top_k(grouped, k, F.desc("total_count"), *[F.asc(c) for c in PAIR_KEYS])
     named = join_names_by_ip(top, clients, devices, "src_ip", "src_device_name")
     named = join_names_by_ip(named, clients, devices, "dst_ip", "dst_device_name")
-    return annotate_identity(named, cfg)
+    return annotate_identity(named, cfg).orderBy(F.desc("total_count"), *[F.asc(c) for c in PAIR_KEYS])
 
 
 def ip_pairs_modal(

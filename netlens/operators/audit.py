@@ -28,7 +28,7 @@ def audit_page(audit: DataFrame, tokens: DataFrame, limit: int = 200, offset: in
     fields = page.withColumn("_f", audit_fields("detail"))
     return join_token(fields, tokens).select(
         "id", "token_id", "token_name", "token_prefix", "created_at", "_f.*"
-    )
+    ).orderBy(*order)
 
 
 def audit_total(audit: DataFrame) -> DataFrame:

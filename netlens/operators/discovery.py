@@ -58,34 +58,34 @@ def difference(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
     return a.join(b.select(on), on, "left_anti")
 
 
+def _local_sides(logs: DataFrame) -> DataFrame:
+    """(iface, ip) of both sides of a firewall row, local addresses only; one scan."""
+    side = F.explode(
+        F.array(
+            F.struct(F.col("interface_in").alias("iface"), F.col("src_ip").alias("ip")),
+            F.struct(F.col("interface_out").alias("iface"), F.col("dst_ip").alias("ip")),
+        )
+    )
+    sides = logs.where(_firewall()).select(side.alias("_s")).select("_s.*")
+    return sides.where(F.col("iface").isNotNull() & ~is_public_ip_sql("ip"))
+
+
 def segment_ips(logs: DataFrame) -> DataFrame:
     """Local addresses seen behind each interface, one row each (iface, ip)."""
-    rows = logs.where(_firewall())
-    sides = [
-        rows.where(F.col(i).isNotNull() & F.col(ip).isNotNull() & ~is_public_ip_sql(ip)).select(
-            F.col(i).alias("iface"), F.col(ip).alias("ip")
-        )
-        for i, ip in (("interface_in", "src_ip"), ("interface_out", "dst_ip"))
-    ]
-    return union_distinct(*sides)
+    return _local_sides(logs).where(F.col("ip").isNotNull()).distinct()
 
 
-def segments(logs: DataFrame, wan_list: list[str] | None = None, limit: int = 30) -> DataFrame:
+def segments(logs: DataFrame, wan_list: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """Interfaces with a sample address, suggested label and VPN badge.
 
     The sample is the smallest local address as text. It is a minimum, so the
     addresses of an interface are never gathered. WAN interfaces show their
-    public address instead.
+    public address instead. ``limit`` cuts the list to the first interfaces by name.
     """
     wan_list = wan_list or []
-    rows = logs.where(_firewall())
-    local = [
-        rows.where(F.col(i).isNotNull() & ~is_public_ip_sql(ip)).select(F.col(i).alias("iface"), F.col(ip).alias("ip"))
-        for i, ip in (("interface_in", "src_ip"), ("interface_out", "dst_ip"))
-    ]
-    found = (
-        local[0].unionByName(local[1]).groupBy("iface").agg(F.min("ip").alias("_local")).orderBy("iface").limit(limit)
-    )
+    found = _local_sides(logs).groupBy("iface").agg(F.min("ip").alias("_local"))
+    if limit is not None:
+        found = found.orderBy("iface").limit(limit)
     is_wan = F.col("iface").isin(wan_list) if wan_list else F.lit(False)
     if wan_list:
         found = found.join(wan_ip_by_iface(logs, wan_list), "iface", "left")

@@ -260,7 +260,8 @@ def host_peers(
         F.max("asn_name").alias("asn_name"), F.max("rdns").alias("rdns"),
     )
     top = top_k(grouped, k, F.desc("count"), F.asc("peer_ip"))
-    return join_names_by_ip(top, clients, devices, "peer_ip", "device_name")
+    named = join_names_by_ip(top, clients, devices, "peer_ip", "device_name")
+    return named.orderBy(F.desc("count"), F.asc("peer_ip"))
 
 
 def peer_names(peers: DataFrame, clients: DataFrame, devices: DataFrame) -> DataFrame:

@@ -64,8 +64,10 @@ def search_logs(
 ) -> DataFrame:
     """One page: filter, sort, limit, and only then names, identity, service text."""
     rows = search_page(logs, flt, now, sort, descending, page, size)
+    order = sort_order(sort, descending, rows.columns)
     rows = annotate_identity(with_names(rows, clients, devices), cfg)
-    return join_service(rows, services).drop("iana_service")
+    # The joins keep no order: the few rows of the page are sorted last.
+    return join_service(rows, services).drop("iana_service").orderBy(*order)
 
 
 def page_count(logs: DataFrame, flt: LogFilter, now: Now, size: int = 50) -> DataFrame:
@@ -170,7 +172,7 @@ def export_rows(
             rows = rows.withColumn(c, F.lit(None).cast("string"))
     rows = newest(rows, limit, F.desc("timestamp"), F.desc("id"))
     rows = annotate_identity(with_names(rows, clients, devices), cfg)
-    return rows.select("id", *columns, *EXPORT_NAMES)
+    return rows.select("id", *columns, *EXPORT_NAMES).orderBy(F.desc("timestamp"), F.desc("id"))
 
 
 def display_service(df: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from netlens.operators.topk import latest_per_key, newest_ids, top_k
 
 Now = str | datetime
 MAP_SCORE = 70
+MAX_POINTS = 10_000
 MAP_MODES = {
     "threats": lambda: F.col("threat_score") > MAP_SCORE,
     "blocked_outbound": lambda: (F.col("direction") == "outbound") & (F.col("rule_action") == "block"),
@@ -22,13 +23,6 @@ MAP_MODES = {
 GEO_KEYS = ["geo_lat", "geo_lon", "geo_country", "geo_city"]
 
 
-def _same_place(left: DataFrame, right: DataFrame) -> Column:
-    test = F.lit(True)
-    for key in GEO_KEYS:
-        test = test & left[key].eqNullSafe(right[key])
-    return test
-
-
 def threat_geo(
     logs: DataFrame, window: TimeWindow, now: Now, mode: str = "threats", points: int = 500, ids: int = 50
 ) -> DataFrame:
@@ -40,6 +34,8 @@ def threat_geo(
     """
     if mode not in MAP_MODES:
         raise ValueError(f"mode must be one of {sorted(MAP_MODES)}")
+    if not 1 <= points <= MAX_POINTS:
+        raise ValueError(f"points must be between 1 and {MAX_POINTS}")
     rows = in_window(logs, window, now).where(
         MAP_MODES[mode]() & F.col("geo_lat").isNotNull() & F.col("geo_lon").isNotNull()
     )
@@ -50,13 +46,17 @@ def threat_geo(
         F.round(F.avg("threat_score")).cast("int").alias("avg_score"),
         F.count_distinct(F.coalesce("src_ip", "dst_ip")).alias("unique_ips"),
     )
-    top = top_k(places, points, F.desc("count"), *[F.asc_nulls_last(c) for c in GEO_KEYS])
-    picked = F.broadcast(top.select(*GEO_KEYS))  # at most `points` rows
-    events = rows.join(picked, _same_place(rows, picked), "left_semi")
-    newest = newest_ids(events, GEO_KEYS, ids)
-    return top.join(newest, _same_place(top, newest), "left").select(
-        *[top[c] for c in top.columns], newest["log_ids"]
-    )
+    order = [F.desc("count"), *[F.asc_nulls_last(c) for c in GEO_KEYS]]
+    top = top_k(places, points, *order)
+    # At most `points` rows. The events carry the figures of their place, so the
+    # places are computed once.
+    figures = F.struct(*top.columns).alias("_place")
+    picked = F.broadcast(top.select(*[F.col(c).alias(f"_p_{c}") for c in GEO_KEYS], figures))
+    same = F.lit(True)
+    for key in GEO_KEYS:
+        same = same & F.col(key).eqNullSafe(F.col(f"_p_{key}"))
+    newest = newest_ids(rows.join(picked, same), ["_place"], ids)
+    return newest.select("_place.*", "log_ids").orderBy(*order)
 
 
 def threat_geojson(geo: DataFrame) -> DataFrame:

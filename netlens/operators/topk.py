@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Above this many rows the cut-off time is found by counting.
-LARGE_LIMIT = 1_000
-
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """``ORDER BY ... LIMIT k``: every task keeps its own k rows first."""
@@ -22,33 +19,24 @@ def count_top(df: DataFrame, keys: list[str], k: int, *extra: Column) -> DataFra
 
 def newest(df: DataFrame, k: int, *order: Column, ts: str = "timestamp") -> DataFrame:
     """The ``k`` newest rows in the given order, whose first column must be
-    descending ``ts``.
+    descending ``ts``. Rows without a time come last and are kept if there are fewer
+    than ``k`` others.
 
     Rows are wide and only k of them are wanted, so a first scan of ``ts`` and the
-    filter columns finds the cut-off time, and only files and row groups beyond it
-    are read in full. For a small ``k`` the cut-off is the k-th newest time. For a
-    large one that would send k times of every task to one task; counting rows per
-    day and then per minute gives the minute the k-th row is in.
+    filter columns counts rows per minute, which tells the minute the k-th row is in,
+    and only files and row groups from there on are read in full. That way no task
+    sees k rows of every other task, whatever k is.
     """
-    if k <= LARGE_LIMIT:
-        cutoff = top_k(df.select(ts), k, F.desc(ts)).agg(F.min(ts).alias("cutoff"))
-        return top_k(df.where(F.col(ts) >= cutoff.scalar()), k, *order)
-    minute = F.date_trunc("minute", F.col(ts))
-    per_day = df.groupBy(F.date_trunc("day", F.col(ts)).alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    # One row per day / per minute of one day: small enough for one window.
-    days = per_day.withColumn("newer", F.sum("n").over(Window.orderBy(F.desc("day"))) - F.col("n"))
-    last_day = days.where(F.col("newer") < k).orderBy("day").limit(1)
-    per_minute = (
-        df.withColumn("day", F.date_trunc("day", F.col(ts)))
-        .join(F.broadcast(last_day.select("day", "newer")), "day")
-        .groupBy(minute.alias("minute"), "newer")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    minutes = per_minute.withColumn(
-        "newer", F.col("newer") + F.sum("n").over(Window.orderBy(F.desc("minute"))) - F.col("n")
+    minutes = df.where(F.col(ts).isNotNull()).groupBy(F.date_trunc("minute", F.col(ts)).alias("minute"))
+    counts = minutes.agg(F.count(F.lit(1)).alias("n"))
+    # One row per minute of the time window: small enough for one window.
+    newer = F.sum("n").over(Window.orderBy(F.desc("minute"))) - F.col("n")
+    cutoff = counts.withColumn("newer", newer).agg(
+        F.min(F.when(F.col("newer") < k, F.col("minute"))).alias("cutoff"), F.coalesce(F.sum("n"), F.lit(0)).alias("dated")
     )
-    cutoff = minutes.where(F.col("newer") < k).agg(F.min("minute").alias("cutoff"))
-    return top_k(df.where(F.col(ts) >= cutoff.scalar()), k, *order)
+    recent = F.col(ts) >= cutoff.select("cutoff").scalar()
+    undated = F.col(ts).isNull() & (cutoff.select("dated").scalar() < k)
+    return top_k(df.where(recent | undated), k, *order)
 
 
 def latest_per_key(df: DataFrame, keys: list[str], *order: str, columns: list[str] | None = None) -> DataFrame:

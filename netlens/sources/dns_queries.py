@@ -22,19 +22,13 @@ def read_dns_records(spark: SparkSession, path: str, stream: bool = False) -> Da
     return lines.select(F.from_json("raw_log", DNS_RECORD_SCHEMA).alias("r"), "raw_log").select("r.*", "raw_log")
 
 
-def new_records(records: DataFrame, cursor: int, now: str | datetime, fetch_cap: int | None = None) -> DataFrame:
+def new_records(records: DataFrame, cursor: int, now: str | datetime) -> DataFrame:
     """Records beyond the cursor, each id once; the first run (cursor 0) looks
-    back five minutes only.
-
-    ``fetch_cap`` keeps the newest records like a source that returns a bounded
-    page per poll. It is off by default: a file source has no page limit.
-    """
+    back five minutes only."""
     rows = records
     if cursor == 0:
         start = ts_lit(now).cast("double") - FIRST_RUN_MINUTES * 60
         rows = rows.where(F.col("time") >= F.floor(start))
-    if fetch_cap is not None:
-        rows = rows.orderBy(F.desc("time"), F.desc("id")).limit(fetch_cap)
     return rows.where(F.col("id") > cursor).dropDuplicates(["id"])
 
 

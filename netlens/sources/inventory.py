@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netlens.functions.ip import ip_text
 from netlens.operators.dims import merge_clients
 from netlens.operators.filters import without_ips
 
@@ -81,8 +82,9 @@ def load_blacklist(payload: DataFrame, exclude_ips: Iterable[str]) -> DataFrame:
     """Feed entries as reputation rows, without the site's own addresses."""
     rows = _items(payload).where(F.coalesce("ipAddress", F.lit("")) != "")
     entries = rows.select(
-        F.col("ipAddress").alias("ip"),
+        F.coalesce(ip_text("ipAddress"), F.col("ipAddress")).alias("ip"),
         F.coalesce("abuseConfidenceScore", F.lit(100)).alias("threat_score"),
-        F.array(F.lit("blacklist")).alias("threat_categories"),
     )
-    return without_ips(entries, "ip", exclude_ips)
+    # An address may be listed twice, or in two spellings: the higher score counts.
+    once = entries.groupBy("ip").agg(F.max("threat_score").alias("threat_score"))
+    return without_ips(once.withColumn("threat_categories", F.array(F.lit("blacklist"))), "ip", exclude_ips)

@@ -9,7 +9,10 @@ from netlens.operators import aggregate, filters, flows, identity, search, threa
 from netlens.operators.dims import resolve_names
 from netlens.operators.enrich import EnrichmentTables, enrich
 from netlens.operators.rangejoin import cidr_blocks, range_join
+from netlens.operators.topk import newest
 from netlens.plans import maintenance, retention
+from netlens.plans.maintenance import upsert_clients, upsert_feed, upsert_threats
+from netlens.schema import THREAT_COLUMNS
 
 NOW = "2024-01-31 00:00:00"
 
@@ -35,7 +38,7 @@ def test_port(text, expected):
     assert filters.parse_port(text) == expected
 
 
-def test_bad_parameters():
+def test_bad_parameters(spark):
     for call in (lambda: filters.checked_ip("1.2.3"), lambda: retention.resolve_days() and retention._checked(0, 1), lambda: filters.exact(src="x")):
         with pytest.raises(ValueError):
             call()
@@ -230,3 +233,58 @@ def test_parameter_checks(spark):
     ):
         with pytest.raises(ValueError):
             call()
+
+
+def test_newest_agrees_with_a_sort_for_any_limit(spark):
+    rows = spark.range(3000).selectExpr(
+        "id", "CASE WHEN id % 10 = 0 THEN NULL ELSE timestamp_seconds(1706000000 + (id DIV 3) * 7) END AS timestamp"
+    )
+    order = [F.desc("timestamp"), F.desc("id")]
+    whole = [r.id for r in rows.orderBy(*order).collect()]
+    for k in (1, 5, 1000, 1001, 2000, 2699, 2701, 5000):
+        assert [r.id for r in newest(rows, k, *order).collect()] == whole[:k]
+    two = rows.where("id in (10, 11)")
+    assert [r.id for r in newest(two, 5, *order).collect()] == [11, 10]
+    assert newest(rows.where("id % 10 = 0"), 3, *order).count() == 3
+    assert newest(rows.limit(0), 3, *order).count() == 0
+
+
+def test_upserts_take_one_row_per_key(spark):
+    old = spark.createDataFrame([("2001:db8::1", 5), ("9.9.9.9", 1)], "ip string, threat_score int")
+    for name, kind in THREAT_COLUMNS.items():
+        if name not in old.columns:
+            old = old.withColumn(name, F.lit(None).cast(kind))
+    new = spark.createDataFrame([("2001:DB8::1", 20), ("2001:db8:0::1", 30), (None, 99), ("1.1.1.1", 7), ("1.1.1.1", 8)], "ip string, threat_score int")
+    feed = new.withColumn("threat_categories", F.array(F.lit("blacklist")))
+    scored = {r.ip: r.threat_score for r in upsert_threats(old, feed, "2024-01-31 00:00:00").collect()}
+    assert scored == {"2001:db8::1": 30, "9.9.9.9": 1, "1.1.1.1": 8}
+    listed = upsert_feed(old, feed, "2024-01-31 00:00:00")
+    assert sorted(r.ip for r in listed.collect()) == ["1.1.1.1", "2001:db8::1", "9.9.9.9"]
+    clients = spark.createDataFrame([("aa:bb", "10.0.0.1")], "mac string, ip string")
+    batch = spark.createDataFrame([("AA:BB ", "10.0.0.2"), ("aa:bb", "10.0.0.3"), (None, "10.0.0.4"), ("", "10.0.0.5")], "mac string, ip string")
+    assert [tuple(r) for r in upsert_clients(clients, batch, "2024-01-31 00:00:00").collect()] == [("aa:bb", "10.0.0.3")]
+
+
+def test_blocks_meet_only_what_they_hold(spark):
+    blocks = cidr_blocks(
+        spark.createDataFrame(
+            [("45.0.0.0/8", "eight"), ("45.1.0.0/16", "sixteen"), ("45.1.2.128/25", "odd"), ("45.1.2.3/32", "host"), ("2001:db8::/33", "six"), ("0.0.0.0/0", "all4")],
+            "network string, name string",
+        )
+    ).drop("network")
+    ips = ["45.9.9.9", "45.1.9.9", "45.1.2.200", "45.1.2.100", "45.1.2.3", "2001:db8:7fff::1", "2001:db8:8000::1", "9.9.9.9", "junk", None]
+    found = {r.ip: r.name for r in range_join(spark.createDataFrame([(i,) for i in ips], "ip string"), blocks).collect()}
+    assert found == {
+        "45.9.9.9": "eight", "45.1.9.9": "sixteen", "45.1.2.200": "odd", "45.1.2.100": "sixteen", "45.1.2.3": "host",
+        "2001:db8:7fff::1": "six", "2001:db8:8000::1": None, "9.9.9.9": "all4", "junk": None,
+    }
+    assert range_join(spark.createDataFrame([("1.1.1.1",)], "ip string"), blocks.limit(0)).collect()[0].name is None
+
+
+def test_dashboard_reads_the_log_once(spark):
+    from netlens.contract import QUERIES
+
+    plan = QUERIES["f18_tables_bundle"](spark, "/root/testdata/sf0.001")
+    plan.collect()
+    final = plan._jdf.queryExecution().executedPlan().toString()
+    assert final.split("== Initial Plan ==")[0].count("events.parquet") == 1
