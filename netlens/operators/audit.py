@@ -23,8 +23,7 @@ def audit_page(audit: DataFrame, tokens: DataFrame, limit: int = 200, offset: in
     if not 1 <= limit <= 1000 or offset < 0:
         raise ValueError("limit must be between 1 and 1000 and offset not negative")
     order = [F.desc("created_at"), F.desc("id")]
-    head = newest(audit.where(F.col("action") == "api_call"), offset + limit, *order, ts="created_at")
-    page = head.orderBy(*order).offset(offset).limit(limit) if offset else head
+    page = newest(audit.where(F.col("action") == "api_call"), limit, *order, ts="created_at", skip=offset)
     fields = page.withColumn("_f", audit_fields("detail"))
     return join_token(fields, tokens).select(
         "id", "token_id", "token_name", "token_prefix", "created_at", "_f.*"

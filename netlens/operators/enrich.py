@@ -68,6 +68,7 @@ def enrich(logs: DataFrame, tables: EnrichmentTables, cfg: NetConfig, now: Now)
     """
     own = cfg.own_ips
     columns = logs.columns
+    sides = logs.select("src_ip", "dst_ip")
     for name, kind in (("source", "string"), ("src_device_name", "string"), ("dst_device_name", "string")):
         if name not in columns:
             logs = logs.withColumn(name, F.lit(None).cast(kind))
@@ -85,7 +86,8 @@ def enrich(logs: DataFrame, tables: EnrichmentTables, cfg: NetConfig, now: Now)
             .drop("resolved_action", "action_source")
         )
     rows = computed(logs, {"remote_ip": remote_side(cfg)})
-    found = remote_attributes(rows.select(F.col("remote_ip").alias("ip")), tables, now)
+    # The distinct addresses come from two columns, before the joins above.
+    found = remote_attributes(computed(sides, {"ip": remote_side(cfg)}), tables, now)
     found = found.select(*[F.col(c).alias("_key" if c == "ip" else f"_{c}") for c in found.columns])
     joined = rows.withColumn("_join", spread_null(F.col("remote_ip"), F.col("raw_log"))).join(
         found, F.col("_join") == F.col("_key"), "left"

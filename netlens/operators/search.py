@@ -44,9 +44,13 @@ def search_page(
     rows = flt.apply(logs, now)
     order = sort_order(sort, descending, rows.columns)
     skip = (page - 1) * size
-    by_time = descending and (sort == "timestamp" or sort not in SORT_COLUMNS)
-    head = newest(rows, skip + size, *order) if by_time else top_k(rows, skip + size, *order)
-    return head.orderBy(*order).offset(skip).limit(size) if skip else head
+    if descending and (sort == "timestamp" or sort not in SORT_COLUMNS):
+        return newest(rows, size, *order, skip=skip)
+    # Other orders sort the key and the id alone, and read whole rows for the page only.
+    key = sort if sort in SORT_COLUMNS and sort in rows.columns else "timestamp"
+    head = top_k(rows.select("id", *({key} - {"id"})), skip + size, *order)
+    ids = (head.orderBy(*order).offset(skip).limit(size) if skip else head).select("id")
+    return rows.join(F.broadcast(ids), "id", "left_semi").select(*rows.columns).orderBy(*order)
 
 
 def with_names(page: DataFrame, clients: DataFrame, devices: DataFrame) -> DataFrame:

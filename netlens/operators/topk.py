@@ -17,26 +17,32 @@ def count_top(df: DataFrame, keys: list[str], k: int, *extra: Column) -> DataFra
     return top_k(counted, k, F.desc("count"), *[F.asc_nulls_last(c) for c in keys])
 
 
-def newest(df: DataFrame, k: int, *order: Column, ts: str = "timestamp") -> DataFrame:
-    """The ``k`` newest rows in the given order, whose first column must be
-    descending ``ts``. Rows without a time come last and are kept if there are fewer
-    than ``k`` others.
-
-    Rows are wide and only k of them are wanted, so a first scan of ``ts`` and the
-    filter columns counts rows per minute, which tells the minute the k-th row is in,
-    and only files and row groups from there on are read in full. That way no task
-    sees k rows of every other task, whatever k is.
+def newest(df: DataFrame, k: int, *order: Column, ts: str = "timestamp", skip: int = 0) -> DataFrame:
+    """``k`` rows after the ``skip`` newest ones, in the given order, whose first column
+    must be descending ``ts``. Rows without a time come last.
+
+    Rows are wide and few of them are wanted, so a first scan of ``ts`` and the filter
+    columns counts rows per minute, which tells the minutes the page lies in, and only
+    files and row groups of those are read in full. No task sees more than the rows of
+    these minutes, however large ``k`` and ``skip`` are.
     """
     minutes = df.where(F.col(ts).isNotNull()).groupBy(F.date_trunc("minute", F.col(ts)).alias("minute"))
     counts = minutes.agg(F.count(F.lit(1)).alias("n"))
     # One row per minute of the time window: small enough for one window.
     newer = F.sum("n").over(Window.orderBy(F.desc("minute"))) - F.col("n")
-    cutoff = counts.withColumn("newer", newer).agg(
-        F.min(F.when(F.col("newer") < k, F.col("minute"))).alias("cutoff"), F.coalesce(F.sum("n"), F.lit(0)).alias("dated")
-    )
-    recent = F.col(ts) >= cutoff.select("cutoff").scalar()
-    undated = F.col(ts).isNull() & (cutoff.select("dated").scalar() < k)
-    return top_k(df.where(recent | undated), k, *order)
+    inside = (F.col("newer") < skip + k) & (F.col("newer") + F.col("n") > skip)
+    place = counts.withColumn("newer", newer).agg(
+        F.min(F.when(inside, F.col("minute"))).alias("first"),
+        F.max(F.when(inside, F.col("minute"))).alias("last"),
+        F.min(F.when(inside, F.col("newer"))).alias("newer"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("dated"),
+    ).first()  # four figures
+    undated = F.col(ts).isNull() & F.lit(place["dated"] < skip + k)
+    if place["first"] is None:
+        return df.where(undated).orderBy(*order).offset(max(0, skip - place["dated"])).limit(k)
+    dated = (F.col(ts) >= F.lit(place["first"])) & (F.col(ts) < F.lit(place["last"]) + F.expr("INTERVAL 1 MINUTE"))
+    page = df.where(dated | undated)
+    return top_k(page, skip - place["newer"] + k, *order).orderBy(*order).offset(skip - place["newer"]).limit(k) if skip else top_k(page, k, *order)
 
 
 def latest_per_key(df: DataFrame, keys: list[str], *order: str, columns: list[str] | None = None) -> DataFrame:

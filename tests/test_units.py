@@ -243,6 +243,8 @@ def test_newest_agrees_with_a_sort_for_any_limit(spark):
     whole = [r.id for r in rows.orderBy(*order).collect()]
     for k in (1, 5, 1000, 1001, 2000, 2699, 2701, 5000):
         assert [r.id for r in newest(rows, k, *order).collect()] == whole[:k]
+    for skip, k in ((7, 5), (1000, 300), (2695, 10), (2800, 50), (2990, 50), (4000, 5)):
+        assert [r.id for r in newest(rows, k, *order, skip=skip).collect()] == whole[skip : skip + k]
     two = rows.where("id in (10, 11)")
     assert [r.id for r in newest(two, 5, *order).collect()] == [11, 10]
     assert newest(rows.where("id % 10 = 0"), 3, *order).count() == 3
