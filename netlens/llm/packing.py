@@ -42,6 +42,9 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.reset()
 
     def reset(self) -> None:
@@ -50,10 +53,25 @@ class WordIds:
         self.pool[0] = EOS
         self.starts, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)
 
-    def learn(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some words one after the other, and how many each has."""
+        texts = [w.decode() for w in words]
+        # Words of ASCII letters end with one id that says so: many are encoded as one text.
+        if all(map(bytes.isalpha, words)):
+            found = self.tokenizer.encode_batch_fast([" ".join(texts[k : k + 500]) for k in range(0, len(texts), 500)], add_special_tokens=False)
+            flat = np.concatenate([np.empty(0, np.uint32), *(np.array(e.ids, np.uint32) for e in found)])
+            ends = np.flatnonzero(self.last[flat])
+            if len(ends) == len(words):
+                return flat, np.diff(ends, prepend=-1)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
+        return np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum())), lengths
+
+    def learn(self, words: list[bytes]) -> None:
+        words = sorted(words, key=bytes.isalpha)
+        other = sum(not w.isalpha() for w in words)
+        parts = [self.ids_of(part) for part in (words[:other], words[other:])]
+        flat, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
