@@ -8,17 +8,7 @@ from netlens.llm import licenses, line_dedup, mixing
 from netlens.llm import quality_rules as Q
 from netlens.llm.common import BLANKS
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def figures(text):
-    text = text or ""
-    words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
-    windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
-    often = Counter(windows)
-    covered = {k + j for k, w in enumerate(windows) if often[w] > 1 for j in range(3)}
-    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+from .plain import LOWER, WORD, figures, targets
 
 
 def test_figures_match_plain_python(spark, documents, odd):
@@ -66,20 +56,6 @@ def test_lines_match_plain_python(spark, documents, odd):
     assert line_dedup.line_digest(odd.limit(0)).collect() == []
 
 
-def targets(sizes):
-    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
-    weight = {s: k % 3 + 1 for k, s in enumerate(order)}
-    total, capped = sum(sizes.values()), set()
-    while True:
-        rest = total - sum(3 * sizes[s] for s in capped)
-        base = sum(weight[s] for s in order if s not in capped)
-        out = {s: 3 * sizes[s] if s in capped else rest * weight[s] / base for s in order}
-        above = {s for s in order if out[s] > 3 * sizes[s]}
-        if not above:
-            return out
-        capped |= above
-
-
 def test_mix_meets_its_targets(spark, documents, odd):
     rows = documents.select("doc_id", "text", "source").unionByName(odd.select("doc_id", "text", "source"))
     rows = rows.withColumn("source", F.when(F.col("doc_id") < 60, "big").otherwise(F.col("source")))
