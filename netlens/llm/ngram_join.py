@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import discard, import_in_workers, join_checked, saved
+from netlens.llm.common import discard, forget_shuffles, import_in_workers, join_checked, saved
 from netlens.llm.components import components
-from netlens.llm.wordhash import set_key, shingle_sets
+from netlens.llm.wordhash import parities, set_key, shingle_sets
 
 SHINGLE = 5
 # Two sets link if 100 * shared >= PERCENT * all.
@@ -19,15 +20,20 @@ PERCENT = 80
 # Frequent shingles come last in the order of the prefixes. It decides about work, never
 # about links: a task counts exactly until it holds this many, then forgets the rarest.
 COUNTED = 1_000_000
-SEEN_IN_TASK = 8
-SEEN = 32
+SEEN_IN_TASK = 3
+SEEN = 5
 ORDERED = 1_000_000
-# Rounds in which each set meets one other, before all that is left is compared: one at
-# least, and more while buckets hold more open pairs than this per row of the index.
-STAR_ROUNDS = 6
-PAIRS_PER_ROW = 8
+# Buckets up to this size give all their pairs; larger ones are searched in cells of at
+# most so many rows a side, which give a forest of pairs.
+SMALL = 8
+CELL_ROWS = 2048
+# A pair is near the threshold if its bitmaps differ in more than this share of the bits
+# that sets that link may differ in. Each component gives so many of them at once.
+NEAR, NEAR_PAIRS = 0.85, 8
+# Bits of the bitmaps that rule out pairs before sets are fetched.
+BITS = 1024
 
-SETS = "doc_id long, text_hash long, n long, key long, gid long, prefix array<long>"
+SETS = "doc_id long, text_hash long, n long, key long, gid long, bits array<long>, prefix array<long>"
 
 
 def _rows(documents: DataFrame) -> DataFrame:
@@ -89,7 +95,7 @@ def prefix_sets(rows: DataFrame) -> DataFrame:
         often, level = hot.value
         given: set[int] = set()
         for batch in batches:
-            out: dict[str, list] = {"n": [], "key": [], "gid": [], "prefix": []}
+            out: dict[str, list] = {"n": [], "key": [], "gid": [], "bits": [], "prefix": []}
             for shingles in shingle_sets(batch.column("text"), SHINGLE):
                 n = len(shingles)
                 size = n - (PERCENT * n + 99) // 100 + 1 if n else 0
@@ -103,14 +109,13 @@ def prefix_sets(rows: DataFrame) -> DataFrame:
                 out["n"].append(n)
                 out["key"].append(set_key(shingles))
                 out["gid"].append(gid)
+                out["bits"].append(parities(shingles, BITS))
                 out["prefix"].append(None if gid in given or not n else prefix.view(np.int64))
                 if len(given) < COUNTED:
                     given.add(gid)
-            ids = {name: batch.column(name) for name in ("doc_id", "text_hash")}
-            yield pa.RecordBatch.from_arrays(
-                [ids["doc_id"], ids["text_hash"], *(pa.array(out[k], pa.int64()) for k in ("n", "key", "gid")), pa.array(out["prefix"], pa.list_(pa.int64()))],
-                names=["doc_id", "text_hash", "n", "key", "gid", "prefix"],
-            )
+            columns = [batch.column("doc_id"), batch.column("text_hash"), *(pa.array(out[k], pa.int64()) for k in ("n", "key", "gid"))]
+            columns += [pa.array(out[k], pa.list_(pa.int64())) for k in ("bits", "prefix")]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", *out])
 
     return rows.mapInArrow(run, SETS)
 
@@ -122,8 +127,14 @@ def sets_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
     texts = join_checked(rows, reps, F.col("doc_id").eqNullSafe(F.col("r")) & (F.col("text_hash") == F.col("rh")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()  # rows that repeat a representative
         for batch in batches:
-            found = [(set_key(s), s.view(np.int64)) for s in shingle_sets(batch.column("text"), SHINGLE)]
+            found = []
+            for s in shingle_sets(batch.column("text"), SHINGLE):
+                key = set_key(s)
+                if key not in given:
+                    found.append((key, s.view(np.int64)))
+                    given.add(key)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64()))], names=["key", "shingles"]
             )
@@ -131,13 +142,32 @@ def sets_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "key long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def possible(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of set keys those whose bitmaps leave enough in common. Sets
+    far larger than the bitmap are hardly ruled out; no set that links is."""
+    a = members.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    b = members.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    both = pairs.select("a", "b").join(a, "a").join(b, "b")
+    differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
+    total = F.col("na") + F.col("nb")
+    # shared <= (total - differ) / 2 and union = total - shared
+    return both.where(100 * (total - differ) >= PERCENT * (total + differ)).select("a", "b")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of set keys those whose sets link."""
+    pairs = saved(possible(pairs, members))
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    keys = saved(keys.join(members.select("key", "rep", "rep_hash"), "key"))
+    sets = saved(sets_of(rows, keys))
     a = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.select("a", "b").join(a, "a").join(b, "b")
+    both = pairs.join(a, "a").join(b, "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * shared >= PERCENT * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
+    found = both.where(100 * shared >= PERCENT * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
+    found = saved(found)
+    discard(pairs, keys, sets)
+    return found
 
 
 def _sizes_fit(n: Column, m: Column) -> Column:
@@ -151,11 +181,91 @@ def _labelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(roots, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "key")).drop("node", "root")
 
 
-def _open_pairs(places: DataFrame) -> int:
-    """Pairs of rows of one bucket that are in different components."""
-    parts = places.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
-    sums = parts.groupBy("bucket").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    return sums.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
+def elsewhere(buckets: list[np.ndarray], bucket: int) -> np.ndarray:
+    """Which pairs of a cell's sets meet in a bucket with a smaller number, too: they are
+    compared there. ``buckets`` has the large buckets of each set."""
+    lengths = [len(b) for b in buckets]
+    every, owner = np.concatenate(buckets), np.repeat(np.arange(len(buckets)), lengths)
+    smaller = every < bucket
+    numbers, column, counts = np.unique(every[smaller], return_inverse=True, return_counts=True)
+    owner, shared = owner[smaller], np.cumsum(counts > 1) - 1
+    both = counts[column] > 1
+    owner, column = owner[both], shared[column[both]]
+    met = np.zeros((len(buckets), len(buckets)), bool)
+    width = int((counts > 1).sum())
+    for first in range(0, width, 1024):
+        part = (column >= first) & (column < first + 1024)
+        has = np.zeros((len(buckets), min(1024, width - first)), np.float32)
+        has[owner[part], column[part] - first] = 1
+        met |= has @ has.T > 0
+    return met
+
+
+def forest(cell: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (a, b) of a cell's sets that connect components, as far as bitmaps and sizes
+    allow: a forest of those that are likely to link, the nearest first, and
+    for each component left the nearest few of those that may just miss the threshold."""
+    none = pd.DataFrame({"bucket": [], "a": [], "b": []}, dtype=np.int64)
+    parts, comp = np.unique(cell["comp"].to_numpy(), return_inverse=True)
+    if len(parts) == 1:
+        return none
+    key, n, chunk = (cell[c].to_numpy(np.int64) for c in ("key", "n", "chunk"))
+    met = elsewhere(cell["buckets"].tolist(), cell["bucket"].iat[0])
+    bits = np.array(cell["bits"].tolist(), np.int64).view(np.uint64)
+    failed = cell["failed"].tolist()
+    across = chunk.min() != chunk.max()
+    found = []
+    place = np.arange(len(key))
+    for first in range(0, len(key), 256):
+        block = slice(first, first + 256)
+        may = ~met[block] & (comp[block, None] != comp) & (place[block, None] < place)
+        if across:
+            may &= chunk[block, None] != chunk
+        for k in range(first, min(first + 256, len(key))):
+            if failed[k] is not None:
+                may[k - first] &= ~np.isin(key, failed[k])
+        left, right = np.nonzero(may)
+        left += first
+        fits = 100 * np.minimum(n[left], n[right]) >= PERCENT * np.maximum(n[left], n[right])
+        left, right = left[fits], right[fits]
+        differ = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64)
+        total = n[left] + n[right]
+        good = 100 * (total - differ) >= PERCENT * (total + differ)
+        found.append(np.stack([left[good], right[good], differ[good]]))
+    left, right, differ = np.concatenate(found, axis=1)
+    if not len(left):
+        return none
+    share = differ * (100 + PERCENT) / ((100 - PERCENT) * (n[left] + n[right]))
+    order = np.argsort(share, kind="stable")
+    left, right, share = left[order], right[order], share[order]
+    near_left, near_right = left[share > NEAR], right[share > NEAR]
+    left, right = left[share <= NEAR], right[share <= NEAR]
+    root = np.arange(len(parts))
+    out = []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    while len(left):
+        # The nearest pair of each component joins it to another one.
+        for k in np.unique(comp[left], return_index=True)[1]:
+            x, y = find(comp[left[k]]), find(comp[right[k]])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((key[left[k]], key[right[k]]))
+        comp = np.array([find(x) for x in range(len(parts))])[comp]
+        apart = comp[left] != comp[right]
+        left, right = left[apart], right[apart]
+    apart = comp[near_left] != comp[near_right]
+    near_left, near_right = near_left[apart], near_right[apart]
+    ends = pd.Series(np.stack([comp[near_left], comp[near_right]], axis=1).ravel())
+    chosen = (ends.groupby(ends).cumcount().to_numpy().reshape(-1, 2) < NEAR_PAIRS).any(axis=1)
+    out += zip(key[near_left[chosen]], key[near_right[chosen]], strict=True)
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pd.DataFrame({"bucket": cell["bucket"].iat[0], "a": pairs.min(axis=1), "b": pairs.max(axis=1)})
 
 
 def set_links(rows: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
@@ -163,64 +273,68 @@ def set_links(rows: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame
 
     Copies are one set, sets with one prefix and size one group. The index has a row per
     group and shingle of its prefix; only shingles of two groups are buckets, and a
-    group of several sets is a bucket, too. First each set meets the least of its
-    buckets, round by round, as long as buckets hold many pairs of components. What links
-    joins one component; then all pairs of a bucket that are in different components
-    still are compared. So the copies of one text cost a pair each, not all pairs, and
-    no link between components is lost. All comparisons are exact.
+    group of several sets is a bucket, too. Small buckets give all their pairs. A large
+    one gives a forest: pairs that would connect its components if all that bitmaps
+    allow links, and some near misses; sets that meet in several large buckets are
+    compared in one of them. Whatever was given is compared exactly, what links joins
+    components, what doesn't is remembered, and large buckets are searched again until
+    none gives a pair. So what a bucket gives grows with its rows, whatever is in it,
+    and in the end no two sets in different components can link.
     """
+    spark = rows.sparkSession
     index = sets.where(F.col("prefix").isNotNull()).select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "bucket"))
     buckets = index.groupBy("bucket").agg(F.min("gid").alias("g1"), F.max("gid").alias("g2")).where("g1 <> g2").select("bucket")
     # Two tasks may both give a group's prefix.
     index = saved(index.join(buckets, "bucket").select("bucket", "gid", "pos").distinct())
+    forget_shuffles(spark)
     large = members.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gid")
     place = index.join(members.select("gid", "key", "n"), "gid").select("bucket", "key", "n", "pos")
     own = members.join(large, "gid").select(F.col("gid").alias("bucket"), "key", "n", F.lit(-1).alias("pos"))
     place = saved(place.unionByName(own))
     discard(index)
-    keys = place.select("key").distinct().join(members, "key")
-    shingles = saved(sets_of(rows, keys).join(keys.select("key"), "key", "left_semi").dropDuplicates(["key"]))
-    links, tested, roots = None, None, None
-
-    def grow(pairs: DataFrame) -> None:
-        nonlocal links, tested, roots
-        pairs = saved(pairs)
-        found = verified(pairs, shingles)
-        links = saved(found if links is None else links.unionByName(found))
-        tested = pairs if tested is None else saved(tested.unionByName(pairs))
+    sizes = place.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
+    sized = saved(place.join(sizes, "bucket"))
+    discard(place)
+    forget_shuffles(spark)
+
+    few = sized.where(F.col("c") <= SMALL)
+    x = few.select("bucket", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    y = few.select("bucket", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    fits = (F.col("pa") < 0) | (PERCENT * (F.col("na") + F.col("nb")) <= (100 + PERCENT) * room)
+    meet = x.join(y, "bucket").where((F.col("a") < F.col("b")) & _sizes_fit(F.col("na"), F.col("nb")) & fits)
+    pairs = saved(meet.select("a", "b").distinct())
+
+    large = sized.where(F.col("c") > SMALL).select("bucket", "key", "n", "c")
+    # A set has no more buckets than shingles in its prefix.
+    lists = large.groupBy("key").agg(F.collect_list("bucket").alias("buckets")).join(members.select("key", "bits"), "key")
+    many = saved(large.join(lists, "key"))
+    chunks = F.ceil(F.col("c") / CELL_ROWS).cast("int")
+    many = many.withColumn("chunk", F.pmod(F.xxhash64("key"), chunks).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    links, failed, roots = None, None, None
+    while True:
+        found = verified(pairs, rows, members)
+        wrong = pairs.join(found, ["a", "b"], "left_anti")
+        links = found if links is None else saved(links.unionByName(found))
+        failed = saved(wrong if failed is None else failed.unionByName(wrong))
+        discard(pairs)
         roots = components(links)
-
-    rows_placed = place.count()
-    for turn in range(STAR_ROUNDS):
-        now = _labelled(place, roots)
-        if turn and _open_pairs(now) <= PAIRS_PER_ROW * rows_placed:
-            break
-        # The least set of a bucket, by another order in each round, meets the rest. A
-        # set meets the one it shares most buckets with.
-        order = F.struct(F.xxhash64("key", F.lit(turn)).alias("o"), F.col("key").alias("k"), F.col("n").alias("m"), F.col("comp").alias("c"))
-        mixed = now.groupBy("bucket").agg(F.min(order).alias("s"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket", "s")
-        meet = now.join(mixed, "bucket").where((F.col("comp") != F.col("s.c")) & _sizes_fit(F.col("n"), F.col("s.m")))
-        meet = meet.groupBy("key", F.col("s.k").alias("k")).agg(F.count(F.lit(1)).alias("c"))
-        meet = meet.groupBy("key").agg(F.max(F.struct("c", "k")).alias("s"))
-        pairs = meet.select(F.least("key", F.col("s.k")).alias("a"), F.greatest("key", F.col("s.k")).alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        grow(pairs)
-    rest = saved(_labelled(place, roots))
-    parts = rest.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    parts = parts.join(mixed, "bucket").select("bucket", "comp")
-    left, right = parts.withColumnRenamed("comp", "ca"), parts.withColumnRenamed("comp", "cb")
-    x = rest.select("bucket", F.col("comp").alias("ca"), F.col("key").alias("ka"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    y = rest.select("bucket", F.col("comp").alias("cb"), F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    meet = left.join(right, "bucket").where("ca < cb").join(x, ["bucket", "ca"]).join(y, ["bucket", "cb"])
-    # At the first shingle in order that two sets share, nothing before it is shared.
-    most = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    need = PERCENT * (F.col("na") + F.col("nb")) <= (100 + PERCENT) * most
-    meet = meet.where(_sizes_fit(F.col("na"), F.col("nb")) & (need | (F.col("pa") < 0)))
-    pairs = meet.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    pairs = saved(pairs)
-    return saved(links.unionByName(verified(pairs, shingles)).distinct())
+        partners = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        partners = partners.groupBy(F.col("a").alias("key")).agg(F.collect_list("b").alias("failed"))
+        now = _labelled(many, roots).join(partners, "key", "left")
+        now = now.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+        # Few rows, much work: their number says nothing about how many tasks they need.
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        cells = now.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j")
+        given = saved(cells.applyInPandas(forest, "bucket long, a long, b long"))
+        # A bucket that gives nothing now gives nothing later: components only grow.
+        busy = given.select(F.col("bucket").alias("busy")).distinct()
+        many = join_checked(many, busy, F.col("bucket") == F.col("busy"), "left_semi")
+        pairs = saved(given.select("a", "b").distinct())
+        forget_shuffles(spark)
+        if pairs.isEmpty():
+            return links
 
 
 def classes(documents: DataFrame) -> DataFrame:
@@ -236,12 +350,12 @@ def classes(documents: DataFrame) -> DataFrame:
     import_in_workers(documents.sparkSession)
     rows = _rows(documents)
     sets = saved(prefix_sets(rows))
-    rep = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")).alias("rep")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash", "bits")).alias("rep")
     members = saved(
         sets.where("n > 0")
         .groupBy("key", "gid", "n")
         .agg(rep)
-        .select("key", "gid", F.col("n").cast("int").alias("n"), F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"))
+        .select("key", "gid", F.col("n").cast("int").alias("n"), F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"), "rep.bits")
     )
     links = set_links(rows, sets, members)
     degree = links.select(F.explode(F.array("a", "b")).alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n_links"))
@@ -249,7 +363,7 @@ def classes(documents: DataFrame) -> DataFrame:
     least = roots.groupBy("comp").agg(F.min("rep").alias("component_id"))
     known = roots.join(least, "comp").join(degree, F.col("key") == F.col("d"), "left")
     known = known.select(F.col("key").alias("k"), "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    out = sets.drop("prefix", "gid").join(known, (F.col("key") == F.col("k")) & (F.col("n") > 0), "left")
+    out = sets.drop("prefix", "gid", "bits").join(known, (F.col("key") == F.col("k")) & (F.col("n") > 0), "left")
     return out.select(
         "doc_id",
         "text_hash",

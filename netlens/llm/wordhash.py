@@ -102,6 +102,14 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield words[:0]
 
 
+def parities(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Bitmap of a set, as signed 64-bit words: a bit is set if an odd number of hashes
+    falls on it. The bits in which two bitmaps differ are at most the hashes that are in
+    one of the two sets alone."""
+    odd = np.bincount((hashes & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def set_key(hashes: np.ndarray) -> int:
     """64 bits that stand for a set of hashes, as a signed number."""
     spread = mix(hashes * _U(0xC2B2AE3D27D4EB4F))

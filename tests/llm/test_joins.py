@@ -1,5 +1,4 @@
 import random
-import re
 import zlib
 from collections import Counter
 
@@ -11,34 +10,7 @@ from netlens.llm import ngram_join, packing, topk_search
 from netlens.llm.components import components
 from netlens.llm.queries import tokenizer_file
 
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def shingles(text):
-    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
-    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
-
-
-def brute(rows):
-    """(id, size, smallest id reachable) of rows (id, text), by all pairs."""
-    sets = [shingles(t) for _, t in rows]
-    root = list(range(len(rows)))
-
-    def find(a):
-        while root[a] != a:
-            a = root[a]
-        return a
-
-    for a in range(len(rows)):
-        for b in range(a):
-            same = len(sets[a] & sets[b])
-            if sets[a] and 100 * same >= 80 * len(sets[a] | sets[b]):
-                root[find(a)] = find(b)
-    least = {}
-    for k, (i, _) in enumerate(rows):
-        if i is not None:
-            least[find(k)] = min(i, least.get(find(k), i))
-    return Counter((i, len(sets[k]), least.get(find(k))) for k, (i, _) in enumerate(rows))
+from .plain import brute
 
 
 def near_copies(seed):
@@ -70,9 +42,17 @@ def test_components_match_all_pairs(spark, documents, odd):
     assert ngram_join.join_digest(lone).where("component_id <> doc_id or n_shingles > 0").isEmpty()
 
 
-def test_links_without_star_rounds_are_found(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 1)
+def test_large_buckets_in_cells_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL", 2)
+    monkeypatch.setattr(ngram_join, "CELL_ROWS", 4)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
     rows = near_copies(5)
+    for k in range(60):  # a family in which many pairs are just below the threshold
+        text = list(base)
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(len(text))] = f"x{k}y{rng.randrange(100)}"
+        rows.append((10_000 + k, " ".join(text)))
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join_digest(table).collect())
     assert got == brute(rows)
