@@ -29,9 +29,9 @@ SMALL = 8
 CELL_ROWS = 2048
 # A pair is near the threshold if its bitmaps differ in more than this share of the bits
 # that sets that link may differ in. Each component gives so many of them at once.
-NEAR, NEAR_PAIRS = 0.85, 8
+NEAR, NEAR_PAIRS = 0.95, 32
 # Bits of the bitmaps that rule out pairs before sets are fetched.
-BITS = 1024
+BITS = 4096
 
 SETS = "doc_id long, text_hash long, n long, key long, gid long, bits array<long>, prefix array<long>"
 
