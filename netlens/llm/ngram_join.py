@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,8 @@ ORDERED = 1_000_000
 SMALL = 8
 CELL_ROWS = 2048
 # A pair is near the threshold if its bitmaps differ in more than this share of the bits
-# that sets that link may differ in. Each component gives so many of them at once.
+# that sets that link may differ in. Each component gives so many of them in the first
+# round and eight times as many in each further one, so that rounds stay few.
 NEAR, NEAR_PAIRS = 0.95, 32
 # Bits of the bitmaps that rule out pairs before sets are fetched.
 BITS = 4096
@@ -201,10 +202,10 @@ def elsewhere(buckets: list[np.ndarray], bucket: int) -> np.ndarray:
     return met
 
 
-def forest(cell: pd.DataFrame) -> pd.DataFrame:
+def forest(cell: pd.DataFrame, near: int) -> pd.DataFrame:
     """Pairs (a, b) of a cell's sets that connect components, as far as bitmaps and sizes
     allow: a forest of those that are likely to link, the nearest first, and
-    for each component left the nearest few of those that may just miss the threshold."""
+    for each component left the ``near`` nearest that may just miss the threshold."""
     none = pd.DataFrame({"bucket": [], "a": [], "b": []}, dtype=np.int64)
     parts, comp = np.unique(cell["comp"].to_numpy(), return_inverse=True)
     if len(parts) == 1:
@@ -262,12 +263,16 @@ def forest(cell: pd.DataFrame) -> pd.DataFrame:
     apart = comp[near_left] != comp[near_right]
     near_left, near_right = near_left[apart], near_right[apart]
     ends = pd.Series(np.stack([comp[near_left], comp[near_right]], axis=1).ravel())
-    chosen = (ends.groupby(ends).cumcount().to_numpy().reshape(-1, 2) < NEAR_PAIRS).any(axis=1)
+    chosen = (ends.groupby(ends).cumcount().to_numpy().reshape(-1, 2) < near).any(axis=1)
     out += zip(key[near_left[chosen]], key[near_right[chosen]], strict=True)
     pairs = np.array(out, np.int64).reshape(-1, 2)
     return pd.DataFrame({"bucket": cell["bucket"].iat[0], "a": pairs.min(axis=1), "b": pairs.max(axis=1)})
 
 
+def _search(near: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda cell: forest(cell, near)
+
+
 def set_links(rows: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
     """Links (a, b) between different sets, enough of them to connect what is connected.
 
@@ -312,7 +317,7 @@ def set_links(rows: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame
     chunks = F.ceil(F.col("c") / CELL_ROWS).cast("int")
     many = many.withColumn("chunk", F.pmod(F.xxhash64("key"), chunks).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    links, failed, roots = None, None, None
+    links, failed, roots, near = None, None, None, NEAR_PAIRS
     while True:
         found = verified(pairs, rows, members)
         wrong = pairs.join(found, ["a", "b"], "left_anti")
@@ -327,7 +332,8 @@ def set_links(rows: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame
         # Few rows, much work: their number says nothing about how many tasks they need.
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         cells = now.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j")
-        given = saved(cells.applyInPandas(forest, "bucket long, a long, b long"))
+        given = saved(cells.applyInPandas(_search(near), "bucket long, a long, b long"))
+        near *= 8
         # A bucket that gives nothing now gives nothing later: components only grow.
         busy = given.select(F.col("bucket").alias("busy")).distinct()
         many = join_checked(many, busy, F.col("bucket") == F.col("busy"), "left_semi")
