@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netlens.llm.common import WORD, hash_unit, join_checked, saved, text_of
+from netlens.llm.common import WORD, discard, hash_unit, join_checked, saved, text_of
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
 SEED = 20240131
 # The order is cut in this many ranges, and the range of the cut in as many again.
 RANGES = 4096
-# Documents after the cut that are looked at to fill the words still missing.
+# Documents that are looked at one by one after each that didn't fit; it decides about
+# the number of rounds, never about what is taken.
 FILLERS = 64
+# ``v`` lies between these.
+BEFORE, BEHIND = -1.0, 2.0
+# A rank beyond all others is 1; the last range holds it, too.
+LARGEST = 1 - 2.0**-30
+BAND = "array<struct<low: double, high: double, room: double>>"
 
 
 def source_targets(totals: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -71,14 +77,15 @@ def with_odds(rows: DataFrame, plan: DataFrame, most: int) -> DataFrame:
 def mixing_plan(
     rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES, ranges: int = RANGES
 ) -> DataFrame:
-    """Per source: (source, source_size, target, mean_weight, cut, extra). A document is
-    taken ``whole`` times, and once more if its ``v`` is at most the cut or in ``extra``.
-
-    The cut is the last document in Pareto order that keeps to the target; ``extra`` are
-    the few next ones that still fit. It is
-    found from sums per range of ``v``, then per smaller range inside the one that holds
-    the cut, then row by row in there, so no task orders a whole source. Equal rows have
-    equal ``v`` and share their fate.
+    """Per source: (source, source_size, target, mean_weight, bands). A document is taken
+    ``whole`` times, and once more if one of the ``bands`` (low, high, room) holds it:
+    low < v < high, and no more words than room.
+
+    That is every document in Pareto order that fits into the words still wanted when its
+    turn comes. A round takes all up to the first that doesn't fit, which sums per range
+    find, and looks at the next few one by one; the next round goes on behind them with
+    those that are short enough for what is left, until none is. So no task orders a
+    whole source. Equal rows have equal ``v`` and share their fate.
     """
     totals = rows.groupBy("source").agg(
         F.sum("size").alias("source_size"),
@@ -89,69 +96,101 @@ def mixing_plan(
     plan = saved(source_targets(totals, weights, most))
     odds = with_odds(rows.select("source", "size", "w", "u"), plan, most).select("source", "size", "target", "whole", "v")
     sure = odds.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("rest"))
-    # (source, rest, low): words still wanted from the range that starts at ``low``.
-    state = sure.withColumn("low", F.lit(0).cast("long"))
-    open_rows = odds.where(F.col("v").isNotNull() & (F.col("size") > 0))
-    for scale in (ranges, ranges * ranges):
-        state = saved(state)
-        there = state.withColumnRenamed("source", "s")
-        bins = open_rows.withColumn("bin", F.floor(F.col("v") * scale)).withColumn("up", F.floor(F.col("v") * (scale // ranges)))
-        bins = join_checked(bins, there, F.col("source").eqNullSafe(F.col("s")) & (F.col("up") == F.col("low")), "inner")
-        bins = bins.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-        done = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # (s, rest, low): words still wanted of the documents behind ``low``.
+    state = saved(sure.select(F.col("source").alias("s"), F.col("rest").cast("double").alias("rest"), F.lit(BEFORE).alias("low")))
+    open_rows = saved(odds.where(F.col("v").isNotNull() & (F.col("size") > 0)).select("source", "size", "v"))
+    bands = state.select("s", F.array().cast(BAND).alias("bands"))
+    while True:
+        may = saved(_may_fit(open_rows, state))
+        discard(open_rows)
+        open_rows = may
+        if open_rows.isEmpty():
+            break
+        for step in (lambda rows, state: _prefix(rows, state, ranges), _next_few):
+            found = saved(step(open_rows, state))
+            bands = bands.unionByName(found.select("s", "bands"))
+            state = found.select("s", "rest", "low")
+    bands = bands.groupBy("s").agg(F.array_sort(F.flatten(F.collect_list("bands"))).alias("bands"))
+    return saved(plan.join(bands, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"))
+
+
+def _may_fit(open_rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows whose turn is still to come and that aren't longer than what is left."""
+    state = state.withColumnsRenamed({"rest": "most", "low": "behind"})
+    on = F.col("source").eqNullSafe(F.col("s")) & (F.col("v") > F.col("behind")) & (F.col("size") <= F.col("most"))
+    return join_checked(open_rows, state, on, "left_semi")
+
+
+def _prefix(open_rows: DataFrame, state: DataFrame, ranges: int) -> DataFrame:
+    """(s, rest, low, bands) after taking the rows up to the first that doesn't fit. It is
+    found from sums per range of ``v``, then per smaller range inside the one that holds
+    it, then row by row in there."""
+    level = state.select("s", F.col("rest").alias("wanted"), F.lit(0).cast("long").alias("range"))
+
+    def inside(rows: DataFrame, scale: int) -> DataFrame:
+        rows = rows.withColumn("up", F.floor(F.least(F.col("v"), F.lit(LARGEST)) * scale))
+        return join_checked(rows, level, F.col("source").eqNullSafe(F.col("s")) & (F.col("up") == F.col("range")), "inner")
+
+    def before(*order: str) -> Column:
+        earlier = Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("words").over(earlier), F.lit(0))
+
+    for scale in (1, ranges):
+        bins = inside(open_rows, scale).withColumn("bin", F.floor(F.least(F.col("v"), F.lit(LARGEST)) * (scale * ranges)))
+        bins = bins.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"))
         # The last range that begins before the wanted words are complete.
-        bins = bins.withColumn("done", done).where(F.col("done") < F.col("rest"))
-        state = bins.groupBy("source").agg(F.max(F.struct("bin", "done", "rest")).alias("m"))
-        state = state.select("source", (F.col("m.rest") - F.col("m.done")).alias("rest"), F.col("m.bin").alias("low"))
-    state = saved(state)
-    there = state.withColumnRenamed("source", "s")
-    last = open_rows.withColumn("up", F.floor(F.col("v") * (ranges * ranges)))
-    last = join_checked(last, there, F.col("source").eqNullSafe(F.col("s")) & (F.col("up") == F.col("low")), "inner")
-    ties = last.groupBy("source", "v").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("low").alias("low"))
-    done = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # The document that would go beyond the target stays out.
-    fits = F.col("done") + F.col("words") <= F.col("rest")
-    cut = (
-        ties.withColumn("done", done)
-        .where(fits)
-        .groupBy("source")
-        .agg(F.max("v").alias("cut"), F.max(F.col("done") + F.col("words")).alias("done"))
-        .withColumnRenamed("source", "c")
-    )
-    # Rows before the last range are in, whether or not one of its own is.
-    floor = (F.col("low").cast("double") / (ranges * ranges)).alias("floor")
-    cuts = state.select(F.col("source").alias("s"), "rest", floor).join(cut, F.col("s").eqNullSafe(F.col("c")), "left")
-    cuts = saved(cuts.select("s", F.coalesce("cut", "floor").alias("cut"), (F.col("rest") - F.coalesce("done", F.lit(0))).alias("rest")))
-    extra = _fillers(open_rows, cuts)
-    return saved(
-        plan.join(cuts.drop("rest"), F.col("source").eqNullSafe(F.col("s")), "left")
-        .join(extra, F.col("source").eqNullSafe(F.col("e")), "left")
-        .select("source", "source_size", "target", "mean_weight", F.coalesce("cut", F.lit(0.0)).alias("cut"), "extra")
+        bins = bins.withColumn("done", before("bin")).where(F.col("done") < F.col("wanted"))
+        level = bins.groupBy("source").agg(F.max(F.struct("bin", "done", "wanted")).alias("m"))
+        level = saved(level.select(F.col("source").alias("s"), (F.col("m.wanted") - F.col("m.done")).alias("wanted"), F.col("m.bin").alias("range")))
+    ties = inside(open_rows, ranges * ranges).groupBy("source", "v").agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"), F.first("range").alias("range"))
+    ties = ties.withColumn("done", before("v") + F.col("words"))
+    # If all rows of the range fit, it ends where the next range begins.
+    end = F.when(F.col("range") + 1 < ranges * ranges, (F.col("range") + 1) / F.lit(float(ranges * ranges))).otherwise(BEHIND)
+    fits = F.col("done") <= F.col("wanted")
+    last = ties.groupBy("source").agg(
+        F.coalesce(F.min(F.when(~fits, F.col("v"))), F.first(end)).alias("stop"), (F.first("wanted") - F.coalesce(F.max(F.when(fits, F.col("done"))), F.lit(0))).alias("left")
     )
+    out = state.join(last, F.col("s").eqNullSafe(F.col("source")), "inner")
+    band = F.struct("low", F.col("stop").alias("high"), F.col("rest").alias("room"))
+    return out.select("s", F.col("left").cast("double").alias("rest"), F.col("stop").alias("low"), F.array(band).cast(BAND).alias("bands"))
 
 
-def _fillers(open_rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """(e, extra): of the next documents in Pareto order, those that still fit into the
-    words missing at the cut. The next ones are found in parts, then per source."""
-    after = join_checked(open_rows, cuts, F.col("source").eqNullSafe(F.col("s")), "inner")
-    after = after.where((F.col("v") > F.col("cut")) & (F.col("size") <= F.col("rest")))
-    ties = after.groupBy("source", "v").agg(F.sum("size").cast("double").alias("words"), F.first("rest").alias("rest"))
+def _next_few(open_rows: DataFrame, state: DataFrame) -> DataFrame:
+    """(s, rest, low, bands) after looking at the next rows one by one. They are found in
+    parts, then per source."""
+    after = join_checked(open_rows, state, F.col("source").eqNullSafe(F.col("s")), "inner")
+    after = after.where((F.col("v") > F.col("low")) & (F.col("size") <= F.col("rest")))
+    ties = after.groupBy("source", "v").agg(F.sum("size").cast("double").alias("words"))
     parts = ties.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(32)))
     first = parts.withColumn("k", F.row_number().over(Window.partitionBy("source", "part").orderBy("v"))).where(F.col("k") <= FILLERS)
     near = first.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("v"))).where(F.col("k") <= FILLERS)
-    lists = near.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("v", "words"))).alias("next"), F.first("rest").alias("rest"))
-    start = F.struct(F.col("rest").cast("double").alias("rest"), F.array().cast("array<double>").alias("v"))
+    lists = near.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("v", "words"))).alias("next"))
+    rows = state.join(lists, F.col("s").eqNullSafe(F.col("source")), "inner")
+    # The last one of a full list only says where the others end.
+    full = F.size("next") >= FILLERS
+    seen = F.when(full, F.slice("next", 1, FILLERS - 1)).otherwise(F.col("next"))
+    end = F.when(full, F.element_at("next", -1)["v"]).otherwise(F.lit(BEHIND))
+    room = F.col("rest")
+
+    def band(low: Column, high: Column) -> Column:
+        return F.array(F.struct(low.alias("low"), high.alias("high"), room.alias("room"))).cast(BAND)
 
     def take(state: Column, doc: Column) -> Column:
         fits = doc["words"] <= state["rest"]
-        return F.when(fits, F.struct((state["rest"] - doc["words"]).alias("rest"), F.concat(state["v"], F.array(doc["v"])).alias("v"))).otherwise(state)
+        taken = F.struct((state["rest"] - doc["words"]).alias("rest"), state["low"].alias("low"), state["bands"].alias("bands"))
+        missed = F.struct(state["rest"].alias("rest"), doc["v"].alias("low"), F.concat(state["bands"], band(state["low"], doc["v"])).alias("bands"))
+        return F.when(fits, taken).otherwise(missed)
 
-    return lists.select(F.col("source").alias("e"), F.aggregate("next", start, take)["v"].alias("extra"))
+    start = F.struct(F.col("rest"), F.col("low"), F.array().cast(BAND).alias("bands"))
+    rows = rows.withColumn("m", F.aggregate(seen, start, take)).withColumn("end", end)
+    behind = F.when(full, F.element_at(seen, -1)["v"]).otherwise(F.lit(BEHIND))
+    bands = F.concat("m.bands", band(F.col("m.low"), F.col("end")))
+    return rows.select("s", F.col("m.rest").alias("rest"), behind.alias("low"), bands.alias("bands"))
 
 
 def mix(rows: DataFrame, plan: DataFrame, most: int = MAX_COPIES) -> DataFrame:
     """Rows of ``measured`` with ``copies``, the number of times the mix takes each."""
-    taken = (F.col("v") <= F.col("cut")) | F.coalesce(F.array_contains("extra", F.col("v")), F.lit(False))
+    taken = F.exists("bands", lambda b: (F.col("v") > b["low"]) & (F.col("v") < b["high"]) & (F.col("size") <= b["room"]))
     extra = F.coalesce(taken, F.lit(False)).cast("long")
     return with_odds(rows, plan, most).withColumn("copies", F.col("whole") + extra)
 

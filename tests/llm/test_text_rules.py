@@ -80,6 +80,41 @@ def test_mix_meets_its_targets(spark, documents, odd):
     assert copies.columns == ["doc_id", "text", "source", "size"]
 
 
+def test_mix_goes_on_behind_a_long_text_until_nothing_fits(spark, monkeypatch):
+    # Many short texts are needed after a long one that doesn't fit.
+    rows = [(k, "w " * (400 + k % 7), "short") for k in range(600)] + [(900 + k, "w " * 100_000, "short") for k in range(3)]
+    rows += [(2000 + k, "w " * (1 + k * k % 300), None) for k in range(300)] + [(5000 + k, "one more row", "c") for k in range(50)]
+    rows += [(6000, "same text of five words", "c")] * 40
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source = {r[0]: r[2] for r in rows}
+    for few in (64, 3):
+        monkeypatch.setattr(mixing, "FILLERS", few)
+        got = mixing.mixing_digest(table).collect()
+        plan = mixing.mixing_plan(mixing.measured(table))
+        odds = mixing.with_odds(mixing.measured(table), plan, mixing.MAX_COPIES).select("row.doc_id", "size", "whole", "v", "target").collect()
+        by = {}
+        for r in odds:
+            by.setdefault(source[r["doc_id"]], []).append(r)
+        for name, docs in by.items():
+            rest = docs[0]["target"] - sum(r["whole"] * r["size"] for r in docs)
+            want, ties = Counter(), {}
+            for r in docs:
+                want[r["doc_id"]] += r["whole"] * r["size"]
+                if r["v"] is not None:
+                    ties.setdefault((r["v"], r["doc_id"]), []).append(r["size"])
+            for (_, doc_id), sizes in sorted(ties.items()):
+                if sum(sizes) <= rest:
+                    rest -= sum(sizes)
+                    want[doc_id] += sum(sizes)
+            taken = Counter()
+            for r in got:
+                if source[r["doc_id"]] == name:
+                    taken[r["doc_id"]] += r["taken"]
+            assert taken == want
+            left = [sum(s) for (_, k), s in ties.items() if want[k] < 2 * sum(s) and taken[k] == 0]
+            assert 0 <= docs[0]["target"] - sum(taken.values()) and (not left or docs[0]["target"] - sum(taken.values()) < min(left))
+
+
 def test_unequal_weights_give_unequal_chances(spark):
     rows = spark.range(4000).selectExpr("id doc_id", "'w x y z' text", "if(id % 4 = 0, 'a', 'b') source", "if(id % 2 = 0, 3D, 1D) heavy")
     measured = mixing.measured(rows, F.col("heavy"))
