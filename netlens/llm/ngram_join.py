@@ -27,6 +27,8 @@ ORDERED = 1_000_000
 # most so many rows a side, which give a forest of pairs.
 SMALL = 8
 CELL_ROWS = 2048
+# Shingles of a side of a cell in which links are counted, in the mean.
+CELL_SHINGLES = 2_000_000
 # A pair is near the threshold if its bitmaps differ in more than this share of the bits
 # that sets that link may differ in. Each component gives so many of them in the first
 # round and eight times as many in each further one, so that rounds stay few.
@@ -343,10 +345,89 @@ def set_links(rows: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame
             return links
 
 
-def classes(documents: DataFrame) -> DataFrame:
+def linked(cell: pd.DataFrame) -> pd.DataFrame:
+    """(key, linked): for each set of a cell of one component the documents of the others
+    that it links with; of a cell of two chunks only those of the other chunk."""
+    key, n, chunk, copies = (cell[c].to_numpy(np.int64) for c in ("key", "n", "chunk", "copies"))
+    shingles = cell["shingles"].tolist()
+    owner = np.repeat(np.arange(len(key)), [len(x) for x in shingles])
+    _, column, counts = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
+    both = counts[column] > 1
+    owner, column = owner[both], (np.cumsum(counts > 1) - 1)[column[both]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    two = chunk.min() != chunk.max()
+    left = np.flatnonzero(chunk == chunk.min())
+    right = np.flatnonzero(chunk == chunk.max())
+    shared = np.zeros((len(left), len(right)), np.float32)  # exact below 2^24
+    width = int((counts > 1).sum())
+    for first in range(0, width, 1024):
+        part = slice(*np.searchsorted(column, [first, first + 1024]))
+        has = np.zeros((len(key), min(1024, width - first)), np.float32)
+        has[owner[part], column[part] - first] = 1
+        shared += has[left] @ has[right].T
+    of_left, of_right = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+    for first in range(0, len(left), 256):
+        block = slice(first, first + 256)
+        same = shared[block].astype(np.int64)
+        good = 100 * same >= PERCENT * (n[left[block], None] + n[right] - same)
+        if not two:
+            good &= left[block, None] != right
+        of_left[block] = good @ copies[right]
+        of_right += copies[left[block]] @ good
+    if not two:
+        return pd.DataFrame({"key": key, "linked": of_left})
+    return pd.DataFrame({"key": np.concatenate([key[left], key[right]]), "linked": np.concatenate([of_left, of_right])})
+
+
+def link_counts(rows: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, linked): for each set the documents of other sets that it links with. Links lie
+    inside components, so all pairs of a component are compared exactly: those of small
+    ones in a join, those of large ones in cells, which give counts, never pairs."""
+    spark = rows.sparkSession
+    comps = members.select("key", "n", "copies", "rep", "rep_hash").join(roots.select("key", "comp"), "key")
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("total")).where("c > 1")
+    comps = saved(comps.join(sizes, "comp"))
+    # Two tasks may both give a set.
+    sets = sets_of(rows, comps.select("key", "rep", "rep_hash")).dropDuplicates(["key"])
+    comps = saved(comps.drop("rep", "rep_hash").join(sets, "key"))
+    forget_shuffles(spark)
+
+    few = comps.where(F.col("c") <= SMALL)
+    x = few.select("comp", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "copies", "shingles")])
+    y = few.select("comp", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "copies", "shingles")])
+    both = x.join(y, "comp").where((F.col("key_a") < F.col("key_b")) & _sizes_fit(F.col("n_a"), F.col("n_b")))
+    shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    both = both.where(100 * shared >= PERCENT * (F.col("n_a") + F.col("n_b") - shared))
+    ends = F.array(
+        F.struct(F.col("key_a").alias("key"), F.col("copies_b").alias("linked")), F.struct(F.col("key_b").alias("key"), F.col("copies_a").alias("linked"))
+    )
+    small = both.select(F.inline(ends))
+
+    chunks = F.greatest(F.ceil(F.col("c") / CELL_ROWS), F.ceil(F.col("total") / CELL_SHINGLES)).cast("int")
+    many = comps.where(F.col("c") > SMALL).withColumn("chunk", F.pmod(F.xxhash64("key"), chunks).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    many = many.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+    many = many.select("comp", "i", "j", "key", "n", "copies", "chunk", "shingles")
+
+    def count(cell: pd.DataFrame) -> pd.DataFrame:
+        # Of two chunks one may be empty.
+        if cell["i"].iat[0] != cell["j"].iat[0] and cell["chunk"].nunique() == 1:
+            return pd.DataFrame({"key": cell["key"], "linked": 0})
+        return linked(cell)
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    large = many.repartition(tasks, "comp", "i", "j").groupBy("comp", "i", "j").applyInPandas(count, "key long, linked long")
+    found = saved(small.unionByName(large).groupBy("key").agg(F.sum("linked").alias("linked")))
+    discard(comps)
+    forget_shuffles(spark)
+    return found
+
+
+def classes(documents: DataFrame, counted: bool = True) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id, n_links, key): per document the size of
     its set, the smallest doc_id it reaches over links, itself included, and how many
-    other sets its own was found to link with directly (at least one if any does).
+    other documents it links with directly, copies included (without ``counted``: 0).
 
     Null and empty texts, and those without words, have an empty set, link with nothing
     and are their own component. Null ids take part, and are a component's id only if
@@ -360,15 +441,18 @@ def classes(documents: DataFrame) -> DataFrame:
     members = saved(
         sets.where("n > 0")
         .groupBy("key", "gid", "n")
-        .agg(rep)
-        .select("key", "gid", F.col("n").cast("int").alias("n"), F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"), "rep.bits")
+        .agg(rep, F.count(F.lit(1)).alias("copies"))
+        .select("key", "gid", "copies", F.col("n").cast("int").alias("n"), F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"), "rep.bits")
     )
     links = set_links(rows, sets, members)
-    degree = links.select(F.explode(F.array("a", "b")).alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n_links"))
-    roots = _labelled(members.select("key", "rep"), components(links))
+    roots = saved(_labelled(members.select("key", "rep", "copies"), components(links)))
     least = roots.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    known = roots.join(least, "comp").join(degree, F.col("key") == F.col("d"), "left")
-    known = known.select(F.col("key").alias("k"), "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    known = roots.join(least, "comp")
+    n_links = F.lit(0).cast("long")
+    if counted:
+        known = known.join(link_counts(rows, members, roots), "key", "left")
+        n_links = F.col("copies") - 1 + F.coalesce("linked", F.lit(0))
+    known = known.select(F.col("key").alias("k"), "component_id", n_links.alias("n_links"))
     out = sets.drop("prefix", "gid", "bits").join(known, (F.col("key") == F.col("k")) & (F.col("n") > 0), "left")
     return out.select(
         "doc_id",
@@ -388,7 +472,7 @@ def one_per_class(documents: DataFrame) -> DataFrame:
     """``documents`` with its own columns, one row of each component: the one with the
     smallest id (null last), then the smallest hash of the text. Documents without a
     shingle all stay. Of rows equal in id and text one stays."""
-    known = saved(classes(documents.select("doc_id", "text")).select("doc_id", "text_hash", "n_shingles", "component_id", "key"))
+    known = saved(classes(documents.select("doc_id", "text"), counted=False).select("doc_id", "text_hash", "n_shingles", "component_id", "key"))
     some = known.where("n_shingles > 0")
     # Components without an id are told apart by their sets.
     group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("key")).alias("unnamed")]

@@ -10,7 +10,7 @@ from netlens.llm import ngram_join, packing, topk_search
 from netlens.llm.components import components
 from netlens.llm.queries import tokenizer_file
 
-from .plain import brute
+from .plain import brute, shingles
 
 
 def near_copies(seed):
@@ -58,6 +58,25 @@ def test_large_buckets_in_cells_lose_no_link(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_link_counts_match_all_pairs(spark, monkeypatch):
+    base = [f"w{k}" for k in range(60)]
+    rows = near_copies(6)
+    for k in range(40):  # a family in which all pairs link, one whose pairs link in part, copies
+        rows.append((10_000 + k, " ".join([f"a{x}" for x in base] + [f"x{k}"])))
+        rows.append((20_000 + k, " ".join([*[f"x{k}y{j}" for j in range(k % 5)], *base, *[f"z{k}y{j}" for j in range(k % 7)]])))
+        rows.append((30_000 + k, " ".join(base[k % 3 :])))
+    sets = [shingles(t) for _, t in rows]
+    want = {}
+    for a, (i, _) in enumerate(rows):
+        same = [100 * len(sets[a] & s) >= 80 * len(sets[a] | s) for s in sets]
+        want[i] = sum(same) - 1 if sets[a] else 0
+    assert want[10_000] == 39
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for cell in (2048, 7):
+        monkeypatch.setattr(ngram_join, "CELL_ROWS", cell)
+        assert {r["doc_id"]: r["n_links"] for r in ngram_join.join_digest(table).collect()} == want
+
+
 def test_one_document_of_each_class_stays(spark, odd):
     rows = near_copies(3)
     table = spark.createDataFrame(rows, "doc_id long, text string")
