@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from netlens.llm.chat_format import chat_digest
+from netlens.llm.hard_negatives import negative_digest
 from netlens.llm.language_id import language_digest
 from netlens.llm.licenses import licence_digest
 from netlens.llm.line_dedup import line_digest
@@ -14,8 +15,10 @@ from netlens.llm.mixing import mixing_digest
 from netlens.llm.ngram_join import join_digest
 from netlens.llm.packing import packing_digest
 from netlens.llm.quality_rules import quality_digest
+from netlens.llm.repeats import repeat_digest
 from netlens.llm.topk_search import search_digest
 from netlens.llm.toxicity import toxicity_digest
+from netlens.llm.turn_repair import repair_digest
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -130,3 +133,60 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_license_scan")
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_digest(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_hard_negatives",
+    """
+    WITH v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+      FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    n AS (
+      SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+      WHERE 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+    """,
+)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negative_digest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_turn_repair")
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digest(table(spark, sf_dir, "conversations"))
+
+
+@query(
+    "op13_repeats",
+    """
+    WITH t AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    w AS (
+      SELECT k, p, md5_number(substr(h, 2 * p + 1, 400)) AS x
+      FROM (SELECT k, h, unnest(range(0, CAST(len(h) / 2 - 199 AS BIGINT))) AS p FROM t WHERE len(h) >= 400)),
+    r AS (SELECT k, p FROM w WHERE x IN (SELECT x FROM w GROUP BY x HAVING count(*) > 1)),
+    g AS (SELECT k, p, CASE WHEN p - lag(p) OVER (PARTITION BY k ORDER BY p) <= 200 THEN 0 ELSE 1 END AS fresh FROM r),
+    i AS (SELECT k, p, sum(fresh) OVER (PARTITION BY k ORDER BY p) AS span FROM g),
+    s AS (SELECT k, min(p) AS low, max(p) + 200 AS high FROM i GROUP BY k, span),
+    e AS (
+      SELECT k, low, high, coalesce(lag(high) OVER (PARTITION BY k ORDER BY low), 0) AS past, lead(low) OVER (PARTITION BY k ORDER BY low) IS NULL AS final FROM s),
+    c AS (
+      SELECT t.k, count(*) AS n_spans, sum(high - low) AS n_removed,
+        string_agg(substr(h, 2 * past + 1, 2 * (low - past)) || CASE WHEN final THEN substr(h, 2 * high + 1) ELSE '' END, '' ORDER BY low) AS kept
+      FROM t JOIN e ON t.k = e.k GROUP BY t.k)
+    SELECT doc_id, CAST(len(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+      sha256(unhex(coalesce(kept, h))) AS kept_sha256
+    FROM t LEFT JOIN c ON t.k = c.k
+    """,
+)
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digest(table(spark, sf_dir, "documents"))
