@@ -169,10 +169,10 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op13_repeats",
     """
-    WITH t AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    WITH t AS (SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents),
     w AS (
-      SELECT k, p, md5_number(substr(h, 2 * p + 1, 400)) AS x
-      FROM (SELECT k, h, unnest(range(0, CAST(len(h) / 2 - 199 AS BIGINT))) AS p FROM t WHERE len(h) >= 400)),
+      SELECT k, p, hash(b[p + 1 : p + 200]) AS x
+      FROM (SELECT k, b, unnest(range(0, CAST(len(h) / 2 - 199 AS BIGINT))) AS p FROM t WHERE len(h) >= 400)),
     r AS (SELECT k, p FROM w WHERE x IN (SELECT x FROM w GROUP BY x HAVING count(*) > 1)),
     g AS (SELECT k, p, CASE WHEN p - lag(p) OVER (PARTITION BY k ORDER BY p) <= 200 THEN 0 ELSE 1 END AS fresh FROM r),
     i AS (SELECT k, p, sum(fresh) OVER (PARTITION BY k ORDER BY p) AS span FROM g),

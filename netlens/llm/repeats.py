@@ -29,11 +29,11 @@ from netlens.llm.wordhash import SpanHashes, chunks, mix
 LENGTH = 200
 GRAM = 64
 SYMBOL = 50
-# Positions of a text looked at in one go; longer texts come in parts that overlap.
-PART = 1 << 25
+# Positions looked at in one go; longer texts come in parts that overlap.
+PART = 1 << 19
 # Bytes of a bucket, in the mean, and suffixes of a shard.
-BUCKET_BYTES = 2 << 20
-SHARD_ROWS = 1 << 19
+BUCKET_BYTES = 1 << 20
+SHARD_ROWS = 1 << 18
 # An anchor with more different pieces than this isn't given to one task: its windows
 # are counted one by one.
 HOT = 20_000

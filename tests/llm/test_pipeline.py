@@ -79,4 +79,4 @@ def test_stages_match_plain_python(spark, documents):
 def test_run_and_registry(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.agg(F.sum("length")).first()[0] > 0
-    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 14))
