@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netlens.llm.common import import_in_workers, saved
+from netlens.llm.wordhash import LOWER, SpanHashes, chunks, spans
 
 CAPACITY = 4096
 OPEN_WINDOWS = 16
@@ -23,7 +23,6 @@ MIN_CUT = 32
 MERGED_PARTITIONS = 16
 # Words whose ids a worker keeps; beyond it starts anew, the ids stay the same.
 CACHED_WORDS = 1_000_000
-CHUNK_BYTES = 2 << 20
 
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long"
 WINDOW = "partition long, window long, offset long, open boolean"
@@ -31,73 +30,116 @@ WINDOW = "partition long, window long, offset long, open boolean"
 
 class WordIds:
     """Ids of texts. The tokenizer never joins letters over a blank and treats A-Z like
-    a-z, so a text's ids are those of its words one after the other, and frequent words
-    are looked up instead of encoded again."""
-
-    # A full stop or comma between a letter and a blank is a word of its own either way.
-    _stop = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
+    a-z, so a text's ids are those of its words one after the other. Words are found by
+    byte masks and told apart by 64-bit hashes; only words not seen before are encoded.
+    A text with a control word of the tokenizer, which may stand inside a word, is
+    encoded as a whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab()
+        self.whole = Tokenizer.from_file(path)
+        # Control words that come from lower-casing are plain text.
+        self.words = Tokenizer.from_file(path)
+        self.words.encode_special_tokens = True
+        self.control = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        vocabulary = self.whole.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.reset()
 
     def reset(self) -> None:
-        self.index = {b"": 0}  # no word is empty: stands for the end of a document
-        self.pool, self.used = np.empty(1 << 20, np.uint32), 1
-        self.pool[0] = EOS
-        self.starts, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)
+        # Known words by hash in order: where their ids begin in the pool, and how many.
+        self.known = np.empty(0, np.uint64)
+        self.starts, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool, self.used = np.empty(1 << 20, np.uint32), 0
 
     def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some words one after the other, and how many each has."""
         texts = [w.decode() for w in words]
         # Words of ASCII letters end with one id that says so: many are encoded as one text.
         if all(map(bytes.isalpha, words)):
-            found = self.tokenizer.encode_batch_fast([" ".join(texts[k : k + 500]) for k in range(0, len(texts), 500)], add_special_tokens=False)
+            found = self.words.encode_batch_fast([" ".join(texts[k : k + 500]) for k in range(0, len(texts), 500)], add_special_tokens=False)
             flat = np.concatenate([np.empty(0, np.uint32), *(np.array(e.ids, np.uint32) for e in found)])
             ends = np.flatnonzero(self.last[flat])
             if len(ends) == len(words):
                 return flat, np.diff(ends, prepend=-1)
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = [e.ids for e in self.words.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum())), lengths
 
-    def learn(self, words: list[bytes]) -> None:
-        words = sorted(words, key=bytes.isalpha)
-        other = sum(not w.isalpha() for w in words)
-        parts = [self.ids_of(part) for part in (words[:other], words[other:])]
-        flat, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        letters = np.fromiter(map(bytes.isalpha, words), bool, len(words))
+        order = np.argsort(letters, kind="stable")
+        words, other = [words[k] for k in order], int((~letters).sum())
+        flat, lengths = (np.concatenate(x) for x in zip(*(self.ids_of(part) for part in (words[:other], words[other:])), strict=True))
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
-        n = len(self.starts)
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
+        starts = self.used + np.cumsum(lengths) - lengths
         self.used += len(flat)
-        self.index.update(zip(words, range(n, n + len(words)), strict=True))
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.starts, self.lengths = np.insert(self.starts, at, starts[back]), np.insert(self.lengths, at, lengths[back])
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+    def encode(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         """Ids of each text, the end included."""
-        if len(self.index) > CACHED_WORDS:
+        if len(self.known) > CACHED_WORDS:
             self.reset()
-        words: list[bytes] = []
-        ends = []
-        for text in texts:
-            words += self._stop.sub(rb" \1", text.lower()).split()
-            words.append(b"")
-            ends.append(len(words))
-        if new := list(set(words).difference(self.index)):
-            self.learn(new)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        lengths = self.lengths[at]
+        raw = data.tobytes()
+        special = [k for c in self.control for k in _places(raw, c)]
+        special = {int(np.searchsorted(bounds, k, "right")) - 1 for k in special}
+        data = LOWER[data]
+        starts, ends = words_of(data, bounds)
+        hashes, first, at = np.unique(SpanHashes(data)(starts, ends), return_index=True, return_inverse=True)
+        known = np.zeros(len(hashes), bool)
+        if len(self.known):
+            place = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+            known = self.known[place] == hashes
+        if not known.all():
+            lower = data.tobytes()
+            new = first[~known]
+            self.learn(hashes[~known], [lower[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+        place = np.searchsorted(self.known, hashes)[at] if len(at) else at
+        lengths = self.lengths[place]
         after = np.cumsum(lengths)
-        ids = self.pool[np.repeat(self.starts[at] - after + lengths, lengths) + np.arange(after[-1] if len(after) else 0)]
-        return np.split(ids, after[np.array(ends[:-1], np.int64) - 1]) if len(ends) > 1 else [ids]
+        total = int(after[-1]) if len(after) else 0
+        ids = self.pool[np.repeat(self.starts[place] - after + lengths, lengths) + np.arange(total)]
+        cuts = np.concatenate([[0], after])[np.searchsorted(starts, bounds)].tolist()
+        end = np.array([EOS], np.uint32)
+        out = [np.concatenate([ids[a:b], end]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for k in special:
+            text = raw[bounds[k] : bounds[k + 1]].decode()
+            out[k] = np.array([*self.whole.encode(text, add_special_tokens=False).ids, EOS], np.uint32)
+        return out
+
+
+def _places(data: bytes, part: bytes) -> Iterator[int]:
+    at = data.find(part)
+    while at >= 0:
+        yield at
+        at = data.find(part, at + 1)
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
+_STOP = np.zeros(256, bool)
+_STOP[[44, 46]] = True
+
+
+def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words. A full stop or comma between a letter and a blank is a
+    token of its own either way, so it is a word of its own: fewer words are new."""
+    starts, ends = spans(data, bounds)
+    if not len(starts):
+        return starts, ends
+    cut = np.flatnonzero((ends - starts > 1) & _STOP[data[ends - 1]] & _LETTER[data[ends - 2]])
+    more = np.insert(starts, cut + 1, ends[cut] - 1)
+    ends = np.insert(ends, cut, ends[cut] - 1)
+    return more, ends
 
 
 _known: dict[str, WordIds] = {}
@@ -110,19 +152,6 @@ def word_ids(path: str) -> WordIds:
     return _known[path]
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """The texts in parts of some MB, with the number of the first."""
-    first, size, part = 0, 0, []
-    for k, text in enumerate(texts.cast(pa.large_binary())):
-        part.append(text.as_py() or b"")
-        size += len(part[-1])
-        if size >= CHUNK_BYTES:
-            yield first, part
-            first, size, part = k + 1, 0, []
-    if part:
-        yield first, part
-
-
 class Packer:
     """Bounded-space best fit. A piece is (doc_id, start, ids, doc_tokens)."""
 
@@ -203,8 +232,8 @@ def pack_partitions(documents: DataFrame, tokenizer: str, capacity: int, windows
         encoder, packer = word_ids(tokenizer), Packer(capacity, windows)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for first, texts in chunks(batch.column("text")):
-                for k, tokens in enumerate(encoder.encode(texts), first):
+            for first, data, bounds in chunks(batch.column("text")):
+                for k, tokens in enumerate(encoder.encode(data, bounds), first):
                     packer.add(ids[k], tokens)
                 done, packer.closed = packer.closed, []
                 yield pa.RecordBatch.from_pydict(table_of(done, range(number, number + len(done)), partition, False), schema)
@@ -256,8 +285,9 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, windows
     bounded by windows, not by documents. A sequence is padded to ``capacity`` unless
     its length is a power of two.
 
-    A null text gives the end id alone; ids may be null or repeated; other columns are
-    ignored; an empty table gives no rows. Pieces are written before they are merged, so
+    A null text gives the end id alone; ids may be null or repeated, and a row that
+    repeats has pieces of its own; other columns are ignored; an empty table gives no
+    rows. Words are told apart by 64-bit hashes. Pieces are written before they are merged, so
     numbers stay the same when a task is run again.
     """
     import_in_workers(documents.sparkSession)
