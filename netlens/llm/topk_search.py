@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlens.llm.common import import_in_workers, saved
+from netlens.llm.vectors import as_long, exact, exact_parts, usable, whole
 
 K = 10
 SCALE = 1024
@@ -25,30 +26,23 @@ FOUND = "query_id long, query_key long, vec_id long, score long"
 
 
 def integer_vectors(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, v): each component as floor(1024 * x). Vectors that are null, or hold a
-    null or non-finite component, and rows without an id take no part, nor do vectors
-    whose scores might not fit a long. A row that repeats as a whole counts once."""
-    x = F.col("embedding")
-    finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    v = F.transform(x, lambda e: F.floor(e.cast("double") * SCALE))
-    bound = F.sqrt(F.lit(float(1 << 62)) / F.greatest(F.size("v"), F.lit(1)))
+    """(vec_id, v): each component as floor(1024 * x), a whole number in a double. Vectors
+    that are null, or hold a null or non-finite component, and rows without an id take no
+    part; all others do, however large. A row that repeats as a whole counts once."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null")
-    rows = rows.where(x.isNotNull() & finite & F.forall(x, lambda e: F.abs(e.cast("double")) < float(1 << 52))).select("vec_id", v.alias("v"))
-    return rows.where(F.forall("v", lambda e: F.abs(e) <= bound)).dropDuplicates(["vec_id", "v"])
+    rows = rows.where(usable(F.col("embedding")))
+    return rows.select("vec_id", whole(F.col("embedding"), SCALE).alias("v")).dropDuplicates(["vec_id", "v"])
 
 
 class Columns:
     """Candidates in vertical layout: one row of the matrix per dimension, those with the
     most mass first, in blocks, and the mass each candidate has left after each block."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids = ids
-        # Sums below 2^53 are exact in floating point, whose products are much faster.
-        exact = largest * largest * max(1, vectors.shape[1]) < 1 << 53
-        self.kind = np.float64 if exact else np.int64
-        squares = vectors.astype(np.float64) ** 2
+        squares = vectors**2
         self.order = np.argsort(-squares.sum(axis=0), kind="stable")
-        self.matrix = np.ascontiguousarray(vectors[:, self.order].T.astype(self.kind))
+        self.matrix = np.ascontiguousarray(vectors[:, self.order].T)
         self.left = self.rest(squares[:, self.order])
 
     @staticmethod
@@ -59,10 +53,10 @@ class Columns:
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best, ties to smaller ids."""
-        query = query[self.order].astype(self.kind)
-        query_left = self.rest(query.astype(np.float64)[None, :] ** 2)[:, 0]
+        query = query[self.order]
+        query_left = self.rest(query[None, :] ** 2)[:, 0]
         alive = np.flatnonzero(self.ids != query_id)
-        score = np.zeros(len(alive), self.kind)
+        score = np.zeros(len(alive))
         least = None
         for block, first in enumerate(range(0, len(query), DIMENSIONS)):
             part = slice(first, first + DIMENSIONS)
@@ -84,28 +78,48 @@ class Columns:
         return self.ids[alive][best], score[best].astype(np.int64)
 
 
+class AllScores:
+    """The same for vectors too large for floating point: every score in full, by Python's
+    integers."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.matrix = ids, exact(vectors)
+
+    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+        alive = np.flatnonzero(self.ids != query_id)
+        scores = self.matrix[alive] @ exact(query[None, :])[0] if len(query) else [0] * len(alive)
+        best = sorted(zip((-s for s in scores), self.ids[alive].tolist(), strict=True))[:k]
+        return np.array([i for _, i in best], np.int64), [as_long(-s) for s, _ in best]
+
+
 def _matrix(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return rows["vec_id"].to_numpy(np.int64), np.array(rows["v"].tolist(), np.int64).reshape(len(rows), -1)
+    return rows["vec_id"].to_numpy(np.int64), np.array(rows["v"].tolist(), np.float64).reshape(len(rows), -1)
 
 
 def search_block(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best of each query among small candidates, and among those that need wide
+    numbers."""
     out = []
     if len(candidates) and len(queries):
         ids, vectors = _matrix(candidates)
         query_ids, query_vectors = _matrix(queries)
-        columns = Columns(ids, vectors, max(abs(int(m)) for x in (vectors, query_vectors) for m in (x.min(initial=0), x.max(initial=0))))
-        for query_id, key, query in zip(query_ids, queries["query_key"], query_vectors, strict=True):
-            found, scores = columns.search(query_id, query, k)
-            out.append(pd.DataFrame({"query_id": query_id, "query_key": key, "vec_id": found, "score": scores}))
+        keys = queries["query_key"].to_numpy()
+        for i, j, small in exact_parts(vectors, query_vectors):
+            columns = (Columns if small else AllScores)(ids[i], vectors[i])
+            for q in j:
+                found, scores = columns.search(query_ids[q], query_vectors[q], k)
+                out.append(pd.DataFrame({"query_id": query_ids[q], "query_key": keys[q], "vec_id": found, "score": scores}))
     names = ["query_id", "query_key", "vec_id", "score"]
-    return pd.concat(out) if out else pd.DataFrame({n: pd.Series(dtype="int64") for n in names})
+    return pd.concat(out).astype("int64") if out else pd.DataFrame({n: pd.Series(dtype="int64") for n in names})
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, chunk_rows: int = CHUNK_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k candidates with the highest
     inner product, all if there are fewer, ties to the smaller id. Both tables have
     (vec_id, v) with integer vectors; only vectors of equal length are compared, and
-    never those with the query's own id.
+    never those with the query's own id. Scores are exact at any size; one that is to be
+    returned and doesn't fit a long is an error. Without queries or candidates there
+    are no rows; repeated rows count as often as they are given.
 
     Candidates are dealt into chunks and queries into blocks by hashes of their ids, so
     equal vectors spread; one task searches one block in one chunk, and the k best of
