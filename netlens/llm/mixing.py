@@ -28,7 +28,8 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...], most: int) -> Da
 
     That is target = min(most * size, level * weight) with one level for all. Sources
     in order of most * size / weight are capped up to some point; the level is what is
-    left there per unit of weight. Sources are few, so one task orders them.
+    left there per unit of weight. One task orders the sources, of which it takes a row
+    each: fine up to some ten million, so hosts or domains are to be grouped first.
     """
     everything = Window.partitionBy()
     by_name = Window.partitionBy().orderBy(F.col("source").asc_nulls_last())
@@ -77,9 +78,9 @@ def with_odds(rows: DataFrame, plan: DataFrame, most: int) -> DataFrame:
 def mixing_plan(
     rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES, ranges: int = RANGES
 ) -> DataFrame:
-    """Per source: (source, source_size, target, mean_weight, bands). A document is taken
-    ``whole`` times, and once more if one of the ``bands`` (low, high, room) holds it:
-    low < v < high, and no more words than room.
+    """Per source: (source, source_size, target, mean_weight, bands, last). A document is
+    taken ``whole`` times, and once more if one of the ``bands`` (low, high, room) holds
+    it: low < v < high, and no more words than room; or if it is ``last``.
 
     That is every document in Pareto order that fits into the words still wanted when its
     turn comes. A round takes all up to the first that doesn't fit, which sums per range
@@ -90,7 +91,7 @@ def mixing_plan(
     totals = rows.groupBy("source").agg(
         F.sum("size").alias("source_size"),
         # mean weight of a word, so that expected copies keep to the target
-        F.coalesce(F.sum(F.col("w") * F.col("size")) / F.sum("size"), F.lit(1.0)).alias("mean_weight"),
+        F.coalesce(F.try_divide(F.sum(F.col("w") * F.col("size")), F.sum("size")), F.lit(1.0)).alias("mean_weight"),
     )
     totals = totals.withColumn("mean_weight", F.when(F.col("mean_weight") > 0, F.col("mean_weight")).otherwise(1.0))
     plan = saved(source_targets(totals, weights, most))
@@ -111,7 +112,27 @@ def mixing_plan(
             bands = bands.unionByName(found.select("s", "bands"))
             state = found.select("s", "rest", "low")
     bands = bands.groupBy("s").agg(F.array_sort(F.flatten(F.collect_list("bands"))).alias("bands"))
-    return saved(plan.join(bands, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"))
+    banded = saved(plan.join(bands, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"))
+    last = _nearest(with_odds(rows.select("source", "size", "w", "u"), banded, most))
+    out = saved(banded.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"))
+    discard(banded)
+    return out
+
+
+def _nearest(odds: DataFrame) -> DataFrame:
+    """(s, last): the document (size, v) that the mix takes beyond its target, because it ends
+    nearer to it so: the shortest that wasn't taken, if it is below twice the rest."""
+    taken = (F.col("whole") + _in_band().cast("long")) * F.col("size")
+    rest = odds.groupBy("source").agg((F.max("target") - F.sum(taken)).alias("rest")).withColumnRenamed("source", "s")
+    left = odds.where(F.col("v").isNotNull() & (F.col("size") > 0) & ~_in_band())
+    left = left.groupBy("source", "size", "v").agg(F.sum("size").cast("double").alias("words"))
+    left = join_checked(left, rest, F.col("source").eqNullSafe(F.col("s")), "inner").where(F.col("words") < 2 * F.col("rest"))
+    return left.groupBy("s").agg(F.min(F.struct("words", "v", "size")).alias("m")).select("s", F.struct("m.size", "m.v").alias("last"))
+
+
+def _in_band() -> Column:
+    taken = F.exists("bands", lambda b: (F.col("v") > b["low"]) & (F.col("v") < b["high"]) & (F.col("size") <= b["room"]))
+    return F.coalesce(taken, F.lit(False))
 
 
 def _may_fit(open_rows: DataFrame, state: DataFrame) -> DataFrame:
@@ -190,15 +211,16 @@ def _next_few(open_rows: DataFrame, state: DataFrame) -> DataFrame:
 
 def mix(rows: DataFrame, plan: DataFrame, most: int = MAX_COPIES) -> DataFrame:
     """Rows of ``measured`` with ``copies``, the number of times the mix takes each."""
-    taken = F.exists("bands", lambda b: (F.col("v") > b["low"]) & (F.col("v") < b["high"]) & (F.col("size") <= b["room"]))
-    extra = F.coalesce(taken, F.lit(False)).cast("long")
+    last = F.coalesce((F.col("v") == F.col("last.v")) & (F.col("size") == F.col("last.size")), F.lit(False))
+    extra = (_in_band() | last).cast("long")
     return with_odds(rows, plan, most).withColumn("copies", F.col("whole") + extra)
 
 
 def mixing_digest(documents: DataFrame) -> DataFrame:
     """Words taken of each document.
 
-    Null texts have no words, null sources are one source and come last, an empty table
+    Null texts have no words, a source without words has the target 0, null sources are
+    one source and come last, an empty table
     gives no rows; repeated rows are taken alike. Which documents are taken depends on
     their ids and texts alone, so reruns agree.
     """
