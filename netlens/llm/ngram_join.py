@@ -465,7 +465,8 @@ def classes(documents: DataFrame, counted: bool = True) -> DataFrame:
 
 
 def join_digest(documents: DataFrame) -> DataFrame:
-    return classes(documents.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "n_links")
+    """The class of each document. Links are counted by ``classes`` alone."""
+    return classes(documents.select("doc_id", "text"), counted=False).select("doc_id", "n_shingles", "component_id")
 
 
 def one_per_class(documents: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def test_link_counts_match_all_pairs(spark, monkeypatch):
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     for cell in (2048, 7):
         monkeypatch.setattr(ngram_join, "CELL_ROWS", cell)
-        assert {r["doc_id"]: r["n_links"] for r in ngram_join.join_digest(table).collect()} == want
+        assert {r["doc_id"]: r["n_links"] for r in ngram_join.classes(table).collect()} == want
 
 
 def test_one_document_of_each_class_stays(spark, odd):
@@ -104,10 +104,10 @@ def test_packing_is_gapless_and_keeps_all_ids(spark, documents, odd):
     from tokenizers import Tokenizer
 
     strange = ["Don't. stop,, 'S a.B 1,2. İK ſ é́ <|endoftext|> x. y, z.", "WORLD'S, \x1c\x85 end.", "a" * 5000, "́x .", "...,,, ,"]
+    strange += ["x <|endoftext|> y", "a.<|startoftext|>b, <|ENDOFTEXT|> <|endoftext|", "<|endoftext|><|endoftext|>.", "one. two, THREE.four ,."]
     rows = documents.select("doc_id", "text").unionByName(spark.createDataFrame([(9000 + k, t) for k, t in enumerate(strange)], "doc_id long, text string"))
     rows = rows.where("doc_id <> 5").unionByName(odd.where("doc_id in (1, 2, 6)").selectExpr("doc_id + 50000 doc_id", "text")).repartition(4)
     tokenizer = Tokenizer.from_file(tokenizer_file())
-    tokenizer.encode_special_tokens = True
     want = {r["doc_id"]: [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2] for r in rows.collect()}
     for capacity in (4096, 512):
         got = pieces_of(rows, capacity=capacity)
@@ -139,6 +139,7 @@ def test_search_matches_all_scores(spark):
     vectors = [(k, rng.normal(size=24).round(2).astype(np.float32).tolist()) for k in range(0, 900, 3)]
     vectors += [(1000 + k, vectors[0][1]) for k in range(30)]  # ties
     vectors += [(5000, [float(x) for x in rng.normal(size=8)]), (5100, [0.5] * 8), (5200, [])]
+    vectors += [(7000, [3e5, *[0.0] * 23]), (7001, [1e12] * 24), (7002, [-2e11, 3.0] * 12), (7003, [2e12] + [1.0] * 23), (7100, [9e5] * 24)]
     bad = [(6000, None), (6001, [1.0, None]), (6002, [float("nan")] * 24), (6003, [float("inf")] * 24), (None, [1.0] * 24)]
     table = spark.createDataFrame([*vectors, vectors[1], *bad], "vec_id long, embedding array<float>").withColumn("v", F.lit(0))
     got = {}
@@ -151,6 +152,7 @@ def test_search_matches_all_scores(spark):
         if scores:
             want[q] = [(k + 1, i, -s) for k, (s, i) in enumerate(scores[:10])]
     assert {k: sorted(v) for k, v in got.items()} == want
+    assert max(s for v in want.values() for _, _, s in v) > 2**53
     assert topk_search.search_digest(table.limit(0)).collect() == []
 
 

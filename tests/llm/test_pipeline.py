@@ -61,11 +61,11 @@ def test_stages_match_plain_python(spark, documents):
     for k, n in copies.items():
         taken[source[k]] += n * sizes[k]
     for s, target in targets(per_source).items():
-        assert taken[s] <= target + 1e-6
+        longest = max(n for k, n in sizes.items() if source[k] == s)
+        assert taken[s] <= target + 1e-6 or taken[s] - target < longest / 2
     assert sum(taken.values()) > 0.85 * sum(per_source.values())
 
     tokenizer = Tokenizer.from_file(tokenizer_file())
-    tokenizer.encode_special_tokens = True
     tokens = sum(n * (len(tokenizer.encode(want[k], add_special_tokens=False).ids) + 1) for k, n in copies.items())
     rows = after(4)
     assert sum(r["length"] for r in rows) == tokens
@@ -76,6 +76,15 @@ def test_stages_match_plain_python(spark, documents):
     assert max(used.values()) <= 4096
 
 
+def test_a_source_without_words_goes_through(spark):
+    good = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, good, "en", "a"), (2, "", "en", None), (3, good.upper().replace("W", "v"), "en", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    mixed = corpus_pipeline.mixture(spark, docs, SF)
+    assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} <= {1, 3}
+    assert corpus_pipeline.mixture(spark, docs.where("doc_id = 2"), SF).collect() == []
+
+
 def test_run_and_registry(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.agg(F.sum("length")).first()[0] > 0
