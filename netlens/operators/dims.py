@@ -140,12 +140,13 @@ def merge_clients(active: DataFrame, historic: DataFrame) -> DataFrame:
 
 def join_service(df: DataFrame, services: DataFrame, port: str = "dst_port", protocol: str = "protocol") -> DataFrame:
     """Registered service of (port, protocol); adds ``iana_service`` and
-    ``service_description``. The registry is bounded by 65 536 ports x 4
-    transports, which makes the broadcast safe."""
-    dim = services.select(
-        F.col("port").alias("_port"), F.col("protocol").alias("_proto"),
-        F.col("service_name").alias("iana_service"), F.col("description").alias("service_description"),
-    )
+    ``service_description``. Of several entries of a key the least name counts, so a log
+    row stays one. One row per key bounds the table by 65 536 ports x 4 transports, which
+    makes the broadcast safe."""
+    known = F.col("port").between(0, 65_535) & F.col("protocol").isin("tcp", "udp", "sctp", "dccp")
+    dim = services.where(known).groupBy(F.col("port").alias("_port"), F.col("protocol").alias("_proto")).agg(
+        F.min(F.struct("service_name", "description")).alias("_s")
+    ).select("_port", "_proto", F.col("_s.service_name").alias("iana_service"), F.col("_s.description").alias("service_description"))
     on = (F.col(port) == F.col("_port")) & (F.coalesce(F.lower(protocol), F.lit("tcp")) == F.col("_proto"))
     return df.join(F.broadcast(dim), on, "left").drop("_port", "_proto")
 

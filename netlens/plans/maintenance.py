@@ -26,6 +26,7 @@ from netlens.operators.filters import normalised_exclusions
 from netlens.operators.policy import resolve_action
 from netlens.operators.threats import orphans
 from netlens.operators.topk import latest_per_key, top_k
+from netlens.plans.changes import Repair, repaired
 from netlens.plans.staging import spread_null
 from netlens.sources.sinks import PARTITIONS
 
@@ -199,8 +200,10 @@ def queue_cycle(
             known = F.col(c).isNotNull() if empty is None else F.coalesce(F.col(c) != empty, F.lit(False))
             detailed = detailed | known
     new_threats = upsert_threats(threats, good, now, own)
-    patched = patch_scores(logs, new_threats, good.select("ip"), own)
-    patched = patch_details(patched, new_threats, good.where(detailed).select("ip"), own)
+    # Both in one pass: the second sees the scores that the first has filled.
+    patched = repaired(
+        logs, [score_repair(new_threats, good.select("ip"), own), detail_repair(new_threats, good.where(detailed).select("ip"), own)]
+    )
     rest = fail(complete(queue, good), bad, "lookup_failed", now)
     return {"threats": new_threats, "queue": rest, "logs": patched}
 
@@ -248,14 +251,27 @@ def _with_reputation(rows: DataFrame, threats: DataFrame, ips: DataFrame | None,
     return rows
 
 
-def patch_scores(logs: DataFrame, threats: DataFrame, ips: DataFrame | None = None, own: Iterable[str] = ()) -> DataFrame:
-    """Give unscored blocks the reputation of their source, else of their target."""
-    rows, rest = _split(logs, _blocked_firewall() & F.col("threat_score").isNull())
-    joined = _with_reputation(rows, threats, ips, tuple(own)).withColumn("_t", F.coalesce("_src", "_dst"))
+def _unscored() -> Column:
+    return _blocked_firewall() & F.col("threat_score").isNull()
+
+
+def _scored(rows: DataFrame, threats: DataFrame, ips: DataFrame | None, own: tuple[str, ...]) -> DataFrame:
+    joined = _with_reputation(rows, threats, ips, own).withColumn("_t", F.coalesce("_src", "_dst"))
     known = F.col("_t").isNotNull()
     fills = {c: F.when(known, F.col(f"_t.{c}")).otherwise(F.col(c)) for c in ("threat_score", "threat_categories")}
     fills |= {c: F.coalesce(F.col(c), F.col(f"_t.{c}")) for c in ABUSE_DETAILS}
-    return rest.unionByName(joined.withColumns(fills).select(*logs.columns))
+    return joined.withColumns(fills).drop("_src", "_dst", "_t")
+
+
+def score_repair(threats: DataFrame, ips: DataFrame | None = None, own: Iterable[str] = ()) -> Repair:
+    own = tuple(own)
+    return Repair(_unscored(), lambda rows: _scored(rows, threats, ips, own))
+
+
+def patch_scores(logs: DataFrame, threats: DataFrame, ips: DataFrame | None = None, own: Iterable[str] = ()) -> DataFrame:
+    """Give unscored blocks the reputation of their source, else of their target."""
+    rows, rest = _split(logs, _unscored())
+    return rest.unionByName(_scored(rows, threats, ips, tuple(own)).select(*logs.columns))
 
 
 def _detail_pass(rows: DataFrame, side: str) -> DataFrame:
@@ -270,14 +286,25 @@ def _detail_pass(rows: DataFrame, side: str) -> DataFrame:
     return rows.withColumns(fills)
 
 
+def _undetailed() -> Column:
+    return _blocked_firewall() & F.col("threat_score").isNotNull() & F.col("abuse_usage_type").isNull()
+
+
+def _detailed(rows: DataFrame, threats: DataFrame, ips: DataFrame | None, own: tuple[str, ...]) -> DataFrame:
+    joined = _with_reputation(rows, threats, ips, own)
+    return _detail_pass(_detail_pass(joined, "_src"), "_dst").drop("_src", "_dst")
+
+
+def detail_repair(threats: DataFrame, ips: DataFrame | None = None, own: Iterable[str] = ()) -> Repair:
+    own = tuple(own)
+    return Repair(_undetailed(), lambda rows: _detailed(rows, threats, ips, own))
+
+
 def patch_details(logs: DataFrame, threats: DataFrame, ips: DataFrame | None = None, own: Iterable[str] = ()) -> DataFrame:
     """Fill abuse details of scored blocks without a usage type, from the source
     and then from the target, which overwrites a source without usage type."""
-    rows, rest = _split(
-        logs, _blocked_firewall() & F.col("threat_score").isNotNull() & F.col("abuse_usage_type").isNull()
-    )
-    joined = _with_reputation(rows, threats, ips, tuple(own))
-    return rest.unionByName(_detail_pass(_detail_pass(joined, "_src"), "_dst").select(*logs.columns))
+    rows, rest = _split(logs, _undetailed())
+    return rest.unionByName(_detailed(rows, threats, ips, tuple(own)).select(*logs.columns))
 
 
 def patch_refresh(logs: DataFrame, threats: DataFrame, ip: str, own: Iterable[str] = ()) -> DataFrame:
@@ -299,9 +326,9 @@ def patch_refresh(logs: DataFrame, threats: DataFrame, ip: str, own: Iterable[st
 def backfill_services(logs: DataFrame, services: DataFrame) -> DataFrame:
     """Service names of firewall rows that lack one, as shown at ingest."""
     wanted = (F.col("log_type") == "firewall") & F.col("service_name").isNull() & F.col("dst_port").isNotNull()
-    named = join_service(logs, services)
-    found = F.when(wanted, service_display("iana_service"))
-    return named.withColumn("service_name", F.coalesce("service_name", found)).select(*logs.columns)
+    rows, rest = _split(logs, wanted)
+    named = join_service(rows, services).withColumn("service_name", service_display("iana_service"))
+    return rest.unionByName(named.select(*logs.columns))
 
 
 def backfill_actions(logs: DataFrame, zmap: DataFrame, policies: DataFrame) -> DataFrame:
@@ -314,9 +341,38 @@ def backfill_actions(logs: DataFrame, zmap: DataFrame, policies: DataFrame) -> D
 
 
 def backfill_direction(logs: DataFrame, cfg: NetConfig) -> DataFrame:
-    """Derive the direction of all firewall rows again, after a WAN change."""
+    """Derive the direction of all firewall rows again, after a WAN change. Of the stored
+    table only partitions are given in which some row gets another one."""
     again = direction_of("interface_in", "interface_out", "rule_name", "src_ip", "dst_ip", cfg)
-    return logs.withColumn("direction", F.when(F.col("log_type") == "firewall", again).otherwise(F.col("direction")))
+    rows, rest = _split(logs, (F.col("log_type") == "firewall") & ~again.eqNullSafe(F.col("direction")))
+    return rest.unionByName(rows.withColumn("direction", again))
+
+
+def wan_repairs(logs: DataFrame, attributes: DataFrame, threats: DataFrame, cfg: NetConfig) -> list[Repair]:
+    """The repairs of ``repair_wan_enrichment``: clear and enrich, then score the unscored
+    blocks whose source or target is the target of a cleared row."""
+    wrong = (
+        (F.col("log_type") == "firewall") & one_of("src_ip", cfg.wan_ips)
+        & F.col("geo_country").isNotNull() & F.col("dst_ip").isNotNull()
+    )
+    geo = ("geo_country", "geo_city", "geo_lat", "geo_lon", "asn_number", "asn_name", "rdns")
+    present = [c for c in geo if c in attributes.columns]
+    remote = is_remote("dst_ip", cfg.own_ips)
+    targets = logs.where(wrong & remote).select(F.col("dst_ip").alias("ip")).distinct()
+
+    def clear(rows: DataFrame) -> DataFrame:
+        dim = attributes.select(F.col("ip").alias("_ip"), F.struct(*present).alias("_a"))
+        joined = rows.join(dim, spread_null(F.col("dst_ip"), F.col("id")) == F.col("_ip"), "left")
+        types = dict(rows.dtypes)
+        fills = {
+            c: F.when(remote, F.col(f"_a.{c}") if c in present else F.lit(None)).cast(types[c]) for c in geo if c in types
+        }
+        if "rdns" in fills and not cfg.rdns_enabled:
+            fills["rdns"] = F.lit(None).cast("string")
+        fills |= {c: F.lit(None).cast(types[c]) for c in ("threat_score", "threat_categories", *ABUSE_DETAILS)}
+        return joined.withColumns(fills).drop("_ip", "_a")
+
+    return [Repair(wrong, clear), score_repair(threats, targets, cfg.wan_ips)]
 
 
 def repair_wan_enrichment(
@@ -327,26 +383,7 @@ def repair_wan_enrichment(
     from ``operators.enrich.remote_attributes`` over the targets."""
     if not cfg.wan_ips:
         return logs
-    wrong = (
-        (F.col("log_type") == "firewall") & one_of("src_ip", cfg.wan_ips)
-        & F.col("geo_country").isNotNull() & F.col("dst_ip").isNotNull()
-    )
-    rows, rest = _split(logs, wrong)
-    geo = ("geo_country", "geo_city", "geo_lat", "geo_lon", "asn_number", "asn_name", "rdns")
-    present = [c for c in geo if c in attributes.columns]
-    dim = attributes.select(F.col("ip").alias("_ip"), F.struct(*present).alias("_a"))
-    joined = rows.join(dim, F.col("dst_ip") == F.col("_ip"), "left")
-    remote = is_remote("dst_ip", cfg.own_ips)
-    types = dict(logs.dtypes)
-    fills = {
-        c: F.when(remote, F.col(f"_a.{c}") if c in present else F.lit(None)).cast(types[c]) for c in geo if c in types
-    }
-    if "rdns" in fills and not cfg.rdns_enabled:
-        fills["rdns"] = F.lit(None).cast("string")
-    fills |= {c: F.lit(None).cast(types[c]) for c in ("threat_score", "threat_categories", *ABUSE_DETAILS)}
-    cleared = joined.withColumns(fills).withColumn("_refill", remote).select(*logs.columns, "_refill")
-    targets = cleared.where("_refill").select(F.col("dst_ip").alias("ip")).distinct()
-    return patch_scores(rest.unionByName(cleared.drop("_refill")), threats, targets, cfg.wan_ips)
+    return repaired(logs, wan_repairs(logs, attributes, threats, cfg))
 
 
 def drop_own_threats(threats: DataFrame, cfg: NetConfig) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlens.functions.scalars import ts_lit
+from netlens.sources.partitions import replace_partitions
+from netlens.sources.sinks import PARTITIONS, ROWS_PER_FILE, laid_out, read_logs
 
 Now = str | datetime
 GENERAL_DAYS, DNS_DAYS = 60, 10
@@ -89,3 +91,39 @@ def purge(logs: DataFrame, log_type: str, max_id: int) -> DataFrame:
     if log_type not in PURGEABLE:
         raise ValueError(f"only {PURGEABLE} can be purged")
     return logs.where(~((F.col("log_type") == log_type) & (F.col("id") <= max_id)))
+
+
+def _remove_stored(spark: SparkSession, path: str, gone: Column, whole: DataFrame | None = None) -> None:
+    """Take rows out of the stored table: partitions in ``whole`` are emptied unread, others
+    that hold such a row are written again without it, or emptied if nothing is left."""
+    logs = read_logs(spark, path)
+    if whole is not None:
+        logs = logs.join(whole, ["log_date", "log_type"], "left_anti")
+    gone = F.coalesce(gone, F.lit(False))
+    partly = logs.where(gone).select(*PARTITIONS).distinct().persist()
+    try:
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PARTITIONS]
+        names = partly.select(*[F.col(c).alias(f"_{c}") for c in PARTITIONS])
+        kept = logs.join(names, same, "left_semi").where(~gone)
+        touched = partly
+        if whole is not None:
+            parts = read_logs(spark, path).select(*PARTITIONS).distinct()
+            touched = partly.unionByName(parts.join(whole, ["log_date", "log_type"], "left_semi").select(*PARTITIONS))
+        replace_partitions(laid_out(kept), path, touched, PARTITIONS, ROWS_PER_FILE)
+    finally:
+        partly.unpersist()
+
+
+def retain_stored(spark: SparkSession, path: str, now: Now, days: int = GENERAL_DAYS, dns_days: int = DNS_DAYS) -> None:
+    """``retain`` on the stored table: only the partitions of the two cut-off days are read."""
+    _checked(days, dns_days)
+    dns, other = _expired(now, days, dns_days)
+    partitions = read_logs(spark, path).select("log_date", "log_type").distinct()
+    _remove_stored(spark, path, dns | other, droppable_partitions(partitions, now, days, dns_days))
+
+
+def purge_stored(spark: SparkSession, path: str, log_type: str, max_id: int) -> None:
+    """``purge`` on the stored table; running it again does no harm."""
+    if log_type not in PURGEABLE:
+        raise ValueError(f"only {PURGEABLE} can be purged")
+    _remove_stored(spark, path, (F.col("log_type") == log_type) & (F.col("id") <= max_id))

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from netlens.functions.scalars import csv_safe
 from netlens.schema import LOG_COLUMNS, conform, ddl
+from netlens.sources.partitions import Folder, finish
 
 # One table for lines, resolver records and repairs. The batch comes last: reports
 # prune by date and type, and a batch that runs again replaces only its own files.
@@ -40,9 +41,28 @@ def write_logs(logs: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
-def write_batch(logs: DataFrame, path: str, batch: int) -> None:
-    """Store the rows of one ingest batch. The same batch again replaces its rows."""
+RETIRED = "_retired_before"
+
+
+def retired_before(spark: SparkSession, path: str) -> int:
+    """Batches below this number have been merged with others and can't be replaced."""
+    folder = Folder(spark, path)
+    return int(folder.read(RETIRED)) if folder.exists(RETIRED) else 0
+
+
+def retire_before(spark: SparkSession, path: str, batch: int) -> None:
+    Folder(spark, path).write(RETIRED, str(max(batch, retired_before(spark, path))))
+
+
+def write_batch(logs: DataFrame, path: str, batch: int) -> bool:
+    """Store the rows of one ingest batch. The same batch again replaces its rows; one that
+    was merged with others since is recognised, and nothing is written."""
+    spark = logs.sparkSession
+    finish(spark, path)
+    if batch < retired_before(spark, path):
+        return False
     write_logs(logs.withColumn("batch", F.lit(batch).cast("bigint")), path, mode="overwrite")
+    return True
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:

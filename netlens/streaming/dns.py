@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from netlens.config import NetConfig
 from netlens.operators.enrich import EnrichmentTables, enrich
 from netlens.sources.dns_queries import map_dns_query, read_dns_records
-from netlens.sources.sinks import read_logs, write_batch
+from netlens.sources.sinks import write_batch
+from netlens.streaming import ledger
 from netlens.streaming.ingest import FLUSH, RECORDS, numbered, table_batch, write_quarantine
 
 
@@ -22,15 +23,6 @@ def once_each(records: DataFrame) -> DataFrame:
     return records.groupBy("record_id").agg(first).select("record_id", "_r.*")
 
 
-def unseen(rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows whose record is not stored yet. Polls overlap and a resolver may deliver
-    late: records of any age count, and only the dates of the batch are looked through,
-    two narrow columns of them."""
-    dates = rows.agg(F.to_date(F.min("timestamp")).alias("a"), F.to_date(F.max("timestamp")).alias("b")).first()
-    known = stored.where((F.col("log_type") == "dns") & F.col("log_date").between(dates["a"], dates["b"]))
-    return rows.join(known.where(F.col("record_id").isNotNull()).select("record_id").distinct(), "record_id", "left_anti")
-
-
 def store_records(
     records: DataFrame, batch: int, out: str, answers: DataFrame, now: str | datetime,
     cfg: NetConfig = NetConfig(), tables: EnrichmentTables | None = None,
@@ -46,10 +38,12 @@ def store_records(
         rows = mapped.withColumnRenamed("id", "record_id").join(ids, F.col("record_id") == F.col("_record")).drop("_record")
         rows = rows.withColumnRenamed("_row", "id").persist()
         try:
-            # What this batch wrote itself does not count, should it run again.
-            stored = read_logs(records.sparkSession, f"{out}/logs").where(F.col("batch") != own)
-            fresh = unseen(rows, stored)
-            write_batch(enrich(fresh, tables, cfg, now) if tables is not None else fresh, f"{out}/logs", own)
+            # Polls overlap and a resolver may deliver late: an id counts, not a time.
+            stored = ledger.read_ledger(records.sparkSession, f"{out}/ledger")
+            fresh = ledger.unstored(rows, stored, own)
+            if write_batch(enrich(fresh, tables, cfg, now) if tables is not None else fresh, f"{out}/logs", own):
+                ledger.note(fresh, f"{out}/ledger", own)
+                ledger.fold(records.sparkSession, f"{out}/ledger", own)
         finally:
             rows.unpersist()
         write_quarantine(given.where(F.col("record_id").isNull()).select("raw_log", F.lit("json").alias("reason")), out, own)

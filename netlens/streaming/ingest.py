@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from netlens.config import NetConfig
 from netlens.operators.enrich import EnrichmentTables, enrich
-from netlens.plans.maintenance import enqueue
 from netlens.plans.parse import (
     derive,
     derive_learning,
@@ -21,15 +20,12 @@ from netlens.plans.parse import (
     quarantine,
     with_service,
 )
-from netlens.sources.sinks import read_logs, read_snapshot, write_batch, write_snapshot
+from netlens.sources.sinks import read_logs, write_batch
 from netlens.sources.syslog import read_syslog
+from netlens.streaming import queue as events
 
 # Every batch makes files in each partition it touches: few large ones are better.
 FLUSH = "30 seconds"
-QUEUE_SCHEMA = (
-    "ip string, source string, first_seen_at timestamp, last_seen_at timestamp, next_retry_at timestamp,"
-    " attempts int, last_error string"
-)
 # Writers of the log table. Batch numbers of the table tell them apart.
 LINES, RECORDS = 0, 1
 _PARTITION_BITS, _ROW_BITS = 14, 26
@@ -102,14 +98,13 @@ def store_batch(
 
 
 def enqueue_misses(rows: DataFrame, batch: int, queue: str, now: str | datetime) -> None:
-    """Next version of the retry queue from stored rows: blocks whose address found no
-    reputation. Built on the version before this batch, so a repeated batch gives the
-    same result."""
+    """Events of the retry queue from stored rows: blocks whose address found no reputation.
+    A repeated batch replaces its own events; those of batches that can't run again are
+    folded into the state of the queue."""
     blocked = (F.col("log_type") == "firewall") & (F.col("rule_action") == "block")
     missing = blocked & F.col("remote_ip").isNotNull() & F.col("threat_score").isNull()
-    misses = rows.where(missing).select(F.col("remote_ip").alias("ip"))
-    before = read_snapshot(rows.sparkSession, queue, QUEUE_SCHEMA, before=batch)
-    write_snapshot(enqueue(before, misses, now), queue, batch)
+    events.append(events.enqueued(rows.where(missing).select(F.col("remote_ip").alias("ip")), now), queue, batch)
+    events.fold(rows.sparkSession, queue, batch)
 
 
 def start_ingest(

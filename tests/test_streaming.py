@@ -11,8 +11,9 @@ from netlens.plans.parse import parse_lines
 from netlens.schema import THREAT_COLUMNS, ddl
 from netlens.plans.maintenance import patch_scores
 from netlens.plans.retention import purge, purge_snapshot
-from netlens.sources.sinks import read_logs, read_snapshot, write_logs
+from netlens.sources.sinks import read_logs, write_logs
 from netlens.streaming import dns, ingest, state
+from netlens.streaming.queue import read_queue
 
 NOW = "2024-02-10 12:00:00"
 HEAD = "Feb  8 16:43:{:02d} GW "
@@ -59,12 +60,12 @@ def test_ingest(spark, tmp_path):
         (LINES[6], "timestamp"), ("garbage", "header"),
     ]
     # Only a block without reputation is queued.
-    assert [(r.ip, r.attempts) for r in read_snapshot(spark, queue, ingest.QUEUE_SCHEMA).collect()] == [("45.9.0.5", 0)]
+    assert [(r.ip, r.attempts) for r in read_queue(spark, queue).collect()] == [("45.9.0.5", 0)]
     # A second file adds its rows; the first one is not read again.
     (src / "2.log").write_text(LINES[1].replace("45.9.0.5", "45.9.0.77") + "\n")
     run()
     assert spark.read.parquet(f"{out}/logs").count() == 5
-    assert sorted(r.ip for r in read_snapshot(spark, queue, ingest.QUEUE_SCHEMA).collect()) == ["45.9.0.5", "45.9.0.77"]
+    assert sorted(r.ip for r in read_queue(spark, queue).collect()) == ["45.9.0.5", "45.9.0.77"]
 
 
 def test_batch_repeated_gives_the_same(spark, tmp_path):
@@ -74,7 +75,7 @@ def test_batch_repeated_gives_the_same(spark, tmp_path):
         ingest.store_batch(lines, 4, str(tmp_path), NetConfig(), NOW, tables, services, (), str(tmp_path / "q"))
     rows = spark.read.parquet(f"{tmp_path}/logs")
     assert rows.count() == 3 and rows.select("id").distinct().count() == 3
-    assert read_snapshot(spark, str(tmp_path / "q"), ingest.QUEUE_SCHEMA).count() == 1
+    assert read_queue(spark, str(tmp_path / "q")).count() == 1
 
 
 def test_one_table_through_ingest_repair_purge_and_replay(spark, tmp_path):
