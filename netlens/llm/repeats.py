@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import discard, import_in_workers, join_checked, saved
+from netlens.llm.common import discard, import_in_workers, saved
 from netlens.llm.wordhash import SpanHashes, chunks, mix
 
 LENGTH = 200
@@ -37,8 +37,6 @@ SHARD_ROWS = 1 << 18
 # An anchor with more different pieces than this isn't given to one task: its windows
 # are counted one by one.
 HOT = 20_000
-# Spans are broadcast if they and the texts they belong to are no more than this.
-SPANS = 2_000_000
 
 OCCURRENCES = "key long, doc_id long, anchor long, seg long, start int, len int"
 RUNS = "anchor long, seg long, low int, high int"
@@ -244,7 +242,7 @@ def piece_bytes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     out of the texts that hold them."""
     lists = saved(wanted.groupBy("key", "doc").agg(F.collect_list(F.struct("start", "len", "anchor", "seg", "d")).alias("cuts")))
     lists = lists.withColumnsRenamed({"key": "k", "doc": "d"})
-    texts = join_checked(rows, lists, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "inner")
+    texts = rows.join(lists, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,7 +263,7 @@ def repeated_runs(rows: DataFrame, found: DataFrame) -> DataFrame:
     segs = found.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("rep"), F.min("len").alias("len"))
     segs = saved(segs)
     whole = segs.where("c > 1").select("anchor", "seg", F.lit(0).alias("low"), (F.col("len") - LENGTH).alias("high"))
-    kinds = segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
+    kinds = saved(segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("d")).where("d > 1"))
     mixed = saved(segs.join(kinds, "anchor"))
     reps = mixed.select("anchor", "seg", "rep", "d")
     places = found.join(reps, (found["anchor"] == reps["anchor"]) & (found["seg"] == reps["seg"]) & (found["key"] == reps["rep"]))
@@ -285,7 +283,7 @@ def repeated_runs(rows: DataFrame, found: DataFrame) -> DataFrame:
     runs = saved(runs)
     runs = runs.join(once, ["anchor", "seg"], "left_semi").unionByName(whole)
     out = saved(runs)
-    discard(mixed, cut, segs)
+    discard(mixed, cut, segs, kinds)
     return out
 
 
@@ -293,9 +291,10 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     """(key, spans): per text the bytes covered by repeated strings, as (low, high) that may
     overlap. Texts without any are left out."""
     every = saved(occurrences(rows))
-    twice = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    # Saved, so that the join deals both sides anew and a frequent anchor can be split.
+    twice = saved(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"))
     found = saved(every.join(twice, "anchor", "left_semi"))
-    discard(every)
+    discard(every, twice)
     runs = repeated_runs(rows, found)
     spans = found.join(runs, ["anchor", "seg"]).select(
         "key", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high") + LENGTH).alias("high")
@@ -341,10 +340,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = documents.select(F.xxhash64(text).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     spans = repeated_spans(rows)
-    size = spans.agg(F.sum(F.size("spans")).alias("n")).first()["n"] or 0
-    spans = spans.withColumnRenamed("key", "k")
-    on = F.col("key") == F.col("k")
-    both = join_checked(rows, spans, on, "left") if size <= SPANS else rows.join(spans, on, "left")
+    both = rows.join(spans.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
