@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlens.llm.common import hash_unit, import_in_workers, join_checked, saved
-from netlens.llm.vectors import as_long, exact, exact_parts, usable, whole
+from netlens.llm.vectors import LEAST, MOST, clamped, exact, exact_parts, fitting, usable, whole
 
 SCALE = 256
 ANCHOR_EVERY = 100
@@ -35,7 +35,6 @@ LEAF_ROWS = 2048
 CHUNK_ROWS = 4096
 BLOCK_ROWS = 4096
 SLACK = 1e-6
-LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 ROWS = "vec_id long, label long, v array<double>, leaf int"
 RANGES = "node int, child int, split int, low double, high double"
@@ -261,7 +260,7 @@ def best_in(candidates: pd.DataFrame, requests: pd.DataFrame, k: int, same: bool
                     if len(at) > k:
                         at = at[row[at] >= np.sort(row[at])[-k]]
                     at = at[np.lexsort((ids[i][at], [-s for s in row[at]]))[:k]] if len(at) else at
-                    out += [(anchor, key, place, ids[i][x], as_long(row[x])) for x in at]
+                    out += [(anchor, key, place, ids[i][x], clamped(row[x])) for x in at]
     return pd.DataFrame(out, columns=[*REQUEST, "vec_id", "score"])
 
 
@@ -300,7 +299,7 @@ def searched(rows: DataFrame, leaves: DataFrame, trees, requests: DataFrame, k:
     worst = near.groupBy(*REQUEST).agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("least")).where(F.col("c") == k).drop("c")
     then = probes.withColumnRenamed("leaf", "probed").join(worst, REQUEST, "left").withColumn("low", F.greatest("low", "least")).drop("least")
     rest = saved(routed(then, trees, first=False))
-    return ranked(near.drop("rank").unionByName(looked_up(rows, leaves, rest, k, same)), k)
+    return ranked(near.drop("rank").unionByName(looked_up(rows, leaves, rest, k, same)), k).withColumn("score", fitting(F.col("score")))
 
 
 def negatives(vectors: DataFrame, anchors: DataFrame, positives: int = POSITIVES, k: int = NEGATIVES, low: int = LOW, high: int = HIGH) -> DataFrame:

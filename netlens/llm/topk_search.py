@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlens.llm.common import import_in_workers, saved
-from netlens.llm.vectors import as_long, exact, exact_parts, usable, whole
+from netlens.llm.vectors import clamped, exact, exact_parts, fitting, usable, whole
 
 K = 10
 SCALE = 1024
@@ -89,7 +89,7 @@ class AllScores:
         alive = np.flatnonzero(self.ids != query_id)
         scores = self.matrix[alive] @ exact(query[None, :])[0] if len(query) else [0] * len(alive)
         best = sorted(zip((-s for s in scores), self.ids[alive].tolist(), strict=True))[:k]
-        return np.array([i for _, i in best], np.int64), [as_long(-s) for s, _ in best]
+        return np.array([i for _, i in best], np.int64), [clamped(-s) for s, _ in best]
 
 
 def _matrix(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +142,9 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, chunk_rows: int
     keys = ["n", "chunk", "block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda c, q: search_block(c, q, k), FOUND)
     best = Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
+        "query_id", "rank", "vec_id", fitting(F.col("score")).alias("score")
+    )
 
 
 def search_digest(embeddings: DataFrame) -> DataFrame:

@@ -49,7 +49,16 @@ def exact_parts(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarra
                 yield i, j, x and y
 
 
-def as_long(score) -> int:
-    if not -(1 << 63) <= int(score) < 1 << 63:
-        raise ValueError("a score does not fit a long: scale the vectors down")
-    return int(score)
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+
+def clamped(score) -> int:
+    """A score as a long; one beyond is given its end. What is beyond below can only be in a
+    result that lacks better ones, see ``fitting``."""
+    return max(LEAST, min(MOST, int(score)))
+
+
+def fitting(score: Column) -> Column:
+    """The scores of a result: those that don't fit a long are an error."""
+    wrong = F.raise_error(F.lit("a score does not fit a long: scale the vectors down")).cast("long")
+    return F.when((score == LEAST) | (score == MOST), wrong).otherwise(score)
