@@ -173,6 +173,12 @@ def verified(pairs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame
     return found
 
 
+def _dealt(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: dealt by key at every size, so that a
+    small input takes the same way, and as much room in proportion, as a large one."""
+    return side.hint("merge")
+
+
 def _sizes_fit(n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
@@ -292,15 +298,15 @@ def set_links(rows: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame
     index = sets.where(F.col("prefix").isNotNull()).select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "bucket"))
     buckets = index.groupBy("bucket").agg(F.min("gid").alias("g1"), F.max("gid").alias("g2")).where("g1 <> g2").select("bucket")
     # Two tasks may both give a group's prefix.
-    index = saved(index.join(buckets, "bucket").select("bucket", "gid", "pos").distinct())
+    index = saved(index.join(_dealt(buckets), "bucket").select("bucket", "gid", "pos").distinct())
     forget_shuffles(spark)
     large = members.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gid")
-    place = index.join(members.select("gid", "key", "n"), "gid").select("bucket", "key", "n", "pos")
-    own = members.join(large, "gid").select(F.col("gid").alias("bucket"), "key", "n", F.lit(-1).alias("pos"))
+    place = index.join(_dealt(members.select("gid", "key", "n")), "gid").select("bucket", "key", "n", "pos")
+    own = members.join(_dealt(large), "gid").select(F.col("gid").alias("bucket"), "key", "n", F.lit(-1).alias("pos"))
     place = saved(place.unionByName(own))
     discard(index)
     sizes = place.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
-    sized = saved(place.join(sizes, "bucket"))
+    sized = saved(place.join(_dealt(sizes), "bucket"))
     discard(place)
     forget_shuffles(spark)
 
@@ -309,13 +315,13 @@ def set_links(rows: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame
     y = few.select("bucket", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     fits = (F.col("pa") < 0) | (PERCENT * (F.col("na") + F.col("nb")) <= (100 + PERCENT) * room)
-    meet = x.join(y, "bucket").where((F.col("a") < F.col("b")) & _sizes_fit(F.col("na"), F.col("nb")) & fits)
+    meet = x.join(_dealt(y), "bucket").where((F.col("a") < F.col("b")) & _sizes_fit(F.col("na"), F.col("nb")) & fits)
     pairs = saved(meet.select("a", "b").distinct())
 
     large = sized.where(F.col("c") > SMALL).select("bucket", "key", "n", "c")
     # A set has no more buckets than shingles in its prefix.
-    lists = large.groupBy("key").agg(F.collect_list("bucket").alias("buckets")).join(members.select("key", "bits"), "key")
-    many = saved(large.join(lists, "key"))
+    lists = large.groupBy("key").agg(F.collect_list("bucket").alias("buckets")).join(_dealt(members.select("key", "bits")), "key")
+    many = saved(large.join(_dealt(lists), "key"))
     chunks = F.ceil(F.col("c") / CELL_ROWS).cast("int")
     many = many.withColumn("chunk", F.pmod(F.xxhash64("key"), chunks).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
