@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from netlens.config import NetConfig
 from netlens.operators.enrich import EnrichmentTables, enrich
 from netlens.sources.dns_queries import map_dns_query, read_dns_records
+from netlens.sources.record_pages import read_record_pages
 from netlens.sources.sinks import write_batch
 from netlens.streaming import ledger
 from netlens.streaming.ingest import FLUSH, RECORDS, numbered, table_batch, write_quarantine
@@ -53,15 +54,17 @@ def store_records(
 
 def run_dns_ingest(
     spark: SparkSession, src: str, out: str, checkpoint: str, answers: DataFrame, now: str | datetime,
-    once: bool = True, cfg: NetConfig = NetConfig(), tables: EnrichmentTables | None = None,
+    once: bool = True, cfg: NetConfig = NetConfig(), tables: EnrichmentTables | None = None, pages: bool = False,
 ) -> StreamingQuery:
     """Records -> log rows. The checkpoint holds the position, and a batch that runs
-    again replaces its own rows, so rows and position never part."""
+    again replaces its own rows, so rows and position never part. ``src`` holds files in
+    any order, or with ``pages`` pages named by ids, which are read beyond the cursor."""
 
     def store(records: DataFrame, batch: int) -> None:
         store_records(records, batch, out, answers, now, cfg, tables)
 
-    writer = read_dns_records(spark, src, stream=True).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    records = read_record_pages(spark, src, now) if pages else read_dns_records(spark, src, stream=True)
+    writer = records.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=FLUSH)).start()
 
 
