@@ -5,17 +5,21 @@ gives all rows that are to be in them. The rows are written beside the table fir
 a list is written of what is to be moved in or emptied; then folders are moved. A job
 that dies before the list leaves the table as it was, one that dies after it is finished
 by the next writer.
+
+A table that something is derived from has a folder ``CHANGED``: whoever changes it leaves a
+note there of the partitions first, so that what is derived can be brought up to date.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Readers of the table skip names that begin with an underscore.
-STAGED, READY = "_staged", "_staged_ready.json"
+STAGED, READY, CHANGED = "_staged", "_staged_ready.json", "_changed"
 
 
 class Folder:
@@ -48,6 +52,9 @@ class Folder:
             names = [f"{n}/{s.getPath().getName()}".lstrip("/") for n, s in inner if s.isDirectory() and not s.getPath().getName().startswith("_")]
         return names
 
+    def files(self, name: str) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self.at(name)) if s.isFile() and not s.getPath().getName().endswith(".part")]
+
     def write(self, name: str, text: str) -> None:
         # Renamed when complete, so that it is there as a whole or not at all.
         out = self.fs.create(self.at(f"{name}.part"), True)
@@ -67,6 +74,12 @@ def folder_name(spark: SparkSession, row, keys: tuple[str, ...]) -> str:
     return "/".join(f"{k}={'__HIVE_DEFAULT_PARTITION__' if row[k] is None else escape(str(row[k]))}" for k in keys)
 
 
+def note_change(folder: Folder, what: dict) -> None:
+    """To be called before the change: a note too many costs work, one too few is an error."""
+    if folder.exists(CHANGED):
+        folder.write(f"{CHANGED}/{uuid.uuid4().hex}", json.dumps(what))
+
+
 def finish(spark: SparkSession, path: str) -> None:
     """Complete a replacement that was interrupted. Doing it twice does no harm."""
     folder = Folder(spark, path)
@@ -89,6 +102,7 @@ def stage(rows: DataFrame, path: str, touched: DataFrame, keys: tuple[str, ...],
     # One entry per partition: folders are moved by one process, as by any committer.
     names = {folder_name(spark, r, keys): False for r in touched.select(*[F.col(k).cast("string") for k in keys]).distinct().collect()}
     names |= dict.fromkeys(folder.leaves(STAGED, len(keys)), True)
+    note_change(folder, {"partitions": sorted(names)})
     folder.write(READY, json.dumps(names))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from netlens.functions.scalars import csv_safe
 from netlens.schema import LOG_COLUMNS, conform, ddl
-from netlens.sources.partitions import Folder, finish
+from netlens.sources.partitions import Folder, finish, note_change
 
 # One table for lines, resolver records and repairs. The batch comes last: reports
 # prune by date and type, and a batch that runs again replaces only its own files.
@@ -61,6 +61,7 @@ def write_batch(logs: DataFrame, path: str, batch: int) -> bool:
     finish(spark, path)
     if batch < retired_before(spark, path):
         return False
+    note_change(Folder(spark, path), {"batch": batch})
     write_logs(logs.withColumn("batch", F.lit(batch).cast("bigint")), path, mode="overwrite")
     return True
 
