@@ -10,6 +10,7 @@ from netlens.contract import (  # noqa: F401
     policies,
     scalars,
     search,
+    sources,
     stats,
     threats,
 )
