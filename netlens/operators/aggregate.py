@@ -13,7 +13,7 @@ from netlens.functions.scalars import csv_safe
 from netlens.operators.dims import join_names_by_ip
 from netlens.operators.filters import LogFilter
 from netlens.operators.identity import annotate_identity
-from netlens.operators.topk import pick_modal, top_k
+from netlens.operators.topk import pick_modal, top_k, with_texts
 
 Now = str | datetime
 PAIR_KEYS = ["src_ip", "dst_ip", "dst_port", "protocol"]
@@ -49,14 +49,13 @@ def ip_pairs(
     """Busiest conversations; names and identities only for the k result rows."""
     if not 1 <= k <= 100:
         raise ValueError("k must be between 1 and 100")
-    grouped = _pair_rows(logs, flt, now, cross).groupBy(*PAIR_KEYS).agg(
-        F.max("service_name").alias("service_name"),
-        F.count(F.lit(1)).alias("total_count"),
-        F.count_if(is_allowed()).alias("allow_count"),
-        F.count_if(is_blocked()).alias("block_count"),
-        F.max("threat_score").alias("max_threat_score"),
-        F.max("asn_name").alias("asn_name"),
-        F.max("direction").alias("direction"),
+    grouped = with_texts(
+        _pair_rows(logs, flt, now, cross), list(PAIR_KEYS), ["service_name", "asn_name", "direction"],
+        total_count=(F.count(F.lit(1)), "sum"), allow_count=(F.count_if(is_allowed()), "sum"),
+        block_count=(F.count_if(is_blocked()), "sum"), max_threat_score=(F.max("threat_score"), "max"),
+    )
+    grouped = grouped.select(
+        *PAIR_KEYS, "service_name", "total_count", "allow_count", "block_count", "max_threat_score", "asn_name", "direction"
     )
     top = top_k(grouped, k, F.desc("total_count"), *[F.asc(c) for c in PAIR_KEYS])
     named = join_names_by_ip(top, clients, devices, "src_ip", "src_device_name")

@@ -12,7 +12,7 @@ from netlens.functions.scalars import flow_dim, heat_tier
 from netlens.operators.dims import device_names, join_names_by_ip, latest_client, names_for_ips, rank_within
 from netlens.operators.filters import LogFilter, checked_ip
 from netlens.operators.identity import identity_of
-from netlens.operators.topk import top_k
+from netlens.operators.topk import top_k, with_texts
 
 Now = str | datetime
 DEFAULT_DIMS = ("src_ip", "dst_port", "dst_ip")
@@ -253,12 +253,10 @@ def host_peers(
     """Busiest peers of a host: ``side='src'`` where it is the source."""
     own, peer = ("src_ip", "dst_ip") if side == "src" else ("dst_ip", "src_ip")
     rows = flt.apply(logs, now).where((F.col(own) == checked_ip(ip)) & F.col(peer).isNotNull())
-    grouped = rows.groupBy(F.col(peer).alias("peer_ip")).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.count_if(F.col("rule_action") == "allow").alias("allow_count"),
-        F.count_if(F.col("rule_action") == "block").alias("block_count"),
-        F.max("asn_name").alias("asn_name"), F.max("rdns").alias("rdns"),
-    )
+    grouped = with_texts(
+        rows.withColumnRenamed(peer, "peer_ip"), ["peer_ip"], ["asn_name", "rdns"], count=(F.count(F.lit(1)), "sum"),
+        allow_count=(F.count_if(F.col("rule_action") == "allow"), "sum"), block_count=(F.count_if(F.col("rule_action") == "block"), "sum"),
+    ).select("peer_ip", "count", "allow_count", "block_count", "asn_name", "rdns")
     top = top_k(grouped, k, F.desc("count"), F.asc("peer_ip"))
     named = join_names_by_ip(top, clients, devices, "peer_ip", "device_name")
     return named.orderBy(F.desc("count"), F.asc("peer_ip"))

@@ -17,7 +17,7 @@ from netlens.functions.ip import is_public_ip_sql, not_own
 from netlens.functions.scalars import bucket_of, time_bucket
 from netlens.operators.dims import join_latest_client, rank_within
 from netlens.operators.filters import TimeWindow, in_window
-from netlens.operators.topk import count_top, top_k
+from netlens.operators.topk import count_top, top_k, with_texts
 
 Now = str | datetime
 TOP = 10
@@ -55,6 +55,14 @@ def by_direction(logs: DataFrame, window: TimeWindow, now: Now) -> DataFrame:
     return rows.groupBy("direction").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _rows() -> tuple[Column, str]:
+    return F.count(F.lit(1)), "sum"
+
+
+def _score() -> tuple[Column, str]:
+    return F.max("threat_score"), "max"
+
+
 def _action_rows(logs: DataFrame, window: TimeWindow, now: Now, action: str) -> DataFrame:
     return in_window(logs, window, now).where(F.col("rule_action") == action)
 
@@ -93,11 +101,9 @@ def top_blocked_external(
     logs: DataFrame, window: TimeWindow, now: Now, own: Iterable[str] = ("0.0.0.0",), k: int = TOP
 ) -> DataFrame:
     rows = _action_rows(logs, window, now, "block").where(is_public_ip_sql("src_ip") & not_own("src_ip", tuple(own)))
-    return count_top(
-        rows.withColumnRenamed("src_ip", "ip"), ["ip"], k,
-        F.max("geo_country").alias("country"), F.max("asn_name").alias("asn"),
-        F.max("threat_score").alias("threat_score"),
-    )
+    rows = rows.withColumnsRenamed({"src_ip": "ip", "geo_country": "country", "asn_name": "asn"})
+    grouped = with_texts(rows, ["ip"], ["country", "asn"], count=_rows(), threat_score=_score())
+    return top_k(grouped.select("ip", "count", "country", "asn", "threat_score"), k, F.desc("count"), F.asc("ip"))
 
 
 def _internal_sources(rows: DataFrame) -> DataFrame:
@@ -122,14 +128,13 @@ def top_threats(
     rows = in_window(logs, window, now).where(
         (F.col("threat_score") > HIGH_SCORE) & F.col("src_ip").isNotNull() & not_own("src_ip", tuple(own))
     )
-    grouped = rows.groupBy(F.col("src_ip").alias("ip")).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.max("geo_country").alias("country"), F.max("asn_name").alias("asn"),
-        F.max("geo_city").alias("city"), F.max("rdns").alias("rdns"),
-        F.max("threat_score").alias("threat_score"),
-        F.max("threat_categories").alias("_own_categories"),
-        F.max("timestamp").alias("last_seen"),
+    rows = rows.select(
+        F.col("src_ip").alias("ip"), F.col("geo_country").alias("country"), F.col("asn_name").alias("asn"), F.col("geo_city").alias("city"),
+        "rdns", "threat_score", F.col("threat_categories").alias("_own_categories"), "timestamp",
     )
+    texts = ["country", "asn", "city", "rdns", "_own_categories"]
+    grouped = with_texts(rows, ["ip"], texts, count=_rows(), threat_score=_score(), last_seen=(F.max("timestamp"), "max"))
+    grouped = grouped.select("ip", "count", "country", "asn", "city", "rdns", "threat_score", "_own_categories", "last_seen")
     top = top_k(grouped, k, F.desc("threat_score"), F.desc("count"), F.asc("ip"))
     return (
         join_threat(top, threats.select("ip", "threat_categories"))
@@ -148,10 +153,9 @@ def top_allowed_dst(
     logs: DataFrame, window: TimeWindow, now: Now, own: Iterable[str] = ("0.0.0.0",), k: int = TOP
 ) -> DataFrame:
     rows = _action_rows(logs, window, now, "allow").where(is_public_ip_sql("dst_ip") & not_own("dst_ip", tuple(own)))
-    return count_top(
-        rows.withColumnRenamed("dst_ip", "ip"), ["ip"], k,
-        F.max("geo_country").alias("country"), F.max("asn_name").alias("asn"),
-    )
+    rows = rows.withColumnsRenamed({"dst_ip": "ip", "geo_country": "country", "asn_name": "asn"})
+    grouped = with_texts(rows, ["ip"], ["country", "asn"], count=_rows())
+    return top_k(grouped.select("ip", "count", "country", "asn"), k, F.desc("count"), F.asc("ip"))
 
 
 def top_active_internal(
@@ -220,6 +224,8 @@ TABLE_SECTIONS = tuple(
     "top_blocked_countries top_allowed_countries top_blocked_services top_allowed_services top_blocked_ips"
     " top_blocked_internal_ips top_threat_ips top_allowed_destinations top_active_internal_ips top_dns".split()
 )
+# Lists that show country and AS of an address.
+EXTERNAL_SECTIONS = ("top_blocked_ips", "top_threat_ips", "top_allowed_destinations")
 CHART_SECTIONS = ("logs_over_time", "traffic_by_action")
 OVERVIEW_SECTIONS = ("total", "allowed", "blocked", "threats", "by_type", "by_direction")
 
@@ -243,7 +249,10 @@ def dashboard(
         *[
             F.when(
                 cond & key.isNotNull(),
-                F.struct(F.lit(name).alias("section"), key.alias("key"), F.lit(name in TABLE_SECTIONS).alias("ranked")),
+                F.struct(
+                    F.lit(name).alias("section"), key.alias("key"), F.lit(name in TABLE_SECTIONS).alias("ranked"),
+                    F.lit(name in EXTERNAL_SECTIONS).alias("external"),
+                ),
             )
             for name, cond, key in chosen
         ]
@@ -253,14 +262,14 @@ def dashboard(
         .select("geo_country", "asn_name", "threat_score", F.explode(entries).alias("_e"))
         .where(F.col("_e").isNotNull())
     )
-    counted = emitted.groupBy(F.col("_e.section").alias("section"), F.col("_e.key").alias("key")).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.max("geo_country").alias("country"), F.max("asn_name").alias("asn"),
-        F.max("threat_score").alias("threat_score"),
-        # An aggregate, so a test of it stays above the aggregation: both parts below
-        # read the same shuffle.
-        F.max("_e.ranked").alias("ranked"),
+    shown = F.col("_e.external")
+    emitted = emitted.select(
+        "_e.section", "_e.key", "_e.ranked", "threat_score",
+        F.when(shown, F.col("geo_country")).alias("country"), F.when(shown, F.col("asn_name")).alias("asn"),
     )
+    # ``ranked`` is an aggregate, so a test of it stays above the aggregation: both parts
+    # below read the same shuffle.
+    counted = with_texts(emitted, ["section", "key"], ["country", "asn"], count=_rows(), threat_score=_score(), ranked=(F.max("ranked"), "max"))
     is_table = F.col("ranked")
     series = counted.where(~is_table).withColumn("rank", F.lit(0))
     worst_first = F.desc(F.when(F.col("section") == "top_threat_ips", F.col("threat_score")))
@@ -268,7 +277,7 @@ def dashboard(
     ranked = series.unionByName(lists)
     named = join_latest_client(ranked, clients, "key", "device_name", since=window.bounds(now)[0])
     internal = F.col("section").isin("top_blocked_internal_ips", "top_active_internal_ips")
-    external = F.col("section").isin("top_blocked_ips", "top_threat_ips", "top_allowed_destinations")
+    external = F.col("section").isin(*EXTERNAL_SECTIONS)
     return named.select(
         "section", "rank", "key", "count",
         F.when(external, F.col("country")).alias("country"),

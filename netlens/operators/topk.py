@@ -17,6 +17,19 @@ def count_top(df: DataFrame, keys: list[str], k: int, *extra: Column) -> DataFra
     return top_k(counted, k, F.desc("count"), *[F.asc_nulls_last(c) for c in keys])
 
 
+def with_texts(df: DataFrame, keys: list[str], texts: list[str], **figures: tuple[Column, str]) -> DataFrame:
+    """Groups with figures, each an aggregate and how its parts merge (``sum`` or ``max``),
+    and the greatest of some columns of text.
+
+    ``max`` over text makes Spark sort its input. So rows are hashed by key and texts first,
+    and only these few groups, one per combination that occurs, are sorted.
+    """
+    merge = {"sum": F.sum, "max": F.max}
+    inner = df.groupBy(*keys, *texts).agg(*[part.alias(name) for name, (part, _) in figures.items()])
+    merged = [merge[how](name).alias(name) for name, (_, how) in figures.items()]
+    return inner.groupBy(*keys).agg(*merged, *[F.max(t).alias(t) for t in texts])
+
+
 def newest(df: DataFrame, k: int, *order: Column, ts: str = "timestamp", skip: int = 0) -> DataFrame:
     """``k`` rows after the ``skip`` newest ones, in the given order, whose first column
     must be descending ``ts``. Rows without a time come last.

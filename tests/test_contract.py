@@ -5,6 +5,7 @@ NETLENS_ALL=1.
 """
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -48,3 +49,10 @@ def test_no_nested_loops(spark):
     for name in ("e8_asn_block", "g5_adaptive_top_n", "f26_threat_geo_threats", "k2_enrich", "j8_patch_scores", "h1_search_newest"):
         plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_texts_are_hashed_before_they_are_sorted(spark):
+    """``max`` over text sorts its input: that is rows already grouped by these texts."""
+    for name in ("f10_top_blocked_external", "f12_top_threats", "f13_top_allowed_destinations", "f18_tables_bundle", "f19_ip_pairs", "f28_peers_as_src"):
+        plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().sparkPlan().toString()
+        assert re.search(r"HashAggregate\(keys=\[[^\]]*asn(_name)?#", plan), name
