@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import discard, forget_shuffles, import_in_workers, join_checked, saved
+from netlens.llm.common import discard, forget_shuffles, import_in_workers, join_checked, saved, small
 from netlens.llm.components import components
 from netlens.llm.wordhash import parities, set_key, shingle_sets
 
@@ -148,8 +148,13 @@ def sets_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
 def possible(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of set keys those whose bitmaps leave enough in common. Sets
     far larger than the bitmap are hardly ruled out; no set that links is."""
-    a = members.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-    b = members.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    bits = members.select("key", "n", "bits")
+    if small(pairs):
+        # Later rounds have few pairs: don't shuffle the bitmaps of all sets for them.
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        bits = saved(bits.join(F.broadcast(keys), "key", "left_semi"))
+    a = bits.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    b = bits.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
     both = pairs.select("a", "b").join(a, "a").join(b, "b")
     differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
     total = F.col("na") + F.col("nb")
@@ -402,7 +407,7 @@ def link_counts(rows: DataFrame, members: DataFrame, roots: DataFrame) -> DataFr
     ends = F.array(
         F.struct(F.col("key_a").alias("key"), F.col("copies_b").alias("linked")), F.struct(F.col("key_b").alias("key"), F.col("copies_a").alias("linked"))
     )
-    small = both.select(F.inline(ends))
+    of_few = both.select(F.inline(ends))
 
     chunks = F.greatest(F.ceil(F.col("c") / CELL_ROWS), F.ceil(F.col("total") / CELL_SHINGLES)).cast("int")
     many = comps.where(F.col("c") > SMALL).withColumn("chunk", F.pmod(F.xxhash64("key"), chunks).cast("int"))
@@ -418,7 +423,7 @@ def link_counts(rows: DataFrame, members: DataFrame, roots: DataFrame) -> DataFr
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     large = many.repartition(tasks, "comp", "i", "j").groupBy("comp", "i", "j").applyInPandas(count, "key long, linked long")
-    found = saved(small.unionByName(large).groupBy("key").agg(F.sum("linked").alias("linked")))
+    found = saved(of_few.unionByName(large).groupBy("key").agg(F.sum("linked").alias("linked")))
     discard(comps)
     forget_shuffles(spark)
     return found
