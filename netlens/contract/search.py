@@ -69,6 +69,16 @@ def by_ip(t):
     )
 
 
+@query(
+    "h1_search_deep_by_rule", "logs",
+    f"""SELECT id, rule_name, {stamp_sql('timestamp')} AS at FROM logs WHERE {SINCE_MONTH} ORDER BY rule_name ASC NULLS LAST, id ASC LIMIT 100 OFFSET 2000""",
+)
+def deep_by_rule(t):
+    # Ranges far smaller than in production, so that they are cut on small tables, too.
+    page = search.search_page(t.logs, ALL, NOW, "rule_name", False, page=21, size=100, few=500)
+    return page.select("id", "rule_name", stamp("timestamp").alias("at"))
+
+
 @query("h2_page_count", "logs", f"SELECT count(*) AS total, CAST(ceil(count(*) / 50.0) AS BIGINT) AS pages FROM logs WHERE {SINCE_MONTH}")
 def pages(t):
     return search.page_count(t.logs, ALL, NOW)

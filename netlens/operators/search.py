@@ -14,6 +14,7 @@ from netlens.functions.scalars import non_empty, service_display, threat_coalesc
 from netlens.operators.dims import join_name_by_mac, join_names_by_ip, join_service
 from netlens.operators.filters import LogFilter
 from netlens.operators.identity import annotate_identity
+from netlens.operators.paging import FEW, page_ids
 from netlens.operators.topk import newest, top_k
 
 Now = str | datetime
@@ -23,22 +24,25 @@ SORT_COLUMNS = (
 )
 
 
+def order_keys(column: str) -> list[Column]:
+    """What a column is sorted by."""
+    return [F.col(column).contains(":"), ip_key(column)] if column in ("src_ip", "dst_ip") else [F.col(column)]
+
+
 def sort_order(sort: str, descending: bool, columns: Iterable[str]) -> list[Column]:
     """NULLs come first when descending and last when ascending; addresses sort
     by value (IPv4 before IPv6), and ``id`` makes the order total."""
     column = sort if sort in SORT_COLUMNS and sort in set(columns) else "timestamp"
-    keys = [F.col(column)]
-    if column in ("src_ip", "dst_ip"):
-        keys = [F.col(column).contains(":"), ip_key(column)]
+    keys = order_keys(column)
     ordered = [k.desc_nulls_first() if descending else k.asc_nulls_last() for k in keys]
     return ordered + [F.desc("id") if descending else F.asc("id")]
 
 
 def search_page(
     logs: DataFrame, flt: LogFilter, now: Now, sort: str = "timestamp", descending: bool = True,
-    page: int = 1, size: int = 50,
+    page: int = 1, size: int = 50, few: int = FEW,
 ) -> DataFrame:
-    """The bare rows of one result page."""
+    """The bare rows of one result page. ``few``: keys one task may sort."""
     if page < 1 or not 1 <= size <= 200:
         raise ValueError("page starts at 1 and size is between 1 and 200")
     rows = flt.apply(logs, now)
@@ -46,10 +50,9 @@ def search_page(
     skip = (page - 1) * size
     if descending and (sort == "timestamp" or sort not in SORT_COLUMNS):
         return newest(rows, size, *order, skip=skip)
-    # Other orders sort the key and the id alone, and read whole rows for the page only.
+    # Other orders look for the page by key and id alone, and read whole rows for it only.
     key = sort if sort in SORT_COLUMNS and sort in rows.columns else "timestamp"
-    head = top_k(rows.select("id", *({key} - {"id"})), skip + size, *order)
-    ids = (head.orderBy(*order).offset(skip).limit(size) if skip else head).select("id")
+    ids = page_ids(rows, key, order_keys(key), skip, size, descending, few)
     return rows.join(F.broadcast(ids), "id", "left_semi").select(*rows.columns).orderBy(*order)
 
 
