@@ -10,7 +10,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm.common import hash_unit, text_of
+from netlens.llm.common import discard, saved, text_of
 
 UNKNOWN = "unknown"
 # Notices by which authors place a work under a licence.
@@ -108,13 +108,14 @@ NO_LICENCE = (
 ANCHOR = r"(?i)licen[sc]|\bpermission is hereby\b|permission to use|redistribut|public domain|\bcc0\b|copyright|creative commons|public license"
 
 NGRAMS = 3
-# Bounds of the background sample that the unknown class learns from, and of the one
-# the cut is set on.
-BACKGROUND_DOCS, BACKGROUND = 400, 600
 # Of a notice's n-grams, or of the paragraph's if it has fewer, so many must be shared.
 LEAST_SHARED = 0.6
-LEAST_CUT = 0.5
-SEED = 41
+# Paragraphs that share less with every notice are what the unknown class learns from, all
+# of them. Together they weigh no more than so many of the fixed sentences.
+UNLIKE, UNLIKE_WEIGHT = 0.5, 300.0
+# The cut is set so that at most this share of all of them is given a family, unless that
+# takes more than MOST_CUT.
+FALSE_SHARE, LEAST_CUT, MOST_CUT, CUT_STEPS = 0.001, 0.5, 0.99, 10_000
 
 
 def grams(text: Column) -> Column:
@@ -137,48 +138,37 @@ def _variants(text: str) -> list[str]:
     return [v for v in out if len(v.split()) >= 3 or v == text]
 
 
-def background(documents: DataFrame) -> DataFrame:
-    """(text, held): a bounded sample of paragraphs without an anchor, half of it held
-    out to set the cut. Which are taken depends on ids and texts alone."""
-    rows = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rate = BACKGROUND_DOCS / max(1, rows.count())
-    lines = rows.where(hash_unit(F.lit(SEED), "doc_id", "text") < rate).select(F.explode(F.split("text", "\n")).alias("text"))
-    lines = lines.where(~F.col("text").rlike(ANCHOR) & F.col("text").rlike(r"\p{L}")).distinct()
-    lines = lines.orderBy(F.xxhash64("text", F.lit(SEED)), "text").limit(BACKGROUND)
-    return lines.withColumn("held", hash_unit(F.lit(SEED + 1), F.col("text")) < 0.5)
-
-
 class Classifier:
-    """Weights per n-gram and class, intercepts, and the cut of the unknown class."""
+    """Weights per n-gram and class, and intercepts. ``unlike`` (text) are paragraphs that
+    are no notices; all of them are learned from, where they lie."""
 
-    def __init__(self, documents: DataFrame):
-        spark = documents.sparkSession
+    def __init__(self, unlike: DataFrame):
+        spark = unlike.sparkSession
         self.classes = [UNKNOWN, *TEMPLATES]
-        rows = [(v, float(self.classes.index(family))) for family, texts in TEMPLATES.items() for t in texts for v in _variants(t)]
-        rows += [(t, 0.0) for t in NO_LICENCE]
-        sample = [(r["text"], r["held"]) for r in background(documents).collect()]
-        fixed = spark.createDataFrame([(t,) for t, _ in rows], "text string").select(F.explode(grams(F.col("text"))).alias("gram"))
-        vocabulary = sorted(r["gram"] for r in fixed.distinct().collect())
-        rows += [(t, 0.0) for t, held in sample if not held]
-        data = spark.createDataFrame(rows, "text string, label double").select("label", grams(F.col("text")).alias("grams"))
-        data = data.coalesce(1)  # bounded by templates and sample: a task per step is enough
+        rows = [(v, float(self.classes.index(family)), 1.0) for family, texts in TEMPLATES.items() for t in texts for v in _variants(t)]
+        rows += [(t, 0.0, 1.0) for t in NO_LICENCE]
+        fixed = spark.createDataFrame(rows, "text string, label double, weight double").coalesce(1)
         # Only n-grams of the fixed sentences are features: the model stays small.
+        vocabulary = sorted(r["gram"] for r in fixed.select(F.explode(grams(F.col("text"))).alias("gram")).distinct().collect())
         terms = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features").setBinary(True)
-        model = LogisticRegression(family="multinomial", regParam=1e-3, elasticNetParam=0.1, maxIter=40).fit(terms.transform(data))
+
+        def features(rows: DataFrame) -> DataFrame:
+            return terms.transform(rows.withColumn("grams", grams(F.col("text")))).select("label", "weight", "features")
+
+        others = unlike.select("text").distinct().withColumn("label", F.lit(0.0)).withColumn("weight", F.lit(1.0))
+        others = saved(features(others))
+        weight = min(1.0, UNLIKE_WEIGHT / max(1, others.count()))
+        data = features(fixed).unionByName(others.withColumn("weight", F.lit(weight)))
+        estimator = LogisticRegression(family="multinomial", weightCol="weight", regParam=1e-3, elasticNetParam=0.1, maxIter=40)
+        model = estimator.fit(data)
+        discard(others)
         matrix = model.coefficientMatrix.toArray()
         self.intercepts = [float(x) for x in model.interceptVector]
         some = [(g, [float(x) for x in matrix[:, k]]) for k, g in enumerate(vocabulary) if abs(matrix[:, k]).max() > 0]
         self.weights = spark.createDataFrame(some, "gram string, w array<double>")
-        self.cut = LEAST_CUT
-        held = [(k, t) for k, (t, h) in enumerate(sample) if h]
-        if held:
-            likely = self.classify(spark.createDataFrame(held, "key int, text string"), ["key"])
-            top = likely.agg(F.max(F.when(F.col("family") != UNKNOWN, F.col("probability")))).first()[0]
-            self.cut = max(self.cut, min(0.99, (top or 0.0) + 0.01))
 
     def classify(self, paragraphs: DataFrame, keys: list[str]) -> DataFrame:
-        """(keys, family, probability) of paragraphs, each with its most likely class; a
-        family less likely than the cut is unknown."""
+        """(keys, family, probability) of paragraphs, each with its most likely class."""
         words = paragraphs.select(*keys, F.explode_outer(grams(F.col("text"))).alias("gram"))
         sums = [F.coalesce(F.sum(F.get("w", F.lit(k))), F.lit(0.0)) + b for k, b in enumerate(self.intercepts)]
         scores = words.join(F.broadcast(self.weights), "gram", "left").groupBy(*keys).agg(F.array(*sums).alias("z"))
@@ -186,8 +176,20 @@ class Classifier:
         total = F.aggregate(F.transform("z", lambda z: F.exp(z - most)), F.lit(0.0), lambda a, e: a + e)
         best = F.array_position("z", most).cast("int")
         family = F.element_at(F.array(*map(F.lit, self.classes)), best)
-        out = scores.select(*keys, family.alias("family"), (1 / total).alias("probability"))
-        return out.withColumn("family", F.when(F.col("probability") >= self.cut, F.col("family")).otherwise(UNKNOWN))
+        return scores.select(*keys, family.alias("family"), (1 / total).alias("probability"))
+
+
+def cut_of(unlike: DataFrame) -> float:
+    """The least probability, in steps, that gives a family to no more than FALSE_SHARE of
+    the classified paragraphs ``unlike`` (family, probability). All are counted."""
+    step = F.when(F.col("family") != UNKNOWN, F.floor(F.col("probability") * CUT_STEPS)).otherwise(-1)
+    counts = {r["step"]: r["count"] for r in unlike.groupBy(step.cast("int").alias("step")).count().collect()}  # CUT_STEPS + 2 rows at most
+    over = 0
+    for k in sorted((k for k in counts if k >= 0), reverse=True):
+        over += counts[k]
+        if over > FALSE_SHARE * sum(counts.values()):
+            return min(MOST_CUT, max(LEAST_CUT, (k + 1) / CUT_STEPS))
+    return LEAST_CUT
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
@@ -202,11 +204,10 @@ def scan(documents: DataFrame) -> DataFrame:
     best share of n-grams with a notice of the predicted family.
 
     Null and empty texts have no such paragraph. Rows with equal id and text give their
-    paragraphs once. With no documents to sample, the unknown class learns from the fixed
-    sentences alone.
+    paragraphs once. The unknown class and the cut follow from all paragraphs that share
+    little with any notice; without one, from the fixed sentences and LEAST_CUT.
     """
     spark = documents.sparkSession
-    model = Classifier(documents)
     rows = documents.select("doc_id", text_of("text").alias("text")).where(F.col("text").rlike(ANCHOR))
     keys = ["doc_id", "text_hash", "pos"]
     lines = (
@@ -214,12 +215,19 @@ def scan(documents: DataFrame) -> DataFrame:
         .where(F.col("text").rlike(ANCHOR))
         .dropDuplicates(keys)
     )
-    found = model.classify(lines, keys)
-    words = lines.select(*keys, F.size(grams(F.col("text"))).alias("n"), F.explode(grams(F.col("text"))).alias("gram"))
+    candidates = saved(lines)
+    words = candidates.select(*keys, F.size(grams(F.col("text"))).alias("n"), F.explode(grams(F.col("text"))).alias("gram"))
     # Templates are fixed: some hundred rows.
     shared = words.join(F.broadcast(template_grams(spark)), "gram").groupBy(*keys, "tf", "tk", "tn", "n").agg(F.count(F.lit(1)).alias("c"))
-    shared = shared.groupBy(*keys, F.col("tf").alias("family")).agg(F.max(F.col("c") / F.least("n", "tn")).alias("shared"))
-    out = _meet(_meet(lines, found, keys), shared, [*keys, "family"])
+    shared = saved(shared.groupBy(*keys, F.col("tf").alias("family")).agg(F.max(F.col("c") / F.least("n", "tn")).alias("shared")))
+    most = shared.groupBy(*keys).agg(F.max("shared").alias("most"))
+    lines = saved(_meet(candidates, most, keys).withColumn("unlike", F.coalesce("most", F.lit(0.0)) < UNLIKE).drop("most"))
+    discard(candidates)
+    model = Classifier(lines.where("unlike"))
+    found = saved(model.classify(lines, [*keys, "unlike"]))
+    cut = cut_of(found.where("unlike"))
+    found = found.drop("unlike").withColumn("family", F.when(F.col("probability") >= cut, F.col("family")).otherwise(UNKNOWN))
+    out = _meet(_meet(lines.drop("unlike"), found, keys), shared, [*keys, "family"])
     out = out.withColumn("shared", F.coalesce("shared", F.lit(0.0)))
     return out.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("shared") >= LEAST_SHARED))
 

@@ -153,3 +153,20 @@ def test_licence_families(spark, odd):
     assert licenses.licence_digest(every.limit(0)).collect() == []
     for families in licenses.TEMPLATES.values():
         assert all(re.search(licenses.ANCHOR.replace("(?i)", ""), t, re.I) for t in families)
+
+
+def test_licence_unknowns_are_learned_from_all_paragraphs(spark):
+    says = "Ask Ms Smith, who keeps the old mit license of the tool in drawer {0} of room {0}, before noon"
+    texts = [says.format(k) for k in range(2000)] + ["Released under the MIT License."]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    assert len(got) == len(texts)
+    assert got.set_index("doc_id").loc[2000, "confirmed"]
+    assert (got["family"] != licenses.UNKNOWN).sum() <= 1 + licenses.FALSE_SHARE * 2000
+
+
+def test_licence_cut_counts_every_paragraph(spark):
+    rows = [("mit", 0.60 + k / 100_000) for k in range(5000)] + [("unknown", 0.97)] * 5000 + [("gpl-3.0", 0.9)] * 4
+    found = spark.createDataFrame(rows, "family string, probability double")
+    cut = licenses.cut_of(found)
+    assert sum(f != licenses.UNKNOWN and p >= cut for f, p in rows) <= licenses.FALSE_SHARE * len(rows)
+    assert 0.649 < cut <= 0.65 and licenses.cut_of(found.limit(0)) == licenses.LEAST_CUT
