@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlens.llm.common import discard, forget_shuffles, import_in_workers, join_checked, saved, small
@@ -29,14 +30,19 @@ SMALL = 8
 CELL_ROWS = 2048
 # Shingles of a side of a cell in which links are counted, in the mean.
 CELL_SHINGLES = 2_000_000
-# A pair is near the threshold if its bitmaps differ in more than this share of the bits
-# that sets that link may differ in. Each component gives so many of them in the first
+# A pair is near the threshold if its sets, judged by their bitmaps, differ in more than
+# this share of the hashes that sets that link may differ in. Each component gives so many of them in the first
 # round and eight times as many in each further one, so that rounds stay few.
 NEAR, NEAR_PAIRS = 0.95, 32
-# Bits of the bitmaps that rule out pairs before sets are fetched.
-BITS = 4096
+# Bits of the bitmaps that rule out pairs before sets are fetched. Pairs of sets that are
+# not larger than the folded bitmap are compared on that one.
+BITS, FOLDED = 4096, 1024
+# The index is made in so many passes over the prefixes, one after the other: disk holds
+# the shuffles of one only.
+PASSES = 4
 
-SETS = "doc_id long, text_hash long, n long, key long, gid long, bits array<long>, prefix array<long>"
+PARTS = [f"prefix_{k}" for k in range(PASSES)]
+SETS = "doc_id long, text_hash long, n long, key long, gid long, bits array<long>, " + ", ".join(f"{p} array<struct<pos: int, bucket: long>>" for p in PARTS)
 
 
 def _rows(documents: DataFrame) -> DataFrame:
@@ -54,8 +60,8 @@ def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         waiting: list[np.ndarray] = []
 
         def add(hashes, counts):
-            every = np.concatenate([hashes, *waiting])
-            weight = np.concatenate([counts, np.ones(len(every) - len(hashes), np.int64)])
+            fresh, times = np.unique(np.concatenate([hashes[:0], *waiting]), return_counts=True)
+            every, weight = np.concatenate([hashes, fresh]), np.concatenate([counts, times])
             waiting.clear()
             order = np.argsort(every, kind="stable")
             every, weight = every[order], weight[order]
@@ -86,11 +92,27 @@ def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], np.log2(top["c"].to_numpy(np.float64).clip(1)).astype(np.int8)[order]
 
 
+def dealt(prefixes: list[np.ndarray]) -> list[pa.Array]:
+    """For each pass the (pos, bucket) that fall on it, per prefix."""
+    lengths = [len(p) for p in prefixes]
+    every = np.concatenate([np.empty(0, np.uint64), *prefixes])
+    owner = np.repeat(np.arange(len(prefixes)), lengths)
+    pos = np.arange(len(every)) - np.repeat(np.cumsum([0, *lengths])[:-1], lengths)
+    out = []
+    for k in range(PASSES):
+        mine = every % np.uint64(PASSES) == k
+        ends = np.cumsum(np.bincount(owner[mine], minlength=len(prefixes)))
+        rows = pa.StructArray.from_arrays([pa.array(pos[mine], pa.int32()), pa.array(every[mine].view(np.int64))], names=["pos", "bucket"])
+        out.append(pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), rows))
+    return out
+
+
 def prefix_sets(rows: DataFrame) -> DataFrame:
     """Per document: size and key of its set, its first shingles in the order (rarest
     first, then by hash), and its group: sets of one size with the same prefix. Any set
     that links shares a shingle of the prefix, size - ceil(0.8 * size) + 1 long. The
-    prefix itself is given with the first document of a group in a task."""
+    prefix itself is given with the first document of a group in a task, dealt out over
+    the passes by hash, each shingle with its position."""
     spark = rows.sparkSession
     hot = spark.sparkContext.broadcast(frequent_shingles(rows))
 
@@ -98,7 +120,8 @@ def prefix_sets(rows: DataFrame) -> DataFrame:
         often, level = hot.value
         given: set[int] = set()
         for batch in batches:
-            out: dict[str, list] = {"n": [], "key": [], "gid": [], "bits": [], "prefix": []}
+            out: dict[str, list] = {"n": [], "key": [], "gid": [], "bits": []}
+            given_now: list[np.ndarray] = []
             for shingles in shingle_sets(batch.column("text"), SHINGLE):
                 n = len(shingles)
                 size = n - (PERCENT * n + 99) // 100 + 1 if n else 0
@@ -113,12 +136,12 @@ def prefix_sets(rows: DataFrame) -> DataFrame:
                 out["key"].append(set_key(shingles))
                 out["gid"].append(gid)
                 out["bits"].append(parities(shingles, BITS))
-                out["prefix"].append(None if gid in given or not n else prefix.view(np.int64))
+                given_now.append(prefix[:0] if gid in given else prefix)
                 if len(given) < COUNTED:
                     given.add(gid)
             columns = [batch.column("doc_id"), batch.column("text_hash"), *(pa.array(out[k], pa.int64()) for k in ("n", "key", "gid"))]
-            columns += [pa.array(out[k], pa.list_(pa.int64())) for k in ("bits", "prefix")]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", *out])
+            columns += [pa.array(out["bits"], pa.list_(pa.int64())), *dealt(given_now)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", *out, *PARTS])
 
     return rows.mapInArrow(run, SETS)
 
@@ -145,10 +168,20 @@ def sets_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "key long, shingles array<long>")
 
 
+def folded(bits: Column) -> Column:
+    """A bitmap of FOLDED bits, the parities of the same set. One of that length stays."""
+    words = FOLDED // 64
+    parts = [F.slice(bits, k * words + 1, words) for k in range(BITS // FOLDED)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = F.zip_with(out, part, lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(bits) > words, out).otherwise(bits)
+
+
 def possible(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of set keys those whose bitmaps leave enough in common. Sets
     far larger than the bitmap are hardly ruled out; no set that links is."""
-    bits = members.select("key", "n", "bits")
+    bits = members.select("key", "n", F.when(F.col("n") <= FOLDED, folded(F.col("bits"))).otherwise(F.col("bits")).alias("bits"))
     if small(pairs):
         # Later rounds have few pairs: don't shuffle the bitmaps of all sets for them.
         keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
@@ -156,7 +189,12 @@ def possible(pairs: DataFrame, members: DataFrame) -> DataFrame:
     a = bits.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
     b = bits.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
     both = pairs.select("a", "b").join(a, "a").join(b, "b")
-    differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
+
+    def differing(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
+
+    same = F.size("ba") == F.size("bb")
+    differ = F.when(same, differing(F.col("ba"), F.col("bb"))).otherwise(differing(folded(F.col("ba")), folded(F.col("bb"))))
     total = F.col("na") + F.col("nb")
     # shared <= (total - differ) / 2 and union = total - shared
     return both.where(100 * (total - differ) >= PERCENT * (total + differ)).select("a", "b")
@@ -220,6 +258,7 @@ def forest(cell: pd.DataFrame, near: int) -> pd.DataFrame:
     key, n, chunk = (cell[c].to_numpy(np.int64) for c in ("key", "n", "chunk"))
     met = elsewhere(cell["buckets"].tolist(), cell["bucket"].iat[0])
     bits = np.array(cell["bits"].tolist(), np.int64).view(np.uint64)
+    coarse = np.bitwise_xor.reduce(bits.reshape(len(bits), BITS // FOLDED, -1), axis=1)
     failed = cell["failed"].tolist()
     across = chunk.min() != chunk.max()
     found = []
@@ -236,14 +275,19 @@ def forest(cell: pd.DataFrame, near: int) -> pd.DataFrame:
         left += first
         fits = 100 * np.minimum(n[left], n[right]) >= PERCENT * np.maximum(n[left], n[right])
         left, right = left[fits], right[fits]
-        differ = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64)
-        total = n[left] + n[right]
-        good = 100 * (total - differ) >= PERCENT * (total + differ)
+        for part in (coarse, bits):
+            differ = np.bitwise_count(part[left] ^ part[right]).sum(axis=1, dtype=np.int64)
+            total = n[left] + n[right]
+            good = 100 * (total - differ) >= PERCENT * (total + differ)
+            if part is coarse:
+                left, right = left[good], right[good]
         found.append(np.stack([left[good], right[good], differ[good]]))
     left, right, differ = np.concatenate(found, axis=1)
     if not len(left):
         return none
-    share = differ * (100 + PERCENT) / ((100 - PERCENT) * (n[left] + n[right]))
+    # Hashes that fall on one bit hide each other: as many differ as this many bits mean.
+    likely = np.log1p(-2 * np.minimum(differ, BITS // 2 - 1) / BITS) / np.log1p(-2 / BITS)
+    share = likely * (100 + PERCENT) / ((100 - PERCENT) * (n[left] + n[right]))
     order = np.argsort(share, kind="stable")
     left, right, share = left[order], right[order], share[order]
     near_left, near_right = left[share > NEAR], right[share > NEAR]
@@ -280,6 +324,20 @@ def _search(near: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return lambda cell: forest(cell, near)
 
 
+def _passes(spark: SparkSession) -> Iterator[int]:
+    for k in range(PASSES):
+        yield k
+        forget_shuffles(spark)
+
+
+def _index(sets: DataFrame, k: int) -> DataFrame:
+    """(bucket, gid, pos): the shingles of pass ``k`` in the prefixes of two groups."""
+    index = sets.select("gid", F.inline(PARTS[k]))
+    buckets = index.groupBy("bucket").agg(F.min("gid").alias("g1"), F.max("gid").alias("g2")).where("g1 <> g2").select("bucket")
+    # Two tasks may both give a group's prefix.
+    return index.join(buckets, "bucket").select("bucket", "gid", "pos").distinct()
+
+
 def set_links(rows: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
     """Links (a, b) between different sets, enough of them to connect what is connected.
 
@@ -294,16 +352,14 @@ def set_links(rows: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame
     and in the end no two sets in different components can link.
     """
     spark = rows.sparkSession
-    index = sets.where(F.col("prefix").isNotNull()).select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "bucket"))
-    buckets = index.groupBy("bucket").agg(F.min("gid").alias("g1"), F.max("gid").alias("g2")).where("g1 <> g2").select("bucket")
-    # Two tasks may both give a group's prefix.
-    index = saved(index.join(buckets, "bucket").select("bucket", "gid", "pos").distinct())
     forget_shuffles(spark)
+    indexes = [saved(_index(sets, k)) for k in _passes(spark)]
+    index = reduce(DataFrame.unionByName, indexes)
     large = members.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gid")
     place = index.join(members.select("gid", "key", "n"), "gid").select("bucket", "key", "n", "pos")
     own = members.join(large, "gid").select(F.col("gid").alias("bucket"), "key", "n", F.lit(-1).alias("pos"))
     place = saved(place.unionByName(own))
-    discard(index)
+    discard(*indexes)
     sizes = place.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
     sized = saved(place.join(sizes, "bucket"))
     discard(place)
@@ -458,7 +514,7 @@ def classes(documents: DataFrame, counted: bool = True) -> DataFrame:
         known = known.join(link_counts(rows, members, roots), "key", "left")
         n_links = F.col("copies") - 1 + F.coalesce("linked", F.lit(0))
     known = known.select(F.col("key").alias("k"), "component_id", n_links.alias("n_links"))
-    out = sets.drop("prefix", "gid", "bits").join(known, (F.col("key") == F.col("k")) & (F.col("n") > 0), "left")
+    out = sets.drop(*PARTS, "gid", "bits").join(known, (F.col("key") == F.col("k")) & (F.col("n") > 0), "left")
     return out.select(
         "doc_id",
         "text_hash",

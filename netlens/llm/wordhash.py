@@ -82,6 +82,14 @@ class SpanHashes:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted; for many short arrays faster than ``np.unique``."""
+    hashes = np.sort(hashes)
+    fresh = np.ones(len(hashes), bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=fresh[1:])
+    return hashes[fresh]
+
+
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its k-word shingles, A-Z lower-cased.
     A text with fewer words has its whole sequence as one; one without words has none."""
@@ -94,7 +102,7 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
         windows = mix(sum(words[j : j + whole] * _STEPS[j] for j in range(k))) if whole > 0 else words[:0]
         for a, b in zip(first[:-1], first[1:], strict=True):
             if b - a >= k:
-                yield np.unique(windows[a : b - k + 1])
+                yield distinct(windows[a : b - k + 1])
             elif b > a:
                 short = np.append(words[a:b] * _STEPS[: b - a], _STEPS[40 + b - a])
                 yield mix(short.sum(dtype=np.uint64, keepdims=True))

@@ -1,10 +1,12 @@
 import hashlib
 import re
+
+import numpy as np
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from netlens.llm import licenses, line_dedup, mixing
+from netlens.llm import licenses, line_dedup, mixing, ngram_join
 from netlens.llm import quality_rules as Q
 from netlens.llm.common import BLANKS
 
@@ -170,3 +172,13 @@ def test_licence_cut_counts_every_paragraph(spark):
     cut = licenses.cut_of(found)
     assert sum(f != licenses.UNKNOWN and p >= cut for f, p in rows) <= licenses.FALSE_SHARE * len(rows)
     assert 0.649 < cut <= 0.65 and licenses.cut_of(found.limit(0)) == licenses.LEAST_CUT
+
+
+def test_prefixes_are_dealt_out_over_the_passes_whole():
+    prefixes = [np.arange(7, 907, 3, dtype=np.uint64), np.empty(0, np.uint64), np.array([2**64 - 1, 4, 5], np.uint64)]
+    passes = [part.to_pylist() for part in ngram_join.dealt(prefixes)]
+    for k, prefix in enumerate(prefixes):
+        got = {r["pos"]: r["bucket"] for part in passes for r in part[k]}
+        assert [got[i] for i in range(len(got))] == prefix.view(np.int64).tolist()
+    assert all(r["bucket"] % ngram_join.PASSES == j for j, part in enumerate(passes) for rows in part for r in rows)
+    assert all(part[0] for part in passes)
