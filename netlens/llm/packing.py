@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import import_in_workers, saved
+from netlens.llm.common import arrow_batches, import_in_workers, saved
 from netlens.llm.wordhash import LOWER, SpanHashes, chunks, spans
 
 CAPACITY = 4096
@@ -21,6 +22,12 @@ EOS = 2
 MIN_CUT = 32
 # Leftover windows of this many partitions are merged by one task.
 MERGED_PARTITIONS = 16
+# Texts come to a worker in batches of this size and are encoded in parts of this size, so
+# what a worker holds doesn't grow with the texts of a partition. One text may be longer.
+BATCH_BYTES = 4 << 20
+PART_BYTES = 512 << 10
+# The tokenizer gets so many texts at once: it gives some 100 bytes for each id.
+ENCODED_AT_ONCE = 2_000
 # Words whose ids a worker keeps; beyond it starts anew, the ids stay the same.
 CACHED_WORDS = 1_000_000
 
@@ -37,14 +44,15 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        # Spark runs a task per core: threads of the tokenizer's own would only hold memory.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
         # Control words that come from lower-casing are plain text.
-        self.words = Tokenizer.from_file(path)
-        self.words.encode_special_tokens = True
-        self.control = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
-        vocabulary = self.whole.get_vocab()
+        self.tokenizer.encode_special_tokens = True
+        self.control = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.reset()
@@ -60,14 +68,26 @@ class WordIds:
         texts = [w.decode() for w in words]
         # Words of ASCII letters end with one id that says so: many are encoded as one text.
         if all(map(bytes.isalpha, words)):
-            found = self.words.encode_batch_fast([" ".join(texts[k : k + 500]) for k in range(0, len(texts), 500)], add_special_tokens=False)
-            flat = np.concatenate([np.empty(0, np.uint32), *(np.array(e.ids, np.uint32) for e in found)])
+            flat, _ = self.encoded([" ".join(texts[k : k + 500]) for k in range(0, len(texts), 500)], ENCODED_AT_ONCE // 500)
             ends = np.flatnonzero(self.last[flat])
             if len(ends) == len(words):
                 return flat, np.diff(ends, prepend=-1)
-        found = [e.ids for e in self.words.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum())), lengths
+        return self.encoded(texts, ENCODED_AT_ONCE)
+
+    def encoded(self, texts: list[str], at_once: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts one after the other, and how many each has."""
+        parts = [np.empty(0, np.uint32)]
+        for k in range(0, len(texts), at_once):
+            parts += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[k : k + at_once], add_special_tokens=False)]
+        return np.concatenate(parts), np.fromiter(map(len, parts[1:]), np.int64, len(texts))
+
+    def whole(self, text: str) -> list[int]:
+        """Ids of a text whose control words count as such."""
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        finally:
+            self.tokenizer.encode_special_tokens = True
 
     def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         letters = np.fromiter(map(bytes.isalpha, words), bool, len(words))
@@ -113,7 +133,7 @@ class WordIds:
         out = [np.concatenate([ids[a:b], end]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         for k in special:
             text = raw[bounds[k] : bounds[k + 1]].decode()
-            out[k] = np.array([*self.whole.encode(text, add_special_tokens=False).ids, EOS], np.uint32)
+            out[k] = np.array([*self.whole(text), EOS], np.uint32)
         return out
 
 
@@ -232,7 +252,7 @@ def pack_partitions(documents: DataFrame, tokenizer: str, capacity: int, windows
         encoder, packer = word_ids(tokenizer), Packer(capacity, windows)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for first, data, bounds in chunks(batch.column("text")):
+            for first, data, bounds in chunks(batch.column("text"), PART_BYTES):
                 for k, tokens in enumerate(encoder.encode(data, bounds), first):
                     packer.add(ids[k], tokens)
                 done, packer.closed = packer.closed, []
@@ -282,7 +302,7 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, windows
     first; what is left goes to the window it fits best. Where it fits none, the fullest
     is filled with its head and closed, or closed with less than ``MIN_CUT`` ids of
     padding. Leftover windows are merged, some partitions per task, so memory is
-    bounded by windows, not by documents. A sequence is padded to ``capacity`` unless
+    bounded by windows and by the longest text, not by the number of documents. A sequence is padded to ``capacity`` unless
     its length is a power of two.
 
     A null text gives the end id alone; ids may be null or repeated, and a row that
@@ -291,7 +311,8 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, windows
     numbers stay the same when a task is run again.
     """
     import_in_workers(documents.sparkSession)
-    pieces = saved(pack_partitions(documents, tokenizer, capacity, windows))
+    with arrow_batches(documents.sparkSession, BATCH_BYTES):
+        pieces = saved(pack_partitions(documents, tokenizer, capacity, windows))
     group = F.floor(F.col("partition") / MERGED_PARTITIONS)
     merged = pieces.where("open").groupBy(group).applyInPandas(lambda left: merge_windows(left, capacity), f"{PIECE}, {WINDOW}")
     sequence = F.shiftleft(F.col("partition"), 32) + F.col("window")

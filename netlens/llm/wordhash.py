@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 2 << 20
+# Tables of powers grow by so many rows; workers whose chunks are short keep short ones.
+TABLE_STEP = 1 << 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _STEPS = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
@@ -32,7 +34,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _powers["n"] < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = -(-n // TABLE_STEP) * TABLE_STEP
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -41,8 +43,8 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first, bytes, bounds): texts in parts of some MB; text first + k has the bytes
+def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first, bytes, bounds): texts in parts of ``size`` bytes; text first + k has the bytes
     bounds[k] to bounds[k + 1]. A text is never cut; a null one is empty."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
     if not len(texts):
@@ -52,7 +54,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(data, np.uint8) if data is not None and at[-1] else np.empty(0, np.uint8)
     first = 0
     while first < len(texts):
-        last = int(np.searchsorted(at, at[first] + CHUNK_BYTES, "right")) - 1
+        last = int(np.searchsorted(at, at[first] + size, "right")) - 1
         last = min(max(last, first + 1), len(texts))
         yield first, data[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
@@ -76,7 +78,9 @@ class SpanHashes:
     def __init__(self, data: np.ndarray):
         up, self.down = _tables(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUES[data] * up[: len(data)], out=self.sums[1:])
+        terms = _VALUES[data]
+        terms *= up[: len(data)]
+        np.cumsum(terms, out=self.sums[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))

@@ -127,6 +127,26 @@ def test_packing_is_gapless_and_keeps_all_ids(spark, documents, odd):
     assert [r["ids_crc32"] for r in crc] == [zlib.crc32(np.array(want[9001], "<u4").tobytes())]
 
 
+def test_packing_gets_texts_in_small_batches(spark, monkeypatch):
+    """A batch of 10 000 long texts, and the arrays made from it, once filled a worker's memory."""
+    rows = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id", F.repeat(F.lit(" word"), 2000)).alias("text"))
+    seen = [spark.sparkContext.accumulator(0) for _ in range(3)]
+    key, chunks = "spark.sql.execution.arrow.maxBytesPerBatch", packing.chunks
+
+    def watched(texts, *size):
+        seen[0].add(len(texts))
+        seen[1].add(int(texts.nbytes > 8 << 20))
+        for part in chunks(texts, *size):
+            seen[2].add(int(len(part[1]) > 1 << 20))
+            yield part
+
+    monkeypatch.setattr(packing, "chunks", watched)
+    before = spark.conf.get(key, None)
+    got = pieces_of(rows)
+    assert [x.value for x in seen] == [3000, 0, 0] and spark.conf.get(key, None) == before
+    assert got["doc_id"].nunique() == 3000 and got["length"].sum() == got.drop_duplicates("doc_id")["doc_tokens"].sum()
+
+
 def test_packing_of_odd_tables(spark, odd):
     got = pieces_of(odd.withColumn("ids", F.lit(1)))
     assert got["length"].sum() == got.drop_duplicates(["doc_id", "doc_tokens", "sequence_id", "offset"])["length"].sum()
